@@ -276,12 +276,12 @@ def _(spark, d):
 
 
 @query("so03_difference", """
-    SELECT user_id FROM events WHERE event_type = 'click' AND value > 30 EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 30
+    SELECT user_id FROM events WHERE event_type = 'click' AND value > 80 EXCEPT SELECT user_id FROM events WHERE event_type = 'error' AND value > 80
 """)
 def _(spark, d):
     ev = table(spark, d, "events")
-    left = ev.where("event_type = 'click' and value > 30").select("user_id").distinct()
-    return left.join(ev.where("event_type = 'error' and value > 30").select("user_id"), "user_id", "left_anti")
+    left = ev.where("event_type = 'click' and value > 80").select("user_id").distinct()
+    return left.join(ev.where("event_type = 'error' and value > 80").select("user_id"), "user_id", "left_anti")
 
 
 @query("prj01_entity_subset", f"""
