@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from rcaspark.plans import graph_queries, log_queries, metric_queries  # noqa: F401
+from rcaspark.plans import discovery_queries, graph_queries, log_queries, metric_queries  # noqa: F401
 from rcaspark.plans.registry import ORACLES, QUERIES  # noqa: F401
