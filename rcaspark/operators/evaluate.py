@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rcaspark.functions.vectors import let
 from rcaspark.operators.order import first_per_group, full_rank
 from rcaspark.operators.profile import GateError, require
 
@@ -120,8 +121,8 @@ def match_service(truth: DataFrame, entities: DataFrame) -> DataFrame:
     Each name is cut at its dashes and joined on equality, so no label is compared
     with every name. ``scorable`` holds for a case with exactly one match.
     """
-    words = F.split("entity", "-", -1)
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), "-"))
+    prefixes = let(F.split("entity", "-", -1), lambda words: F.transform(
+        F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), "-")))
     cut = entities.select("case", "entity", F.explode(prefixes).alias("label"))
     found = truth.select("case", "label").join(cut, ["case", "label"])
     n = found.groupBy("case").agg(F.count("*").alias("n_matches"))
