@@ -138,21 +138,21 @@ def skeleton(spark: SparkSession, corr: np.ndarray, n: int, test: Test, banned:
     """
     p = corr.shape[0]
     shared = spark.sparkContext.broadcast(corr)
-    edges = spark.range(p).select(F.col("id").cast("int").alias("x")).select("x", F.explode(F.sequence(F.col("x") + 1, F.lit(p))).alias("y")).where(F.col("y") < p)
+    every = spark.range(p).select(F.col("id").cast("int").alias("x")).select("x", F.explode(F.sequence(F.col("x") + 1, F.lit(p))).alias("y")).where(F.col("y") < p)
     if banned is not None:
-        edges = edges.join(banned.select("x", "y").distinct(), ["x", "y"], "left_anti")
-    cuts = spark.createDataFrame([], "x int, y int, sepset array<int>")
-    level = 0
-    while max_level is None or level <= max_level:
+        every = cut_lineage(every.join(banned.select("x", "y").distinct(), ["x", "y"], "left_anti"))
+    cuts, level = None, 0
+    while True:
+        edges = every if cuts is None else every.join(cuts.select("x", "y"), ["x", "y"], "left_anti")
+        if cuts is not None:
+            ends = edges.select("x").unionByName(edges.select(F.col("y").alias("x")))
+            widest = ends.groupBy("x").count().agg(F.max("count")).first()[0] or 0
+            if widest - 1 < level or (max_level is not None and level > max_level):
+                return edges, cuts
+        # Every level is stored; what is left follows from the stored levels.
         found = cut_lineage(_level(edges, shared, n, level, test))
-        edges = cut_lineage(edges.join(found, ["x", "y"], "left_anti"))
-        cuts = cuts.unionByName(found)
+        cuts = found if cuts is None else cuts.unionByName(found)
         level += 1
-        ends = edges.select("x").unionByName(edges.select(F.col("y").alias("x")))
-        widest = ends.groupBy("x").count().agg(F.max("count")).first()[0] or 0
-        if widest - 1 < level:
-            break
-    return edges, cut_lineage(cuts)
 
 
 def _level(edges: DataFrame, shared, n: int, s: int, test: Test) -> DataFrame:
@@ -204,15 +204,19 @@ def orient(edges: DataFrame, cuts: DataFrame, required: DataFrame | None = None,
     until nothing changes. A pair that two colliders point both ways becomes
     ``<->``; a pair required both ways stays undirected. All steps are joins.
     """
-    both = cut_lineage(edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).select(
-        F.col("x").alias("cause"), F.col("y").alias("effect")))
-    none = both.where("false")
-    ban = none if forbidden is None else both.join(forbidden, ["cause", "effect"], "left_semi")
-    need = none if required is None else both.join(required, ["cause", "effect"], "left_semi")
-    ban, need = ban.distinct(), need.distinct()
-    need = need.join(_swap(need), ["cause", "effect"], "left_anti")
-    one_way = _swap(ban).join(ban, ["cause", "effect"], "left_anti")
-    known = cut_lineage(need.unionByName(one_way.join(_swap(need), ["cause", "effect"], "left_anti")).distinct())
+    both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).select(
+        F.col("x").alias("cause"), F.col("y").alias("effect"))
+    pick = ["cause", "effect"]
+    ban = known = None
+    if forbidden is not None or required is not None:
+        both = cut_lineage(both)
+        none = both.where("false")
+        ban = none if forbidden is None else both.join(forbidden.distinct(), pick, "left_semi")
+        need = none if required is None else both.join(required.distinct(), pick, "left_semi")
+        need = need.join(_swap(need), pick, "left_anti")
+        one_way = _swap(ban).join(ban, pick, "left_anti")
+        known = cut_lineage(need.unionByName(one_way.join(_swap(need), pick, "left_anti")).distinct())
+        ban = cut_lineage(ban)
 
     # x - z - y with x, y separated by a set without z.
     left = both.select(F.col("cause").alias("x"), F.col("effect").alias("z"))
@@ -220,20 +224,30 @@ def orient(edges: DataFrame, cuts: DataFrame, required: DataFrame | None = None,
     vees = cuts.join(left, "x").join(right, ["y", "z"]).where(~F.array_contains("sepset", F.col("z")))
     heads = vees.select(F.col("x").alias("cause"), F.col("z").alias("effect")).unionByName(
         vees.select(F.col("y").alias("cause"), F.col("z").alias("effect"))).distinct()
-    heads = heads.join(_swap(known), ["cause", "effect"], "left_anti").join(known, ["cause", "effect"], "left_anti")
+    if known is not None:
+        heads = heads.join(known.unionByName(_swap(known)), pick, "left_anti")
     heads = cut_lineage(heads)
-    clash = heads.join(_swap(heads), ["cause", "effect"], "left_semi")
-    directed = cut_lineage(known.unionByName(heads.join(clash, ["cause", "effect"], "left_anti")))
-    loose = cut_lineage(both.join(directed.unionByName(_swap(directed)).unionByName(clash), ["cause", "effect"], "left_anti"))
-
-    while loose.limit(1).count():
-        new = _propagate(directed, loose, both).join(ban, ["cause", "effect"], "left_anti").distinct()
+    clash = heads.join(_swap(heads), pick, "left_semi")
+    directed = heads.join(clash, pick, "left_anti")
+    if known is not None:
+        directed = known.unionByName(directed)
+    loose = both.join(directed.unionByName(_swap(directed)).unionByName(clash), pick, "left_anti")
+
+    rounds = 0
+    while True:
+        new = _propagate(directed, loose, both)
+        if ban is not None:
+            new = new.join(ban, pick, "left_anti")
         # Where two rules ask for both ways at once, the way from the earlier column holds.
-        new = cut_lineage(new.where("cause < effect").unionByName(new.where("cause > effect").join(_swap(new), ["cause", "effect"], "left_anti")))
-        if not new.limit(1).count():
+        new = new.groupBy(F.least(*pick).alias("_a"), F.greatest(*pick).alias("_b")).agg(F.min(F.struct(*pick)).alias("_e")).select("_e.*")
+        new = cut_lineage(new)
+        if new.isEmpty():
             break
-        directed = cut_lineage(directed.unionByName(new))
-        loose = cut_lineage(loose.join(new.unionByName(_swap(new)), ["cause", "effect"], "left_anti"))
+        directed = directed.unionByName(new)
+        loose = loose.join(new.unionByName(_swap(new)), pick, "left_anti")
+        rounds += 1
+        if rounds % 4 == 0:
+            directed, loose = cut_lineage(directed), cut_lineage(loose)
     mark = lambda t, m: t.withColumn("mark", F.lit(m))
     return mark(directed, "->").unionByName(mark(loose, "--")).unionByName(mark(clash, "<->"))
 

@@ -33,10 +33,10 @@ def full_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     shift = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     inside = Window.partitionBy(*keys, "_range").orderBy(*order)
     return (
-        cut.withColumn("_at", F.row_number().over(inside))
+        cut.withColumn("_inside", F.row_number().over(inside))
         .join(shift, [*keys, "_range"])
-        .withColumn(name, (F.col("_at") + F.col("_shift")).cast("bigint"))
-        .drop("_at", "_shift", "_range")
+        .withColumn(name, (F.col("_inside") + F.col("_shift")).cast("bigint"))
+        .drop("_inside", "_shift", "_range")
     )
 
 
