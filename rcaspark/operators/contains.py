@@ -17,15 +17,16 @@ except ImportError:  # the gram join below needs no automaton
     ahocorasick = None
 
 
-def contains_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, limit: int = 200_000, gram: int = 8) -> DataFrame:
+def contains_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, limit: int = 200_000, max_bytes: int = 32 << 20, gram: int = 8) -> DataFrame:
     """(text columns without the text, pattern) for every pattern found in a text.
 
-    Texts are matched whole. Up to ``limit`` patterns go to the tasks as one
-    automaton and nothing is shuffled; beyond it, texts and patterns meet on the
-    rarest short gram of each pattern and candidates are verified.
+    Texts are matched whole; their other columns must identify them. Up to
+    ``limit`` patterns of ``max_bytes`` in all go to the tasks as one automaton
+    and nothing is shuffled; beyond either, texts and patterns meet on the rarest
+    short gram of each pattern and candidates are verified.
     """
     distinct = patterns.select(F.col(pattern).alias("_p")).where("length(_p) > 0").distinct()
-    if ahocorasick is not None and fits(distinct, limit):
+    if ahocorasick is not None and fits(distinct, limit) and (distinct.agg(F.sum(F.octet_length("_p"))).first()[0] or 0) <= max_bytes:
         return _by_automaton(texts, text, [r["_p"] for r in distinct.collect()], pattern)
     return _by_gram(texts, text, distinct, pattern, gram)
 

@@ -13,6 +13,7 @@ from rcaspark.operators import edges, evaluate, walk
 from rcaspark.operators.order import full_rank
 from rcaspark.plans.fixtures import CASE
 from rcaspark.plans.registry import query, table
+from rcaspark.session import cut_lineage
 
 FLOWS = """
     f AS (SELECT ns.n_name AS cause, nc.n_name AS effect, sum(l_quantity) AS q, count(*) AS n
@@ -45,16 +46,17 @@ def _flows(spark, d):
     by_key = lines.join(supplier, "l_suppkey").join(buyer, "l_orderkey").groupBy("s_nationkey", "c_nationkey").agg(
         F.sum("l_quantity").alias("q"), F.count("*").alias("n"))
     name = table(spark, d, "nation").select("n_nationkey", "n_name")
-    return by_key.join(name.withColumnsRenamed({"n_nationkey": "s_nationkey", "n_name": "cause"}), "s_nationkey").join(
+    # Stored once: the graphs below read these rows many times.
+    return cut_lineage(by_key.join(name.withColumnsRenamed({"n_nationkey": "s_nationkey", "n_name": "cause"}), "s_nationkey").join(
         name.withColumnsRenamed({"n_nationkey": "c_nationkey", "n_name": "effect"}), "c_nationkey"
-    ).select(F.lit(CASE).alias("case"), "cause", "effect", "q", "n")
+    ).select(F.lit(CASE).alias("case"), "cause", "effect", "q", "n"))
 
 
 def _graph(flows, measure, both_ways):
     mean = flows.groupBy("case").agg(F.avg(measure).alias("_mean"))
     g = flows.join(mean, "case").where((F.col(measure) > F.col("_mean")) & (F.col("cause") != F.col("effect"))).select(*edges.PAIR)
     back = edges.reverse(g).withColumn("_back", F.lit(True))
-    return g.join(back, edges.PAIR, "left").select(*edges.PAIR, F.when(F.col("_back"), both_ways).otherwise("->").alias("mark"))
+    return cut_lineage(g.join(back, edges.PAIR, "left").select(*edges.PAIR, F.when(F.col("_back"), both_ways).otherwise("->").alias("mark")))
 
 
 def _before(spark, d):
@@ -198,7 +200,7 @@ def _visits_sql(n):
 
 
 def _moves(spark, d):
-    return walk.transitions(walk.walk_graph(_before(spark, d), _kpi(spark, d)))
+    return cut_lineage(walk.transitions(walk.walk_graph(_before(spark, d), _kpi(spark, d))))
 
 
 @query("gr06_walk_graph", f"WITH {STEPS_SQL} SELECT node, next FROM s")

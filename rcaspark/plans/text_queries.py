@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rcaspark.functions import html, names, text, vectors
 from rcaspark.operators import retrieve
 from rcaspark.plans.registry import query, table
+from rcaspark.session import cut_lineage
 
 K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -434,7 +435,8 @@ CHUNKS = f"""
 def chunk_vectors(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("url"), "text")
     chunks = retrieve.chunk_table(docs, "text", ["doc_id", "url"], text.fixed_chunks(F.col("text"), 1000))
-    return retrieve.embed(chunks.withColumn("vec_id", F.col("doc_id") * 1000 + F.col("chunk")), "text", vectors.letter_embedding)
+    vecs = retrieve.embed(chunks.withColumn("vec_id", F.col("doc_id") * 1000 + F.col("chunk")), "text", vectors.letter_embedding)
+    return cut_lineage(vecs)  # embeddings are stored, then searched
 
 
 def question_vectors(spark, d):
