@@ -54,22 +54,24 @@ def visits_by_joins(moves: DataFrame, nodes: DataFrame, kpi: DataFrame, n_steps:
     Once a step changes no probability by more than ``tolerance``, the remaining
     steps all add the same arrivals.
     """
-    chain = cut_lineage(_chain(moves, nodes, kpi, restart).withColumnRenamed("node", "_from").withColumnRenamed("next", "node"))
+    # A row of each node to itself carries what a step keeps, so that a step reads the state once.
+    same = nodes.select("case", F.col("entity").alias("node"), F.col("entity").alias("next"), F.lit(0.0).alias("w"), F.lit(0.0).alias("arrives"), F.lit(1.0).alias("keep"))
+    chain = _chain(moves, nodes, kpi, restart).withColumn("keep", F.lit(0.0)).unionByName(same)
+    chain = cut_lineage(chain.withColumnsRenamed({"node": "_from", "next": "node"}))
     state = nodes.select("case", F.col("entity").alias("node")).join(
         kpi.select("case", F.col("entity").alias("node"), F.lit(1.0).alias("prob")), ["case", "node"], "left"
     ).select("case", "node", F.coalesce("prob", F.lit(0.0)).alias("prob"), F.lit(0.0).alias("last"), F.lit(0.0).alias("visits"), F.lit(0.0).alias("arrived"))
     done = 0
     while done < n_steps:
         for _ in range(min(per_cut, n_steps - done)):
-            flow = state.select("case", F.col("node").alias("_from"), "prob").join(chain, ["case", "_from"]).select(
-                "case", "node", (F.col("prob") * F.col("w")).alias("prob"), F.lit(0.0).alias("last"), F.lit(0.0).alias("visits"),
-                (F.col("prob") * F.col("w") * F.col("arrives")).alias("arrived"))
-            kept = state.select("case", "node", F.lit(0.0).alias("prob"), F.col("prob").alias("last"), (F.col("visits") + F.col("arrived")).alias("visits"), F.lit(0.0).alias("arrived"))
-            state = flow.unionByName(kept).groupBy("case", "node").agg(*[F.sum(c).alias(c) for c in ("prob", "last", "visits", "arrived")])
+            moved = F.col("prob") * F.col("w")
+            state = state.withColumnRenamed("node", "_from").join(chain, ["case", "_from"]).groupBy("case", "node").agg(
+                F.sum(moved).alias("prob"), F.sum(F.col("prob") * F.col("keep")).alias("last"),
+                F.sum((F.col("visits") + F.col("arrived")) * F.col("keep")).alias("visits"), F.sum(moved * F.col("arrives")).alias("arrived"))
             done += 1
         state = cut_lineage(state)
-        moved = state.agg(F.max(F.abs(F.col("prob") - F.col("last")))).first()[0]
-        if moved is None or moved < tolerance:
+        change = state.agg(F.max(F.abs(F.col("prob") - F.col("last")))).first()[0]
+        if change is None or change < tolerance:
             break
     left = n_steps - done
     return state.select("case", "node", (F.col("visits") + F.col("arrived") * (1 + left)).alias("visits"))

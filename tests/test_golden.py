@@ -78,8 +78,8 @@ def test_walk_goes_upstream_and_ways_agree(spark):
     moves = walk.transitions(walk.walk_graph(e, kpi))
     exact = {r["node"]: r["visits"] for r in walk.expected_visits(moves, nodes, kpi).collect()}
     assert exact["A"] > 0 and exact["B"] > 0
-    joined = {r["node"]: r["visits"] for r in walk.expected_visits(moves, nodes, kpi, n_steps=30, small=0).collect()}
-    short = {r["node"]: r["visits"] for r in walk.expected_visits(moves, nodes, kpi, n_steps=30).collect()}
+    joined = {r["node"]: r["visits"] for r in walk.expected_visits(moves, nodes, kpi, n_steps=12, small=0).collect()}
+    short = {r["node"]: r["visits"] for r in walk.expected_visits(moves, nodes, kpi, n_steps=12).collect()}
     assert joined == pytest.approx(short)
     one = walk.simulated_visits(moves, nodes, kpi, 400, seed=3)
     sim = {r["node"]: (r["visits"], r["spread"]) for r in one.collect()}
@@ -95,9 +95,9 @@ def test_convergence_shortcut(spark):
     nodes, kpi = chain(spark)
     e = spark.createDataFrame([("c", "A", "Latency", "->"), ("c", "B", "Latency", "->"), ("c", "A", "B", "--"), ("c", "B", "A", "--")], "case string, cause string, effect string, mark string")
     moves = walk.transitions(walk.walk_graph(e, kpi))
-    early = {r["node"]: r["visits"] for r in walk.visits_by_joins(moves, nodes, kpi, per_cut=15, tolerance=1e-4).collect()}
+    early = {r["node"]: r["visits"] for r in walk.visits_by_joins(moves, nodes, kpi, per_cut=10, tolerance=1e-3).collect()}
     exact = {r["node"]: r["visits"] for r in walk.expected_visits(moves, nodes, kpi).collect()}
-    assert early == pytest.approx(exact, rel=1e-2)
+    assert early == pytest.approx(exact, rel=2e-2)
 
 
 def test_ties_keep_column_order(spark):
