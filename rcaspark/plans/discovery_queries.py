@@ -27,6 +27,26 @@ DERIVED = """
 """
 
 
+# Skeleton and colliders of four variables by partial correlations of order 0, 1 and 2.
+SKELETON = f"""
+    {DERIVED},
+    r AS (SELECT a, b, n, r FROM pairs UNION ALL SELECT b, a, n, r FROM pairs),
+    p1 AS (SELECT ab.a, ab.b, ak.b AS k, ab.n, (ab.r - ak.r * bk.r) / sqrt((1 - ak.r * ak.r) * (1 - bk.r * bk.r)) AS r
+           FROM r ab JOIN r ak ON ak.a = ab.a AND ak.b <> ab.b JOIN r bk ON bk.a = ab.b AND bk.b = ak.b),
+    p2 AS (SELECT ab.a, ab.b, ab.k, al.b AS l, ab.n, (ab.r - al.r * bl.r) / sqrt((1 - al.r * al.r) * (1 - bl.r * bl.r)) AS r
+           FROM p1 ab JOIN p1 al ON al.a = ab.a AND al.k = ab.k AND al.b <> ab.b JOIN p1 bl ON bl.a = ab.b AND bl.k = ab.k AND bl.b = al.b),
+    cut AS (SELECT a, b, 0 AS s, '' AS given FROM r WHERE sqrt(n - 3) * abs(atanh(r)) <= 2.5758293
+            UNION ALL SELECT a, b, 1, k FROM p1 WHERE sqrt(n - 4) * abs(atanh(r)) <= 2.5758293
+            UNION ALL SELECT a, b, 2, k || l FROM p2 WHERE sqrt(n - 5) * abs(atanh(r)) <= 2.5758293),
+    sep AS (SELECT a, b, arg_min(given, s) AS given FROM cut GROUP BY 1, 2),
+    adj AS (SELECT a, b FROM r EXCEPT SELECT a, b FROM sep),
+    heads AS (SELECT DISTINCT x.a AS cause, x.b AS effect FROM adj x JOIN adj y ON x.b = y.b AND x.a <> y.a
+              JOIN sep ON sep.a = x.a AND sep.b = y.a AND NOT contains(given, x.b)),
+    g AS (SELECT a AS cause, b AS effect, CASE WHEN heads.cause IS NULL THEN '--' ELSE '->' END AS mark FROM adj LEFT JOIN heads ON a = cause AND b = effect
+          WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.cause = b AND h.effect = a))
+"""
+
+
 def derived(spark, d):
     lines = table(spark, d, "lineitem").select(*RAW)
     s = lines.agg(*[F.avg(c).alias(f"m_{c}") for c in RAW], *[F.stddev_pop(c).alias(f"s_{c}") for c in RAW]).first()
@@ -56,9 +76,7 @@ def _(spark, d):
     return c.select("a", "b", F.round(z, 4).alias("z"), (z > 1.959964).alias("dependent"))
 
 
-@query("gr01_skeleton", """
-    SELECT 'X' AS a, 'Y' AS b UNION ALL SELECT 'X', 'W' UNION ALL SELECT 'Y', 'V' UNION ALL SELECT 'W', 'V'
-""")
+@query("gr01_skeleton", f"WITH {SKELETON} SELECT a, b FROM adj WHERE strpos('XYWV', a) < strpos('XYWV', b)")
 def _(spark, d):
     n, corr = discover.moment_matrix(discover.cross_moments(derived(spark, d), COLUMNS), 4, "r")
     found, _cuts = discover.skeleton(spark, corr, n, discover.fisher_test(ALPHA))
@@ -66,10 +84,7 @@ def _(spark, d):
     return found.select(F.get(names, F.col("x")).alias("a"), F.get(names, F.col("y")).alias("b"))
 
 
-@query("gr02_oriented_graph", """
-    SELECT 'Y' AS cause, 'V' AS effect, '->' AS mark UNION ALL SELECT 'W', 'V', '->' UNION ALL SELECT 'X', 'Y', '--' UNION ALL SELECT 'Y', 'X', '--'
-    UNION ALL SELECT 'X', 'W', '--' UNION ALL SELECT 'W', 'X', '--'
-""")
+@query("gr02_oriented_graph", f"WITH {SKELETON} SELECT cause, effect, mark FROM g")
 def _(spark, d):
     return graph(spark, d).drop("case")
 
@@ -98,8 +113,14 @@ def _(spark, d):
     return discover.discover(derived(spark, d), COLUMNS, CASE, "lingam", alpha=0.001).drop("case")
 
 
-@query("gr12_discovery_metrics", """
-    SELECT 4 AS tp, 2 AS fp, 0 AS fn, 10 AS tn, round(2 / 12, 6) AS fpr, 0.0::DOUBLE AS fnr, round(4 / 6, 6) AS precision, 0.8::DOUBLE AS f1, 0 AS extra, 0 AS missing, 0 AS reversed, 0 AS shd, 0.0::DOUBLE AS nhd
+@query("gr12_discovery_metrics", f"""
+    WITH {SKELETON}, t(cause, effect) AS (VALUES ('X', 'Y'), ('X', 'W'), ('Y', 'V'), ('W', 'V')), v(x) AS (VALUES ('X'), ('Y'), ('W'), ('V')),
+    c AS (SELECT (c.x, e.x) IN (SELECT (cause, effect) FROM g) AS p, (e.x, c.x) IN (SELECT (cause, effect) FROM g) AS pb,
+                 (c.x, e.x) IN (SELECT (cause, effect) FROM t) AS t, (e.x, c.x) IN (SELECT (cause, effect) FROM t) AS tb FROM v c, v e),
+    k AS (SELECT count(*) AS cells, count(*) FILTER (p AND t) AS tp, count(*) FILTER (p AND NOT t) AS fp, count(*) FILTER (NOT p AND t) AS fn, count(*) FILTER (NOT p AND NOT t) AS tn,
+                 count(*) FILTER (p AND NOT t AND NOT tb) AS extra, count(*) FILTER (t AND NOT p AND NOT pb) AS missing, count(*) FILTER (t AND NOT tb AND NOT p AND pb) AS reversed FROM c)
+    SELECT tp, fp, fn, tn, round(fp / (tn + fp), 6) AS fpr, round(fn / (tp + fn), 6) AS fnr, round(tp / (tp + fp), 6) AS precision, round(2 * tp / (2 * tp + fn + fp), 6) AS f1,
+           extra, missing, reversed, extra + missing + reversed AS shd, round((extra + missing + reversed) / cells, 6) AS nhd FROM k
 """)
 def _(spark, d):
     nodes = spark.createDataFrame([(CASE, c) for c in COLUMNS], "case string, entity string")

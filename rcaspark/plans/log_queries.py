@@ -289,6 +289,12 @@ def _(spark, d):
     return evidence.merge_summaries(plan, texts).select("entity", "kind", "available", "text")
 
 
+@query("prj15_entities_to_summarise", f"WITH {STATUS} SELECT entity FROM p WHERE status = 'exact_unique_pair'")
+def _(spark, d):
+    # The KPI is no pod: its availability is null, so it never reaches the generator.
+    return evidence.evidence_plan(_entities(spark, d), _files(spark, d), allow_partial=True).where("available").select("entity")
+
+
 @query("ag25_coverage", f"""
     WITH {STATUS}, c AS (SELECT count(*) AS pods, count(*) FILTER (status = 'exact_unique_pair') AS available,
                          count(*) FILTER (status <> 'exact_unique_pair') AS missing, 1 AS kpis FROM p)
