@@ -111,6 +111,6 @@ def keep_entities(channels: DataFrame, shortlist: DataFrame) -> DataFrame:
     return channels.join(shortlist.select("case", "entity").distinct(), ["case", "entity"], "left_semi")
 
 
-def time_block(ts: Column, seconds: int = 86_400 * 30) -> Column:
+def time_block(ts: Column, seconds: int = 3600 * 6) -> Column:
     """A block number that grows with a date or timestamp."""
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds))

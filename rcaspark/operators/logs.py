@@ -146,10 +146,14 @@ def log_counters(hits: DataFrame, keys: list[str], time: str) -> DataFrame:
 
 
 def mentions(lines: DataFrame, text: str, names: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """Lines that mention each name as a whole token, a line counting once per name."""
+    """Lines that mention each name as a whole token, a line counting once per name.
+
+    Tokens are counted before the names are looked up, so that a token in most
+    lines is one row per task when it is shuffled.
+    """
     tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[A-Za-z0-9][A-Za-z0-9_.-]*"), F.lit(0)))
     return (
         lines.select(*keys, F.explode(tokens).alias(name))
-        .join(names.select(name).distinct(), name)
         .groupBy(*keys, name).agg(F.count("*").alias("n_lines"))
+        .join(names.select(name).distinct(), name, "left_semi")
     )
