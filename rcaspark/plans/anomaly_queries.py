@@ -84,8 +84,9 @@ def _(spark, d):
 # -- whole jobs --------------------------------------------------------------------
 
 @query("preprocess_decisions", """
-    WITH m AS (SELECT event_type AS metric, user_id % 5 AS u, ts, event_id, value FROM events),
-    st AS (SELECT u, metric, min(value) <> max(value) AS usable FROM m GROUP BY 1, 2)
+    WITH m AS (SELECT event_type AS metric, user_id % 5 AS u, date_trunc('hour', ts) AS h, avg(value) AS value FROM events GROUP BY 1, 2, 3),
+    hours AS (SELECT h FROM m GROUP BY 1 HAVING count(DISTINCT metric) = (SELECT count(DISTINCT metric) FROM m)),
+    st AS (SELECT u, metric, min(value) <> max(value) AS usable FROM m WHERE h IN (SELECT h FROM hours) GROUP BY 1, 2)
     SELECT 'pod-' || CAST(u AS VARCHAR) AS entity, CAST(count(*) FILTER (usable) AS BIGINT) AS usable FROM st GROUP BY 1
 """)
 def _(spark, d):
@@ -153,7 +154,7 @@ def _wide(spark, d):
 
 
 @query("src01_snk01_wide_csv", f"""
-    WITH ch AS ({fx.CHANNELS_SQL}), kp AS ({fx.KPI_SQL}), e AS (SELECT entity, day, avg(value) AS v FROM ch GROUP BY 1, 2)
+    WITH ch AS ({fx.CHANNELS_SQL}), kp AS ({fx.KPI_SQL}), e AS (SELECT p.entity, kp.day, avg(value) AS v FROM (SELECT DISTINCT entity FROM ch) p CROSS JOIN kp LEFT JOIN ch ON ch.entity = p.entity AND ch.day = kp.day GROUP BY 1, 2)
     SELECT entity, CAST(substr(entity, 5) AS INTEGER) AS pos, false AS is_kpi, round(v, 6) AS value FROM e UNION ALL SELECT 'Latency', 5, true, round(kpi, 6) FROM kp
 """)
 def _(spark, d):
