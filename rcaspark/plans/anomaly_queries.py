@@ -66,7 +66,7 @@ def _(spark, d):
     SELECT 'u' || CAST(user_id AS VARCHAR) AS entity, bool_or(value > 60) AS kept FROM events GROUP BY 1
 """)
 def _(spark, d):
-    counts = table(spark, d, "events").groupBy(F.lit(fx.CASE).alias("case"), F.concat(F.lit("u"), F.col("user_id")).alias("entity"), "event_type").agg(
+    counts = table(spark, d, "events").groupBy(fx.case_by("user_id").alias("case"), F.concat(F.lit("u"), F.col("user_id")).alias("entity"), "event_type").agg(
         F.count_if(F.col("value") > 60).alias("positives"))
     return spot.alerting_entities(counts).drop("case")
 
@@ -93,8 +93,8 @@ def _(spark, d):
     # Entities share the event times, as pods share the scrape times of a system.
     ev = table(spark, d, "events")
     ch = ev.groupBy(F.concat(F.lit("pod-"), F.col("user_id") % 5).alias("entity"), F.col("event_type").alias("metric"), F.date_trunc("hour", "ts").alias("ts")).agg(
-        F.avg("value").alias("value")).withColumn("case", F.lit(fx.CASE))
-    kpi = ev.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("value")).withColumn("case", F.lit(fx.CASE))
+        F.avg("value").alias("value")).withColumn("case", fx.case_by("ts"))
+    kpi = ev.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(F.avg("value").alias("value")).withColumn("case", fx.case_by("ts"))
     return refine.preprocess(ch, kpi)["decisions"].select("entity", "usable")
 
 
@@ -212,7 +212,7 @@ def _(spark, d):
     SELECT lang AS stage, source AS node, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY 1, 2
 """)
 def _(spark, d):
-    n = table(spark, d, "documents").groupBy(F.col("lang").alias("stage"), F.col("source").alias("node")).agg(F.count("*").alias("visits")).withColumn("case", F.lit(fx.CASE))
+    n = table(spark, d, "documents").groupBy(F.col("lang").alias("stage"), F.col("source").alias("node")).agg(F.count("*").alias("visits")).withColumn("case", fx.case_by("stage"))
     path = scratch_path(spark, "rankings")
     sinks.write_new(full_rank(n, ["case", "stage"], [F.desc("visits"), F.col("node")]), path, partition_by=["case", "stage"])
     return spark.read.parquet(path).select("stage", "node", "rank")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rcaspark.plans.registry import table
@@ -28,6 +28,11 @@ ZSCORE_SQL = f"""
 """
 
 
+def case_by(column: str) -> Column:
+    """The case key as a value of each row, so that joins on it stay equi-joins and never fold to a product."""
+    return F.when(F.col(column).isNotNull(), F.lit(CASE))
+
+
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily mean of each (entity, metric); five entities, five metrics."""
     ev = table(spark, sf_dir, "events")
@@ -35,12 +40,12 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("pod-"), (F.col("user_id") % 5).cast("string")).alias("entity"),
         F.col("event_type").alias("metric"),
         F.to_date("ts").alias("ts"),
-    ).agg(F.avg("value").alias("value")).withColumn("case", F.lit(CASE))
+    ).agg(F.avg("value").alias("value")).withColumn("case", case_by("ts"))
 
 
 def kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
-    return ev.groupBy(F.to_date("ts").alias("ts")).agg(F.avg("value").alias("value")).withColumn("case", F.lit(CASE))
+    return ev.groupBy(F.to_date("ts").alias("ts")).agg(F.avg("value").alias("value")).withColumn("case", case_by("ts"))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,4 +53,4 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.groupBy(
         F.col("event_type").alias("metric"), F.date_trunc("hour", "ts").alias("ts")
-    ).agg(F.avg("value").alias("value")).withColumn("case", F.lit(CASE))
+    ).agg(F.avg("value").alias("value")).withColumn("case", case_by("ts"))

@@ -12,6 +12,7 @@ from rcaspark.operators import generate
 from rcaspark.operators.edges import PAIR
 from rcaspark.plans import graph_queries as gq
 from rcaspark.plans import log_queries as lq
+from rcaspark.plans.fixtures import case_by
 from rcaspark.plans.registry import query, table
 from rcaspark.session import scratch_path
 from rcaspark.sources import sinks
@@ -51,7 +52,7 @@ def _explanations(spark, d, compat="corrected"):
 
 def _node_texts(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
-    return n.select(F.lit(gq.CASE).alias("case"), F.col("n_name").alias("entity"),
+    return n.select(case_by("n_name").alias("case"), F.col("n_name").alias("entity"),
                     F.concat(F.lit("nation "), "n_name", F.lit(" of region "), "r_name").alias("text"))
 
 
@@ -244,7 +245,7 @@ def _(spark, d):
 """)
 def _(spark, d):
     path = scratch_path(spark, "answers")
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.lit(gq.CASE).alias("case"), F.lit("pc").alias("algorithm"), F.col("role").alias("variant"))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", case_by("conv_id").alias("case"), F.lit("pc").alias("algorithm"), F.col("role").alias("variant"))
     sinks.write_answers(rows, path)
     return sinks.read_answers(spark, path, gq.CASE, "pc", "assistant").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
 
@@ -316,6 +317,6 @@ def _(spark, d):
 
     ev = table(spark, d, "events")
     texts = ev.groupBy(F.concat(F.lit("pod-"), F.col("user_id") % 5).alias("entity")).agg(
-        F.concat(F.lit("rows: "), F.count("*")).alias("text")).withColumn("case", F.lit(gq.CASE))
+        F.concat(F.lit("rows: "), F.count("*")).alias("text")).withColumn("case", case_by("entity"))
     nodes = texts.select("case", "entity", F.substring("entity", 5, 9).cast("int").alias("pos"))
     return dataset_summary(texts, nodes, writer).select("name", "body", "dataset")

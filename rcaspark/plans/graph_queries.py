@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rcaspark.operators import edges, evaluate, walk
 from rcaspark.operators.order import full_rank
-from rcaspark.plans.fixtures import CASE
+from rcaspark.plans.fixtures import CASE, case_by  # noqa: F401
 from rcaspark.plans.registry import query, table
 from rcaspark.session import cut_lineage
 
@@ -29,7 +29,7 @@ FLOWS = """
 
 
 def _nations(spark, d):
-    return table(spark, d, "nation").select(F.lit(CASE).alias("case"), F.col("n_name").alias("entity"), F.col("n_nationkey").alias("pos"))
+    return table(spark, d, "nation").select(case_by("n_name").alias("case"), F.col("n_name").alias("entity"), F.col("n_nationkey").alias("pos"))
 
 
 def _kpi(spark, d):
@@ -49,7 +49,7 @@ def _flows(spark, d):
     # Stored once: the graphs below read these rows many times.
     return cut_lineage(by_key.join(name.withColumnsRenamed({"n_nationkey": "s_nationkey", "n_name": "cause"}), "s_nationkey").join(
         name.withColumnsRenamed({"n_nationkey": "c_nationkey", "n_name": "effect"}), "c_nationkey"
-    ).select(F.lit(CASE).alias("case"), "cause", "effect", "q", "n"))
+    ).select(case_by("cause").alias("case"), "cause", "effect", "q", "n"))
 
 
 def _graph(flows, measure, both_ways):

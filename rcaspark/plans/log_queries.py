@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rcaspark.operators import evidence, logs
 from rcaspark.operators.contains import contains_join
 from rcaspark.operators.order import first_per_group
-from rcaspark.plans.fixtures import CASE
+from rcaspark.plans.fixtures import case_by
 from rcaspark.plans.registry import query, table
 from rcaspark.session import scratch_path
 from rcaspark.sources import logs as src
@@ -16,7 +16,7 @@ from rcaspark.sources import logs as src
 def _log_tables(spark, d):
     """Events as log lines: one template per event type, one line per event."""
     lines = table(spark, d, "events").select(
-        F.lit(CASE).alias("case"), F.concat(F.lit("pod-"), F.col("user_id") % 5).alias("entity"),
+        case_by("user_id").alias("case"), F.concat(F.lit("pod-"), F.col("user_id") % 5).alias("entity"),
         F.col("event_type").alias("event_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("time"),
         F.col("props").alias("content"), F.col("event_id").alias("pos"))
     return _templates(lines), lines
@@ -31,7 +31,7 @@ def _templates(lines):
 def _order_log(spark, d):
     """Orders as log lines: many templates per entity, one per customer."""
     lines = table(spark, d, "orders").select(
-        F.lit(CASE).alias("case"), F.col("o_orderstatus").alias("entity"),
+        case_by("o_orderkey").alias("case"), F.col("o_orderstatus").alias("entity"),
         F.col("o_custkey").cast("string").alias("event_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("time"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").cast("string").alias("content"), F.col("o_orderkey").alias("pos"))
     return _templates(lines), lines
@@ -242,7 +242,7 @@ def _(spark, d):
 
 def _entities(spark, d):
     docs = table(spark, d, "documents").select(
-        F.lit(CASE).alias("case"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("entity"), F.col("doc_id").alias("pos"), F.lit(False).alias("is_kpi"))
+        case_by("doc_id").alias("case"), F.concat(F.lit("doc-"), F.col("doc_id")).alias("entity"), F.col("doc_id").alias("pos"), F.lit(False).alias("is_kpi"))
     last = docs.groupBy("case").agg((F.max("pos") + 1).alias("pos")).select("case", F.lit("Latency").alias("entity"), "pos", F.lit(True).alias("is_kpi"))
     return docs.unionByName(last)
 
@@ -254,7 +254,7 @@ STATUS = """
 
 
 def _files(spark, d):
-    return src.log_files(_catalog(spark, d)).withColumn("case", F.lit(CASE))
+    return src.log_files(_catalog(spark, d)).withColumn("case", case_by("path"))
 
 
 @query("jn06_pair_status", f"WITH {STATUS} SELECT entity, status FROM p UNION ALL SELECT 'Latency', 'both_absent'")

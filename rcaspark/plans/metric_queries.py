@@ -89,7 +89,7 @@ def _(spark, d):
     # A KPI that does differ between metrics: each metric's own daily maximum.
     ev = table(spark, d, "events")
     k = ev.groupBy(F.col("event_type").alias("metric"), F.to_date("ts").alias("ts")).agg(F.max("value").alias("value"))
-    bad = align.kpi_conflicts(k.withColumn("case", F.lit(fx.CASE)))
+    bad = align.kpi_conflicts(k.withColumn("case", fx.case_by("ts")))
     return bad.select(F.col("ts").cast("string").alias("day"), "lowest", "highest")
 
 
@@ -103,7 +103,7 @@ def _(spark, d):
 """)
 def _(spark, d):
     ev = table(spark, d, "events").where("value > 20")
-    ch = ev.select(F.lit(fx.CASE).alias("case"), F.concat(F.lit("u"), F.col("user_id")).alias("entity"), F.col("event_type").alias("metric"))
+    ch = ev.select(fx.case_by("user_id").alias("case"), F.concat(F.lit("u"), F.col("user_id")).alias("entity"), F.col("event_type").alias("metric"))
     return align.metric_coverage(ch).select(
         "entity", F.size("metrics").cast("bigint").alias("n_have"), F.array_join("missing", ",").alias("missing"))
 
@@ -155,7 +155,7 @@ def _(spark, d):
 """)
 def _(spark, d):
     raw = table(spark, d, "events").select(
-        F.lit(fx.CASE).alias("case"), F.concat(F.lit("u"), F.col("user_id")).alias("entity"),
+        fx.case_by("user_id").alias("case"), F.concat(F.lit("u"), F.col("user_id")).alias("entity"),
         F.col("event_type").alias("metric"), "value")
     return align.entity_decisions(raw).select(
         "entity", "usable", "kept", "reason", F.round("weight", 6).alias("weight"), F.array_join("missing", ",").alias("missing"))
@@ -194,7 +194,7 @@ def _(spark, d):
 def _(spark, d):
     ev = table(spark, d, "events")
     ch = ev.select(
-        F.lit(fx.CASE).alias("case"), F.col("event_type").alias("metric"),
+        fx.case_by("event_type").alias("case"), F.col("event_type").alias("metric"),
         F.concat(F.lit("u"), F.col("user_id") % 40).alias("entity"), F.to_date("ts").alias("ts"))
     # Every metric carries the same KPI series, as in a sound panel.
     carried = fx.kpi(spark, d).withColumn("metric", F.explode(F.array(F.lit("cpu"), F.lit("memory"))))
