@@ -204,7 +204,7 @@ CATALOG = """
 
 
 def _catalog(spark, d):
-    """File names in the reference layout, one entity per document."""
+    """File names of log pairs, one entity per document."""
     docs = table(spark, d, "documents")
     name = lambda prefix, suffix: F.concat(F.lit("/logs/"), F.col("source"), F.lit(prefix), F.col("doc_id"), F.lit(suffix)).alias("path")
     t = docs.where("n_chars > 400").select(name("/doc-", src.TEMPLATE_SUFFIX), F.col("n_chars").alias("bytes"))
