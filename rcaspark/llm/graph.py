@@ -8,30 +8,34 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
+def _oriented(edges: DataFrame) -> DataFrame:
+    """Distinct edges with the larger end first, without loops and null ends."""
+    return cut_lineage(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable.
 
-    Each round a node takes the smallest label among its own label's label and
-    its neighbours' labels' labels. Hubs are hot keys: their neighbours are
-    reduced by partial sums, and the joins read written tables, so that Spark
-    can split a hot side. Rounds grow with the logarithm of path lengths. Null
-    ends are no nodes; an empty table gives no rows.
+    Each round hooks a node to its smallest neighbour, follows the hooks to
+    their roots by pointer doubling, and contracts the edges to edges between
+    roots; few are left after the first round. A hub's neighbours are reduced
+    by partial minima, and the joins read written tables, so that Spark can
+    split a hot side. Null ends and loops are no edges; an empty table gives
+    no rows.
     """
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = cut_lineage(both.union(both.select("b", "a")).distinct())
-    labels = cut_lineage(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-        .select("node", F.least("node", "near").alias("label"), F.lit(True).alias("moved"))
-    )
-    while labels.where("moved").limit(1).count():
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        jumped = labels.join(up, "label").select("node", "label", "top")
-        near = (
-            both.join(jumped.select(F.col("node").alias("b"), "top"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("top").alias("near"))
-        )
-        best = F.least("top", "near")
-        labels = cut_lineage(
-            jumped.join(near, "node").select("node", best.alias("label"), (best != F.col("label")).alias("moved"))
-        )
-    return labels.select("node", F.col("label").alias("component"))
+    left = _oriented(edges)
+    labels = cut_lineage(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
+    while left.limit(1).count():
+        hooks = cut_lineage(left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))).withColumn("moved", F.lit(True))
+        while hooks.where("moved").limit(1).count():
+            up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            hooks = cut_lineage(hooks.join(up, "root", "left").select(
+                "node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")))
+        for end in ("a", "b"):
+            moved = hooks.select(F.col("node").alias(end), "root")
+            left = left.join(moved, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        left = _oriented(left)
+        labels = cut_lineage(labels.join(hooks.select(F.col("node").alias("label"), "root"), "label", "left").select(
+            "node", F.coalesce("root", "label").alias("label")))
+    return labels.withColumnRenamed("label", "component")
