@@ -137,8 +137,8 @@ class Lists:
         """Positions of all documents y with den * |x & y| >= num * |x u y|, by DivideSkip."""
         need = -(-num * len(query) // den)  # T: the least overlap that any linked document has
         at = np.searchsorted(self.tokens, query)
-        at = at[at < len(self.tokens)]
-        at = at[np.isin(self.tokens[at], query, assume_unique=True)] if len(at) else at
+        inside = at < len(self.tokens)
+        at = at[inside][self.tokens[at[inside]] == query[inside]]
         if not len(query) or len(at) < need:
             return np.empty(0, np.int64)
         at = at[np.argsort(self.end[at] - self.start[at], kind="stable")]
