@@ -30,6 +30,8 @@ MARKS = """.,;:!?()[]{}<>"'"""
 REACH = 64
 #: Seeds that a pattern needs, values that weigh against it from the start, and the confidence that adds a value.
 SUPPORT, DOUBT, CONFIDENT, ROUNDS = 3, 1.0, 0.9, 3
+#: Spans (of about 32 bytes) up to which their table is sent to every task of the redaction; beyond, texts are shuffled.
+SENT_SPANS = 500_000
 #: Digits that a value without an at sign needs to be an identifier.
 LEAST_DIGITS = 5
 
@@ -199,6 +201,8 @@ def redact(documents: DataFrame) -> DataFrame:
     """
     spans = located(documents).select("doc_id", "text_hash", F.concat("base", "added").alias("spans")).where(F.size("spans") > 0)
     spans = cut_lineage(spans.distinct()).withColumnsRenamed({"doc_id": "_span_id", "text_hash": "_span_hash", "spans": "_spans"})
+    if (spans.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= SENT_SPANS:
+        spans = F.broadcast(spans)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begun = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))

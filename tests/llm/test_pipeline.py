@@ -2,8 +2,10 @@
 
 import collections
 
+import pytest
+
 import corpus_pipeline
-from rcaspark.llm import queries
+from rcaspark.llm import pii, queries
 
 from .conftest import SF
 from .test_search_and_join import brute_groups
@@ -43,6 +45,15 @@ def test_stages_on_odd_and_empty_tables(odd_documents, no_documents, spark):
         assert rows.where("doc_id in (1, 2, 3, 8)").count() == 0
 
 
-def test_one_row_of_a_repeated_id_stays(odd_documents, spark):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_one_row_of_a_repeated_id_stays(odd_documents, spark, monkeypatch, sent):
+    monkeypatch.setattr(corpus_pipeline, "SENT_IDS", sent)
     rows = corpus_pipeline.near_duplicates(spark, odd_documents, SF).collect()
     assert collections.Counter(r.doc_id for r in rows) == {1: 1, 2: 1, 3: 1, 4: 1, 6: 1, None: 1, 7: 1, 8: 1}
+
+
+def test_redaction_is_the_same_for_many_spans(spark, monkeypatch):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    few = sorted(pii.redact(documents).collect())
+    monkeypatch.setattr(pii, "SENT_SPANS", 0)
+    assert sorted(pii.redact(documents).collect()) == few
