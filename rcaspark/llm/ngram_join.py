@@ -1,14 +1,18 @@
 """N-gram Jaccard join: documents whose shingle sets overlap enough, grouped by reachability.
 
-Three steps, all exact:
+Four steps, all exact:
 
 1. Candidates. Sets at similarity num/den differ in at most H = n * (den - num) // num shingles. Each set is cut
    by hash ranges into more than H parts, so a linked pair agrees in whole parts; a part's hash is its signature.
    With p parts at least p - H agree, hence of the H + 1 fullest parts of either side one is shared. Sharing a
    part of several shingles is rare for unrelated texts, also for those that quote one passage.
-2. Cells. Documents joined by signatures form a block. A block is dealt to cells of bounded size; its first cell
+2. Blocks. A linked pair hangs together by signatures; also by finer signatures, with narrower size classes and hence
+   fuller parts; and by rare shingles: with all shingles in one order, rare ones first by a fixed table of counters,
+   it shares one of either side's first n - T + 1 (the short lists). Documents that hang together in all three ways
+   form a block. Texts that only quote one passage differ in one of them, as a rule.
+3. Cells. A block is dealt to cells of bounded size; its first cell
    is the anchor, which every other cell of the block searches.
-3. T-occurrence search in each cell (DivideSkip): the L longest inverted lists of a query are set aside, the short
+4. T-occurrence search in each cell (DivideSkip): the L longest inverted lists of a query are set aside, the short
    ones are merged into occurrence counts, and what occurs T - L times is probed by binary search in the long ones.
    Pairs that are already connected need no search. In blocks of several cells, documents that did not join the
    block's largest component then search the remaining cells.
@@ -20,6 +24,7 @@ shuffle, so a group sends a row per task; a hot block is spread over its cells.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +38,12 @@ from .words import mix, shingle_set, utf8_rows
 #: Spare parts beyond the number that similarity asks for; the emptiest parts give no signature.
 SPARE_PARTS = 2
 #: Documents and shingles that one side of a cell holds on average.
-CELL_DOCS, WIDE_CELL_DOCS, CELL_SHINGLES = 64, 512, 1 << 18
+CELL_DOCS, CELL_SHINGLES = 64, 1 << 18
+WIDE_CELL_DOCS, WIDE_CELL_SHINGLES = 2048, 1 << 20
+#: Growth of size classes: for all documents, and for the candidates among them.
+WIDE_CLASSES, NARROW_CLASSES = 2.0, 1.1
+#: Counters of shingles that order them by frequency; any order is exact, a better one only makes smaller blocks.
+COUNTERS = 1 << 20
 
 
 def max_difference(n: int, num: int, den: int) -> int:
@@ -41,24 +51,37 @@ def max_difference(n: int, num: int, den: int) -> int:
     return n * (den - num) // num
 
 
-def signatures(items: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of the fullest parts of a sorted set, for its own size class and those a larger partner may be in."""
+@lru_cache(maxsize=4)
+def _class_bounds(growth: float) -> np.ndarray:
+    """Least sizes of the size classes, each about ``growth`` times the one before."""
+    bounds = [1]
+    while bounds[-1] < 1 << 40:
+        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * growth)))
+    return np.array(bounds, np.int64)
+
+
+def signatures(items: np.ndarray, num: int, den: int, growth: float = WIDE_CLASSES) -> np.ndarray:
+    """Hashes of the fullest parts of a sorted set, for its own size class and those a larger partner may be in.
+
+    Narrower classes give fuller parts, hence fewer chance meetings, but more signatures.
+    """
     n = len(items)
     differ = max_difference(n, num, den)
     if not differ:
         return np.empty(0, np.uint64)
     running = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(items), out=running[1:])
-    found, size_class = [], n.bit_length()
-    while (1 << (size_class - 1)) * num <= n * den:
-        parts = max_difference((1 << size_class) - 1, num, den) + 1 + SPARE_PARTS
+    bounds, found = _class_bounds(growth), []
+    size_class = int(np.searchsorted(bounds, n, "right")) - 1
+    while int(bounds[size_class]) * num <= n * den:
+        parts = max_difference(int(bounds[size_class + 1]) - 1, num, den) + 1 + SPARE_PARTS
         ids = np.arange(parts, dtype=np.uint64)
         part_of = ((items >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         at = np.searchsorted(part_of, np.arange(parts + 1, dtype=np.uint64))
         held = np.diff(at)
         fullest = np.argsort(-held, kind="stable")[: differ + 1]
         content = (running[at[1:]] - running[at[:-1]])[fullest]
-        name = mix(ids[fullest] * np.uint64(1 << 8) + np.uint64(size_class))
+        name = mix(ids[fullest] * np.uint64(1 << 10) + np.uint64(size_class))
         found.append(mix(content + name + held[fullest].astype(np.uint64)))
         size_class += 1
     return np.concatenate(found)
@@ -83,14 +106,16 @@ def _set_digests(n: int):
     return run
 
 
-def _signature_rows(n: int, num: int, den: int):
-    """(sig, doc, link): a signature's smallest document here, and an edge for every other document that has it."""
+def _signature_rows(found_in):
+    """(sig, doc, link): a signature's smallest document here, and an edge for every other document that has it.
+
+    ``found_in(batch)`` yields each document with its signatures.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), utf8_rows(batch.column("text"))):
-                found = signatures(shingle_set(raw, n), num, den)
+            for doc, found in found_in(batch):
                 sigs.append(found)
                 docs.append(np.full(len(found), doc, np.int64))
             sig, doc = np.concatenate(sigs), np.concatenate(docs)
@@ -110,13 +135,66 @@ def _signature_rows(n: int, num: int, den: int):
     return run
 
 
+def _linked(rows: DataFrame, found_in) -> DataFrame:
+    """(doc, other): edges by which all documents that share a signature hang together."""
+    rows = rows.mapInArrow(_signature_rows(found_in), "sig long, doc long, link long")
+    rows = rows.withColumn("root", F.min("doc").over(Window.partitionBy("sig")))
+    pairs = rows.where("root <> doc or link <> doc").select("doc", F.explode(F.array("root", "link")).alias("other"))
+    return pairs.where("doc <> other").distinct()
+
+
+def _items(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for raw in utf8_rows(batch.column("items")):
+        yield np.frombuffer(raw.tobytes(), np.uint64)
+
+
+def _frequencies(held: DataFrame) -> np.ndarray:
+    """Shingles per counter over all rows (items): sums per task, added by Spark; ``COUNTERS`` numbers come back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for items in _items(batch):
+                np.add.at(total, (items % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
+
+    sums = held.select("items").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(COUNTERS, np.int64)
+    total[sums.column("counter").to_numpy()] = sums.column("n").to_numpy()
+    return total
+
+
+def _rarest(sent, num: int, den: int):
+    def found_in(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        often = sent.value
+        for doc, items in zip(batch.column("node").to_pylist(), _items(batch)):
+            short = len(items) - -(-num * len(items) // den) + 1
+            order = np.lexsort((items, often[(items % np.uint64(COUNTERS)).astype(np.int64)]))
+            yield doc, items[order[:short]]
+
+    return found_in
+
+
+def _sizes(sent):
+    """(node, n, typical): the size of a set and the mean log frequency of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log = np.log1p(sent.value)
+        for batch in batches:
+            rows = [(len(x), float(log[(x % np.uint64(COUNTERS)).astype(np.int64)].mean()) if len(x) else 0.0) for x in _items(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.float64())],
+                ["node", "n", "typical"])
+
+    return run
+
+
 def _shingle_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(raw, n).tobytes() for raw in utf8_rows(batch.column("text"))]
-            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"]
-            names = [x for x in batch.schema.names if x != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(sets, pa.binary())], [*names, "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "items"])
 
     return run
 
@@ -240,29 +318,48 @@ def jaccard_groups(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
     classes = cut_lineage(sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
     members = cut_lineage(sets.join(classes, ["k1", "k2", "n"]).select("doc_id", "n", "rep"))
 
-    # Candidates: every document with its signature's smallest one.
-    rows = named.mapInArrow(_signature_rows(n, num, den), "sig long, doc long, link long")
-    rows = rows.withColumn("root", F.min("doc").over(Window.partitionBy("sig")))
-    pairs = rows.where("root <> doc or link <> doc").select("doc", F.explode(F.array("root", "link")).alias("other"))
-    pairs = pairs.where("doc <> other").distinct()
+    # Candidates: documents that share a signature with another set.
+    def signed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for doc, raw in zip(batch.column("doc_id").to_pylist(), utf8_rows(batch.column("text"))):
+            yield doc, signatures(shingle_set(raw, n), num, den)
+
+    pairs = _linked(named, signed)
     rep = members.select("doc_id", "rep").distinct()
-    pairs = cut_lineage(
+    pairs = (
         pairs.join(rep.withColumnsRenamed({"doc_id": "doc", "rep": "a"}), "doc")
-        .join(rep.withColumnsRenamed({"doc_id": "other", "rep": "b"}), "other")
-        .where("a <> b").select("a", "b").distinct())
-    blocks = components(pairs).withColumnsRenamed({"component": "block"})
-
-    # Cells.
-    size = members.where("doc_id = rep").groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
+        .join(rep.withColumnsRenamed({"doc_id": "other", "rep": "b"}), "other").where("a <> b"))
+    wide_blocks = components(pairs.select("a", "b"))
+    texts = named.withColumnRenamed("doc_id", "node").join(wide_blocks.select("node"), "node")
+    sets = cut_lineage(texts.mapInArrow(_shingle_rows(n), "node long, items binary"))
+
+    # Blocks: linked documents hang together by each of three kinds of signatures, so they agree in all three.
+    def narrow(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        for doc, items in zip(batch.column("node").to_pylist(), _items(batch)):
+            yield doc, signatures(items, num, den, NARROW_CLASSES)
+
+    sent = documents.sparkSession.sparkContext.broadcast(_frequencies(sets))  # COUNTERS numbers
+    blocks = wide_blocks.withColumnRenamed("component", "block")
+    for found_in in (_rarest(sent, num, den), narrow):
+        finer = components(_linked(sets, found_in).select(F.col("doc").alias("a"), F.col("other").alias("b")))
+        blocks = blocks.join(finer, "node").select("node", F.xxhash64("block", "component").alias("block"))
+    blocks = cut_lineage(blocks)
+    # A document that is alone in its block has no partner.
+    blocks = blocks.join(cut_lineage(blocks.groupBy("block").agg(F.count("*").alias("docs")).where("docs > 1")).drop("docs"), "block")
+    size = sets.mapInArrow(_sizes(sent), "node long, n long, typical double").groupBy("node").agg(
+        F.max("n").alias("n"), F.max("typical").alias("typical"))
     sized = cut_lineage(blocks.join(size, "node"))
     whole = sized.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("items"))
     whole = cut_lineage(whole.select(
         "block", F.greatest(F.ceil(F.col("docs") / CELL_DOCS), F.ceil(F.col("items") / CELL_SHINGLES)).alias("cells"),
-        F.greatest(F.ceil(F.col("docs") / WIDE_CELL_DOCS), F.ceil(F.col("items") / CELL_SHINGLES)).alias("wide")))
-    place = sized.join(whole, "block").withColumn("own", F.expr("pmod(xxhash64(node), cells)"))
-    texts = named.withColumnRenamed("doc_id", "node").join(place.select("node", "block", "cells", "wide", "own"), "node")
-    held = cut_lineage(texts.mapInArrow(
-        _shingle_rows(n), "node long, block long, cells long, wide long, own long, items binary"))
+        F.greatest(F.ceil(F.col("docs") / WIDE_CELL_DOCS), F.ceil(F.col("items") / WIDE_CELL_SHINGLES)).alias("wide")))
+    # The anchor holds the block's most typical documents: those that most others are close to, if to any.
+    typical = Window.partitionBy("block").orderBy(F.desc("typical"), "node")
+    several_cells = sized.join(whole.where("cells > 1").select("block"), "block")
+    anchor = several_cells.withColumn("place", F.row_number().over(typical)).where(F.col("place") <= CELL_DOCS).select(
+        "node", F.lit(True).alias("anchor"))
+    place = sized.join(whole, "block").join(cut_lineage(anchor), "node", "left").withColumn(
+        "own", F.expr("case when cells = 1 or anchor then 0 else 1 + pmod(xxhash64(node), cells - 1) end"))
+    held = cut_lineage(sets.join(place.drop("n", "typical", "anchor"), "node").select("node", "block", "cells", "wide", "own", "items"))
     asking = held.select(
         "block", F.col("own").alias("cell"), "node", (F.col("own") == 0).alias("is_index"), F.lit(True).alias("is_query"),
         F.col("node").alias("component"), "items")
