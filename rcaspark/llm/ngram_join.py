@@ -43,7 +43,7 @@ WIDE_CELL_DOCS, WIDE_CELL_SHINGLES = 2048, 1 << 20
 #: Growth of size classes: for all documents, and for the candidates among them.
 WIDE_CLASSES, NARROW_CLASSES = 2.0, 1.1
 #: Counters of shingles that order them by frequency; any order is exact, a better one only makes smaller blocks.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 
 
 def max_difference(n: int, num: int, den: int) -> int:
@@ -360,6 +360,7 @@ def jaccard_groups(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
     place = sized.join(whole, "block").join(cut_lineage(anchor), "node", "left").withColumn(
         "own", F.expr("case when cells = 1 or anchor then 0 else 1 + pmod(xxhash64(node), cells - 1) end"))
     held = cut_lineage(sets.join(place.drop("n", "typical", "anchor"), "node").select("node", "block", "cells", "wide", "own", "items"))
+    sent.destroy()  # all that is read from here on is written
     asking = held.select(
         "block", F.col("own").alias("cell"), "node", (F.col("own") == 0).alias("is_index"), F.lit(True).alias("is_query"),
         F.col("node").alias("component"), "items")
