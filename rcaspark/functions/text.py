@@ -72,32 +72,57 @@ _SUMMARY = StructType([
     StructField("names", ArrayType(StringType())),
     StructField("bodies", ArrayType(StringType())),
 ])
-_NODE_HEADING = re.compile(r"Summary of (?:the )?(?P<name>[^:\n]+):\s*(?P<body>.+)", re.S)
+# How the parts of a summary answer begin.
+_PART_HEADS = {"D": ("Dataset Summary:",), "N": ("Summary of the ", "Summary of "), "R": ("Relationships between Nodes:",)}
+_WRONG_PART = {"D": "dataset heading", "N": "unknown section", "R": "unknown section", "?": "unknown section"}
+
+
+def _part(lines: list[str]) -> tuple[str, str, str]:
+    """Kind, name and body of the lines between two rules."""
+    whole = "\n".join(lines).strip()
+    for kind, heads in _PART_HEADS.items():
+        head = next((h for h in heads if whole.startswith(h)), None)
+        if head is None:
+            continue
+        rest = whole[len(head):]
+        if kind == "N":
+            name, colon, rest = rest.partition(":")
+            if not colon or not name or "\n" in name:
+                return "?", "", whole
+            return (kind, name, rest.strip()) if rest.strip() else ("?", "", whole)
+        if kind == "R":
+            return (kind, "", whole) if rest.startswith("\n") else ("?", "", whole)
+        return (kind, "", rest.strip()) if rest.strip() else ("?", "", whole)
+    return "?", "", whole
 
 
 def _canonical_summary(text: str, labels) -> tuple:
-    def refused(why):
-        return why, None, None, None, None
-
-    head, *sections = [part.strip() for part in re.split(r"^\s*---\s*$", text.strip(), flags=re.M)]
-    title, mark, dataset = head.partition("Dataset Summary:")
-    if title or not mark or not dataset.strip():
-        return refused("dataset heading")
-    dataset, bodies = dataset.strip(), {}
-    for i, section in enumerate(sections, 1):
-        found = _NODE_HEADING.fullmatch(section)
-        if found:
-            if found["name"] not in labels:
-                return refused("unknown node")
-            if found["name"] in bodies:
-                return refused("repeated node")
-            bodies[found["name"]] = found["body"]
-        elif i == len(sections) and section.startswith("Relationships between Nodes:\n"):
-            dataset += "\n\n" + section
+    parts, lines = [], []
+    for line in [*text.split("\n"), "---"]:
+        if line.strip() == "---":
+            parts.append(_part(lines))
+            lines = []
         else:
-            return refused("unknown section")
-    whole = "\n---\n".join([DATASET_HEAD + dataset, *(f"{SUMMARY_HEAD}{n}: {b}" for n, b in bodies.items())])
-    return None, whole, dataset, list(bodies), list(bodies.values())
+            lines.append(line)
+    kinds = "".join(k for k, _, _ in parts)
+    names = [name for k, name, _ in parts if k == "N"]
+    error = None
+    if kinds[0] != "D":
+        error = "dataset heading"
+    else:
+        fits = re.match("DN*R?", kinds).end()
+        known = [k == "N" and name not in labels for k, name, _ in parts[:fits]]
+        again = [k == "N" and name in names[:i - 1] for i, (k, name, _) in enumerate(parts[:fits])]
+        faults = [(known.index(True), "unknown node")] if any(known) else []
+        faults += [(again.index(True), "repeated node")] if any(again) else []
+        faults += [(fits, _WRONG_PART[kinds[fits]])] if fits < len(kinds) else []
+        error = min(faults)[1] if faults else None
+    if error:
+        return error, None, None, None, None
+    dataset = "\n\n".join(body for k, _, body in parts if k != "N")
+    bodies = [body for k, _, body in parts if k == "N"]
+    whole = "\n---\n".join([DATASET_HEAD + dataset, *(f"{SUMMARY_HEAD}{n}: {b}" for n, b in zip(names, bodies))])
+    return None, whole, dataset, names, bodies
 
 
 def canonical_summary(text: Column, labels: Column) -> Column:
@@ -157,41 +182,57 @@ _STRICT = StructType([
         StructField("index", IntegerType()), StructField("guess", StringType()),
         StructField("probability", DoubleType()), StructField("answer", StringType())]))),
 ])
-_LABEL = re.compile(r"^(?:---[ \t]*)?([GP])(\d+):[ \t]+", re.M)
-_LABEL_LIKE = re.compile(r"^[ \t]*(?:---[ \t]*)?[GP]\d+\s*:", re.M)
-_BARE_DECIMAL = re.compile(r"\d+(?:\.\d+)?|\.\d+")
+# Fixed value: a label, with what may stand around it so that near misses are seen.
+_LABEL = re.compile(r"([ \t]*)(?:---[ \t]*)?([GP])([0-9]+)(\s*):(.*)", re.S)
+
+
+def _read_record(guess: str, prob: str, answers) -> tuple[str | None, float, str]:
+    """Why a pair of fields is refused, else its probability and answer."""
+    if guess.endswith(">") and "<" in guess:
+        answer = guess.rstrip(">").rpartition("<")[2]
+    else:
+        answer = None
+    if answer is None or answer not in answers:
+        return "answer tag", 0.0, ""
+    if SECTION_MARK in guess or any(not line for line in guess.split("\n")):
+        return "guess boundary", 0.0, ""
+    whole, point, part = prob.partition(".")
+    digits = all(c in "0123456789" for c in whole + part)
+    if not digits or not (part if point else whole):
+        return "probability", 0.0, ""
+    return (None, float(prob), answer) if float(prob) <= 1 else ("probability range", 0.0, "")
 
 
 def _strict(text: str, n: int, answers) -> tuple:
-    def refused(why):
-        return "rejected", why, None, None
-
-    found = list(_LABEL.finditer(text))
-    if "".join(m[1] + m[2] for m in found) != "".join(f"G{i}P{i}" for i in range(1, n + 1)) or not n:
-        return refused("labels")
-    if len(_LABEL_LIKE.findall(text)) != len(found):
-        return refused("label form")
-    if text[:found[0].start()].strip():
-        return refused("text before")
-    ends = [m.start() for m in found[1:]] + [len(text)]
-    fields = [text[m.end():e].strip() for m, e in zip(found, ends)]
+    """Reads line by line: a label opens the next field, other lines belong to the open one."""
+    awaited = [f"{kind}{i}" for i in range(1, n + 1) for kind in "GP"]
+    fields: list[list[str]] = []
+    for line in text.split("\n"):
+        label = _LABEL.fullmatch(line)
+        if label:
+            indent, kind, number, gap, rest = label.groups()
+            if len(fields) == len(awaited) or awaited[len(fields)] != kind + number:
+                return "rejected", "labels", None, None
+            if indent or gap or not rest.startswith((" ", "\t")) or not rest.strip():
+                return "rejected", "label form", None, None
+            fields.append([rest.strip()])
+        elif fields:
+            fields[-1].append(line)
+        elif line.strip():
+            return "rejected", "text before", None, None
+    if not fields or len(fields) < len(awaited):
+        return "rejected", "labels", None, None
+    values = ["\n".join(f).strip().removesuffix(SECTION_MARK).rstrip() for f in fields]
     records = []
-    for i, (guess, prob) in enumerate(zip(fields[::2], fields[1::2]), 1):
-        said = re.search(r"<([^<>]+)>+$", guess)
-        if said is None or said[1] not in answers:
-            return refused("answer tag")
-        if "\n\n" in guess or SECTION_MARK in guess:
-            return refused("guess boundary")
-        prob = prob.removesuffix(SECTION_MARK).rstrip()
-        if not _BARE_DECIMAL.fullmatch(prob):
-            return refused("probability")
-        if float(prob) > 1:
-            return refused("probability range")
-        records.append((i, guess, prob, said[1]))
-    normal = "\n\n---".join(f"G{i}: {g}\n\nP{i}: {p}" for i, g, p, _ in records)
-    chunked = [c for part in text.split(SECTION_MARK) for c in part.strip().split("\n\n") if c.strip()]
-    as_is = [c.partition(": ")[2].strip() for c in chunked] == [x for _, g, p, _ in records for x in (g, p)]
-    return "unchanged" if as_is else "normalised", None, text if as_is else normal, [(i, g, float(p), a) for i, g, p, a in records]
+    for i in range(n):
+        why, p, answer = _read_record(values[2 * i], values[2 * i + 1], answers)
+        if why:
+            return "rejected", why, None, None
+        records.append((i + 1, values[2 * i], p, answer))
+    written = [f"{label}: {value}" for label, value in zip(awaited, values)]
+    normal = "\n\n---".join("\n\n".join(written[i:i + 2]) for i in range(0, 2 * n, 2))
+    same = text.strip() in (normal, "\n\n".join(written))
+    return "unchanged" if same else "normalised", None, text if same else normal, records
 
 
 def strict_guesses(answer: Column, n: int = 2, answers: Sequence[str] = ("yes", "no")) -> Column:
@@ -207,7 +248,8 @@ def strict_guesses(answer: Column, n: int = 2, answers: Sequence[str] = ("yes",
 
 def probability(answer: Column) -> Column:
     """A reply that is one number from 0 to 1; null otherwise."""
-    p = strip(answer).try_cast("double")
+    said = strip(answer)
+    p = F.when(said.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), said.try_cast("double"))
     return F.when((p >= 0) & (p <= 1), p)
 
 

@@ -58,14 +58,16 @@ def truth_report(ranking: DataFrame, truth: DataFrame, kpi: str, keys: Sequence[
     """Hits and reciprocal rank of the true node, with and without the KPI, and ties at its score.
 
     ``ranking`` holds (keys, node, visits, rank). No window is needed: dropping the
-    KPI moves the truth up by one exactly when the KPI stands before it.
+    KPI moves the truth up by one exactly when the KPI stands before it. Ties are
+    counted among entities. A truth that is not ranked stays, without a rank.
     """
     keys = list(keys)
-    at = ranking.join(truth.select(*keys, "node").distinct(), [*keys, "node"]).select(
-        *keys, F.col("rank").alias("rank_all"), F.col("visits").alias("_v"))
+    at = truth.select(*keys, "node").distinct().join(ranking, [*keys, "node"], "left").select(
+        *keys, "node", F.col("rank").alias("rank_all"), F.col("visits").alias("_v"))
     ahead = ranking.where(F.col("node") == kpi).select(*keys, F.col("rank").alias("_kpi_rank"))
-    ties = ranking.join(at, keys).where(F.col("visits") == F.col("_v")).groupBy(*keys, "rank_all").agg(F.count("*").alias("tied"))
-    out = at.join(ahead, keys, "left").join(ties, [*keys, "rank_all"]).withColumn(
+    others = ranking.where(F.col("node") != kpi).select(*keys, "visits")
+    ties = others.join(at.drop("node"), keys).where(F.col("visits") == F.col("_v")).groupBy(*keys, "rank_all").agg(F.count("*").alias("tied"))
+    out = at.join(ahead, keys, "left").join(ties, [*keys, "rank_all"], "left").fillna(0, ["tied"]).withColumn(
         "rank_entities", F.col("rank_all") - F.coalesce((F.col("_kpi_rank") < F.col("rank_all")).cast("bigint"), F.lit(0)))
     hits = []
     for name in ("rank_all", "rank_entities"):
@@ -119,13 +121,14 @@ def match_service(truth: DataFrame, entities: DataFrame) -> DataFrame:
     """Entities equal to a service label or starting with it and a dash; all matches are kept.
 
     Each name is cut at its dashes and joined on equality, so no label is compared
-    with every name. ``scorable`` holds for a case with exactly one match.
+    with every name. ``scorable`` holds for a case with exactly one match; a label
+    without a match stays, with a null entity, and is not scorable.
     """
     prefixes = let(F.split("entity", "-", -1), lambda words: F.transform(
         F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), "-")))
     cut = entities.select("case", "entity", F.explode(prefixes).alias("label"))
-    found = truth.select("case", "label").join(cut, ["case", "label"])
-    n = found.groupBy("case").agg(F.count("*").alias("n_matches"))
+    found = truth.select("case", "label").join(cut, ["case", "label"], "left")
+    n = found.groupBy("case").agg(F.count("entity").alias("n_matches"))
     return found.join(n, "case").withColumn("scorable", F.col("n_matches") == 1)
 
 

@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 from rcaspark.functions import text as tx
 from rcaspark.operators import evidence, logs
 from rcaspark.operators.edges import PAIR
+from rcaspark.operators.order import full_rank
 from rcaspark.operators.profile import GateError
-from rcaspark.session import TooLarge, cut_lineage
+from rcaspark.session import cut_lineage
 
 Client = Callable[[str, str, float], tuple[str, str]]
-MAX_ENTITIES = 5000  # entities of one case whose ordered pairs are listed
 
 
 def coin_client() -> Client:
@@ -113,22 +113,26 @@ def answer_counts(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # -- pairs and prompts -------------------------------------------------------------
 
-def ordered_pairs(nodes: DataFrame, limit: int = MAX_ENTITIES) -> DataFrame:
-    """All ordered pairs of different entities of a case: the table of questions.
+def ordered_pairs(nodes: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """All ordered pairs of different entities of a case, or the ``candidates`` (case, cause, effect) among them.
 
-    Its size is the square of the entity count, so a case over ``limit`` entities
-    is refused; shorten it with a shortlist first. Each entity lists the positions
-    0 .. n-1 and meets them on (case, pos), without a cross join.
+    All pairs are as many as the square of the entities; for large cases give
+    candidates, such as neighbours in a skeleton. Positions may have gaps:
+    entities are numbered densely here and meet on (case, number), without a
+    cross join. ``pos`` itself comes back.
     """
-    size = nodes.groupBy("case").agg(F.count("*").alias("_n"))
-    big = size.where(F.col("_n") > limit).limit(1).collect()
-    if big:
-        raise TooLarge(f"case {big[0]['case']} has more than {limit} entities")
-    left = nodes.join(size, "case").select(
-        "case", F.col("entity").alias("cause"), F.col("pos").alias("cause_pos"),
-        F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("effect_pos"))
-    right = nodes.select("case", F.col("entity").alias("effect"), F.col("pos").cast("int").alias("effect_pos"))
-    return left.where("cause_pos <> effect_pos").join(right, ["case", "effect_pos"])
+    if candidates is not None:
+        at = nodes.select("case", "entity", "pos")
+        return candidates.select(*PAIR).distinct().where("cause <> effect").join(
+            at.withColumnsRenamed({"entity": "cause", "pos": "cause_pos"}), ["case", "cause"]).join(
+            at.withColumnsRenamed({"entity": "effect", "pos": "effect_pos"}), ["case", "effect"])
+    numbered = full_rank(nodes.select("case", "entity", "pos"), ["case"], [F.col("pos"), F.col("entity")], "_i")
+    size = numbered.groupBy("case").agg(F.max("_i").alias("_n"))
+    left = numbered.join(size, "case").select(
+        "case", F.col("entity").alias("cause"), F.col("pos").alias("cause_pos"), F.col("_i").alias("_own"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i"))
+    right = numbered.select("case", F.col("entity").alias("effect"), F.col("pos").alias("effect_pos"), "_i")
+    return left.where("_own <> _i").drop("_own").join(right, ["case", "_i"]).drop("_i")
 
 
 def with_node_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from rcaspark.operators.order import first_per_group
+from rcaspark.operators.order import first_per_group, full_rank
 
 KEYS = ["case", "entity", "event_id"]
 
@@ -90,9 +90,13 @@ def entity_log_text(events: DataFrame) -> DataFrame:
         F.count("*").alias("n_events"))
 
 
-def log_text(templates: DataFrame, lines: DataFrame, n: int = SAMPLES_PER_EVENT, cap: int = RELEASED_TEMPLATE_CAP, block: int = 1_000_000) -> DataFrame:
-    """Log text per entity from the two log tables."""
-    firsts = cap_templates(first_templates(templates), cap)
+def log_text(templates: DataFrame, lines: DataFrame, n: int = SAMPLES_PER_EVENT, compat: str = "corrected", block: int = 1_000_000) -> DataFrame:
+    """Log text per entity from the two log tables; the released text ends after the first 52 templates."""
+    firsts = first_templates(templates)
+    if compat == "released":
+        firsts = cap_templates(firsts)
+    else:
+        firsts = full_rank(firsts, ["case", "entity"], [F.col("first_pos"), F.col("event_id")], "event_rank")
     wanted = lines.join(firsts.select(*KEYS), KEYS, "left_semi")
     return entity_log_text(event_texts(firsts, strided_sample(wanted, firsts, n, block)))
 

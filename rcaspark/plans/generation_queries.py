@@ -215,7 +215,7 @@ LOG_PROMPT = f"""
     q AS (SELECT entity, 'Entities of a shop:' || chr(10) || chr(10) || names || chr(10) || chr(10) || 'Log events of ' || entity || ', each with examples:' || chr(10) || chr(10)
           || log_text || chr(10) || 'Summarise the role, key events (frequent and rare), status and likely relations of ' || entity || '.' AS prompt FROM lt, pods)
 """
-LOG_TEXT = lq._text_sql(lq.EVENT_LINES).rstrip().removeprefix("\n").replace("SELECT entity, string_agg(text, '' ORDER BY er) AS log_text, count(*) AS n_events FROM b GROUP BY 1", "lt AS (SELECT entity, string_agg(text, '' ORDER BY er) AS log_text FROM b GROUP BY 1)").replace("WHERE er <= 52)", "WHERE er <= 52),")
+LOG_TEXT = lq._text_sql(lq.EVENT_LINES).rstrip().removeprefix("\n").replace("SELECT entity, string_agg(text, '' ORDER BY er) AS log_text, count(*) AS n_events FROM b GROUP BY 1", "lt AS (SELECT entity, string_agg(text, '' ORDER BY er) AS log_text FROM b GROUP BY 1)").replace("WHERE er <= er)", "WHERE er <= er),")
 
 
 @query("gn08_entity_summaries", f"""

@@ -364,9 +364,9 @@ def _(spark, d):
 
 
 @query("ag19_truth_report", f"""
-    WITH {SCORES}, t AS (SELECT truth.c, rk.rank, rk.score FROM truth JOIN rk USING (c, entity)),
+    WITH {SCORES}, t AS (SELECT truth.c, rk.rank, rk.score FROM truth LEFT JOIN rk USING (c, entity)),
     kp AS (SELECT c, max(rank) AS kr FROM rk WHERE entity = 'u12' GROUP BY 1),
-    x AS (SELECT t.c, t.rank AS a, t.rank - CASE WHEN kr < t.rank THEN 1 ELSE 0 END AS e, (SELECT count(*) FROM rk WHERE rk.c = t.c AND rk.score = t.score) AS tied FROM t LEFT JOIN kp USING (c))
+    x AS (SELECT t.c, t.rank AS a, t.rank - CASE WHEN kr < t.rank THEN 1 ELSE 0 END AS e, (SELECT count(*) FROM rk WHERE rk.c = t.c AND rk.score = t.score AND rk.entity <> 'u12') AS tied FROM t LEFT JOIN kp USING (c))
     SELECT CAST(c AS VARCHAR) AS "case", a AS rank_all, CAST(e AS BIGINT) AS rank_entities, tied, a <= 1 AS rank_all_hit_1, a <= 3 AS rank_all_hit_3, a <= 5 AS rank_all_hit_5, round(1.0 / a, 6) AS rank_all_rr,
            e <= 1 AS rank_entities_hit_1, e <= 3 AS rank_entities_hit_3, e <= 5 AS rank_entities_hit_5, round(1.0 / e, 6) AS rank_entities_rr FROM x
 """)
@@ -400,14 +400,17 @@ def _(spark, d):
 
 @query("jn16_prj09_match_service", """
     WITH e AS (SELECT p_partkey, replace(p_name, ' ', '-') || '-' || CAST(p_size AS VARCHAR) || '-' || lower(p_type) AS entity, p_brand AS c FROM part),
-    t AS (SELECT p_brand AS c, min(replace(p_name, ' ', '-')) AS label FROM part GROUP BY 1),
-    m AS (SELECT t.c, label, e.entity FROM t JOIN e ON t.c = e.c AND (e.entity = label OR starts_with(e.entity, label || '-')))
-    SELECT c AS "case", label, entity, count(*) OVER (PARTITION BY c) AS n_matches, count(*) OVER (PARTITION BY c) = 1 AS scorable FROM m
+    t AS (SELECT p_brand AS c, min(replace(p_name, ' ', '-')) AS label FROM part GROUP BY 1
+          UNION ALL SELECT DISTINCT p_brand || '-none', 'absent' FROM part),
+    m AS (SELECT t.c, label, e.entity FROM t LEFT JOIN e ON t.c = e.c AND (e.entity = label OR starts_with(e.entity, label || '-')))
+    SELECT c AS "case", label, entity, count(entity) OVER (PARTITION BY c) AS n_matches, count(entity) OVER (PARTITION BY c) = 1 AS scorable FROM m
 """)
 def _(spark, d):
     p = table(spark, d, "part").withColumn("case", F.col("p_brand")).withColumn("label", F.replace("p_name", F.lit(" "), F.lit("-")))
     ents = p.select("case", F.concat_ws("-", "label", F.col("p_size").cast("string"), F.lower("p_type")).alias("entity"))
-    return evaluate.match_service(p.groupBy("case").agg(F.min("label").alias("label")), ents)
+    labels = p.groupBy("case").agg(F.min("label").alias("label"))
+    absent = labels.select(F.concat("case", F.lit("-none")).alias("case"), F.lit("absent").alias("label"))
+    return evaluate.match_service(labels.unionByName(absent), ents)
 
 
 @query("jn19_published_metrics", f"""

@@ -111,7 +111,7 @@ def _(spark, d):
     return joined.select("entity", "event_id", "template", "occurrence", "pos", "content")
 
 
-def _text_sql(lines):
+def _text_sql(lines, last="er"):
     return f"""
     WITH {lines}, {SAMPLED},
     c AS (SELECT entity, ev, occ, row_number() OVER (PARTITION BY entity ORDER BY first_pos) AS er FROM t),
@@ -119,7 +119,7 @@ def _text_sql(lines):
           FROM s GROUP BY 1, 2),
     b AS (SELECT c.entity, er, '---' || chr(10) || 'Event template: type ' || c.ev || ', with event ID ' || c.ev || ', occurred ' || CAST(occ AS VARCHAR)
                  || ' times.' || chr(10) || chr(10) || 'Here are some examples of this template:' || chr(10) || chr(10) || examples || chr(10) || '---' || chr(10) || chr(10) AS text
-          FROM c JOIN e ON c.entity = e.entity AND c.ev = e.ev WHERE er <= 52)
+          FROM c JOIN e ON c.entity = e.entity AND c.ev = e.ev WHERE er <= {last})
     SELECT entity, string_agg(text, '' ORDER BY er) AS log_text, count(*) AS n_events FROM b GROUP BY 1
     """
 
@@ -134,6 +134,11 @@ def _(spark, d):
     return logs.log_text(*_order_log(spark, d), block=997).select("entity", "log_text", "n_events")
 
 
+@query("fn15_log_text_many_templates_released", _text_sql(ORDER_LINES, logs.RELEASED_TEMPLATE_CAP))
+def _(spark, d):
+    return logs.log_text(*_order_log(spark, d), compat="released", block=997).select("entity", "log_text", "n_events")
+
+
 # -- sources -------------------------------------------------------------------
 
 @query("src03_src04_log_files", """

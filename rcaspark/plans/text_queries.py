@@ -142,10 +142,10 @@ def _(spark, d):
 
 
 @query("fn10_probability", """
-    SELECT event_id, CASE WHEN value / 50 <= 1 THEN round(value / 50, 6) END AS p FROM events
+    SELECT event_id, CASE WHEN value / 50 <= 1 AND event_id % 7 > 1 THEN round(value / 50, 6) END AS p FROM events
 """)
 def _(spark, d):
-    reply = F.concat(F.lit(" "), (F.col("value") / 50).cast("string"), F.lit("\n"))
+    reply = F.concat(F.lit(" "), (F.col("value") / 50).cast("string"), F.when(F.col("event_id") % 7 == 0, "f").when(F.col("event_id") % 7 == 1, "d").otherwise("\n"))
     return table(spark, d, "events").select("event_id", F.round(text.probability(reply), 6).alias("p"))
 
 
