@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rcaspark.operators.edges import PAIR, known_pairs
+from rcaspark.operators.edges import PAIR, drop_mutual_required, known_pairs
 from rcaspark.session import TooLarge, cut_lineage
 
 MAX_COLUMNS = 4000  # a 128 MB matrix of doubles in each task
@@ -336,27 +336,36 @@ def single_parent_scores(wide: DataFrame, columns: Sequence[str], case: str, all
 ENTROPY_K1, ENTROPY_K2, ENTROPY_GAMMA = 79.047, 7.4129, 0.37457
 
 
+def _pair_set(constraints: DataFrame | None, columns: Sequence[str], verdict: int) -> set[tuple[int, int]]:
+    """Constraint pairs as positions on the driver; no more than the cells of the matrices there."""
+    pairs = _positions(constraints, columns, verdict)
+    return set() if pairs is None else {(r["cause"], r["effect"]) for r in pairs.distinct().collect()}
+
+
 def exogenous_order(wide: DataFrame, columns: Sequence[str], constraints: DataFrame | None = None) -> list[str]:
     """Causal order by repeatedly taking the variable most independent of its residuals.
 
     One pass over the rows per step gathers, for all pairs at once, the two
     averages the entropy approximation needs. Residuals are kept as coefficients
     of the original columns, so no intermediate table is written. A variable with
-    a required cause still waiting is not taken.
+    a required cause still waiting is not taken, unless all have one; signs that
+    a forbidden cause comes first are ignored.
     """
     p = len(columns)
     moments = cross_moments(wide, columns)
     _, cov = moment_matrix(moments, p, "cov")
     rows = wide.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
     mean = np.array(rows.agg(*[F.avg(c).alias(c) for c in rows.columns]).first(), dtype=float)
-    required = _positions(constraints, columns, 1)
     before: dict[int, set[int]] = {}
-    for r in [] if required is None else required.collect():
-        before.setdefault(r["effect"], set()).add(r["cause"])
+    for cause, effect in _pair_set(constraints, columns, 1):
+        before.setdefault(effect, set()).add(cause)
+    heard = np.ones((p, p), bool)  # [i, j]: whether j may be a cause of i
+    for cause, effect in _pair_set(constraints, columns, 0):
+        heard[effect, cause] = False
     basis, left, order = np.eye(p), list(range(p)), []
     while len(left) > 1:
         free = [i for i in left if not before.get(i, set()) & set(left)] or left
-        loss = _dependence(rows, basis[left], mean, cov)
+        loss = np.where(heard[np.ix_(left, left)], _dependence(rows, basis[left], mean, cov), 0.0).sum(axis=1)
         best = min(free, key=lambda i: (loss[left.index(i)], i))
         order.append(best)
         left.remove(best)
@@ -368,7 +377,7 @@ def exogenous_order(wide: DataFrame, columns: Sequence[str], constraints: DataFr
 
 
 def _dependence(rows: DataFrame, basis: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    """Loss of each current variable as the exogenous one."""
+    """[i, j]: how much speaks for j before i, for the current variables."""
     k = len(basis)
     inner = basis @ cov @ basis.T
     scale = np.sqrt(np.diag(inner))
@@ -400,27 +409,36 @@ def _dependence(rows: DataFrame, basis: np.ndarray, mean: np.ndarray, cov: np.nd
     own = np.diag(h)
     gain = (own[None, :] + h) - (own[:, None] + h.T)  # for i as cause of j
     np.fill_diagonal(gain, 0.0)
-    return (np.minimum(gain, 0.0) ** 2).sum(axis=1)
+    return np.minimum(gain, 0.0) ** 2
 
 
 def linear_non_gaussian(wide: DataFrame, columns: Sequence[str], case: str, constraints: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
     """Order, then each variable regressed on those before it: (case, cause, effect, mark, weight).
 
     Weights follow from the covariance alone; a cause is kept where its partial
-    correlation given the other earlier variables is significant.
+    correlation given the other earlier variables is significant. Pairs required
+    both ways lose both verdicts first. A forbidden cause is left out of the
+    regression, so it is no edge and takes no weight from others; a required
+    cause comes earlier, yet must be significant as well.
     """
+    constraints = None if constraints is None else drop_mutual_required(constraints)
     order = exogenous_order(wide, columns, constraints)
+    forbidden = _pair_set(constraints, order, 0)
     moments = cross_moments(wide, order)
     n, cov = moment_matrix(moments, len(order), "cov")
     corr = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
-    separates = fisher_test(alpha)
+    limit = NormalDist().inv_cdf(1 - alpha / 2)
     out = []
     for e in range(1, len(order)):
-        weights = np.linalg.pinv(cov[:e, :e]) @ cov[:e, e]
-        for c in range(e):
-            others = np.array([[o for o in range(e) if o != c]], dtype=int)
-            if not separates(corr, n, c, e, others)[0]:
-                out.append((case, order[c], order[e], "->", float(weights[c])))
+        causes = [c for c in range(e) if (c, e) not in forbidden]
+        if not causes:
+            continue
+        # The last row of one inverse holds the partial correlations of the effect with all its causes.
+        inv = np.linalg.pinv(corr[np.ix_([*causes, e], [*causes, e])], hermitian=True)
+        partial = -inv[-1, :-1] / np.sqrt(np.abs(inv[-1, -1] * np.diag(inv)[:-1]))
+        weights = np.linalg.pinv(cov[np.ix_(causes, causes)], hermitian=True) @ cov[causes, e]
+        kept = fisher_z(partial, n, len(causes) - 1) > limit
+        out += [(case, order[c], order[e], "->", float(w)) for c, w, k in zip(causes, weights, kept) if k]
     return wide.sparkSession.createDataFrame(out, "case string, cause string, effect string, mark string, weight double")
 
 

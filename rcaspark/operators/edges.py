@@ -116,24 +116,40 @@ def graph_metrics(predicted: DataFrame, truth: DataFrame, nodes: DataFrame) -> D
         "extra", "missing", "reversed", "shd", (F.col("shd") / cells).alias("nhd"))
 
 
-def _one_row_per_edge(edges: DataFrame) -> DataFrame:
-    """Symmetric marks once, in name order."""
-    return edges.where("mark = '->' or cause < effect").select(*PAIR, "mark")
+def _marks_by_pair(edges: DataFrame, name: str) -> DataFrame:
+    """(case, low, high, name): the marks between two nodes, of at most four kinds, read from the lower name."""
+    forward = F.col("cause") < F.col("effect")
+    mark = F.when((F.col("mark") == "->") & ~forward, "<-").otherwise(F.col("mark"))
+    return edges.where("cause <> effect").groupBy(
+        "case", F.least("cause", "effect").alias("low"), F.greatest("cause", "effect").alias("high")
+    ).agg(F.array_sort(F.collect_set(mark)).alias(name))
 
 
 def graph_difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Edges by mark in both stages, and how many are shared, lost and new."""
-    a = _one_row_per_edge(before).withColumnRenamed("mark", "mark_before")
-    b = _one_row_per_edge(after).withColumnRenamed("mark", "mark_after")
-    x, y = F.col("mark_before"), F.col("mark_after")
-    by_mark = [F.count_if(c == m).alias(f"{s}_{n}") for s, c in (("before", x), ("after", y))
-               for n, m in (("directed", "->"), ("undirected", "--"), ("bidirected", "<->"))]
-    return a.join(b, PAIR, "full_outer").groupBy("case").agg(
+    """Edges by mark in both stages; directed edges and linked pairs that are shared, lost and new.
+
+    ``directed_*`` compares ordered pairs with ``->`` and nothing else. The other
+    counts are on unordered pairs: the same marks in both stages, other marks
+    (turned round or of another kind), linked in one stage only.
+    """
+    pairs = _marks_by_pair(before, "_before").join(_marks_by_pair(after, "_after"), ["case", "low", "high"], "full_outer")
+    x, y = (F.coalesce(c, F.array().cast("array<string>")) for c in ("_before", "_after"))
+    kinds = {"directed": ("->", "<-"), "undirected": ("--",), "bidirected": ("<->",)}
+
+    def held(marks, kind):
+        return F.array_intersect(marks, F.array(*[F.lit(m) for m in kinds[kind]]))
+
+    by_mark = [F.sum(F.size(held(c, k))).alias(f"{s}_{k}") for s, c in (("before", x), ("after", y)) for k in kinds]
+    a, b = held(x, "directed"), held(y, "directed")
+    return pairs.groupBy("case").agg(
         *by_mark,
-        F.count_if(x.isNotNull() & (x == y)).alias("shared"),
-        F.count_if(x.isNotNull() & y.isNotNull() & (x != y)).alias("changed"),
-        F.count_if(y.isNull()).alias("only_before"),
-        F.count_if(x.isNull()).alias("only_after"))
+        F.sum(F.size(F.array_intersect(a, b))).alias("directed_shared"),
+        F.sum(F.size(F.array_except(a, b))).alias("directed_lost"),
+        F.sum(F.size(F.array_except(b, a))).alias("directed_new"),
+        F.count_if(x == y).alias("shared"),
+        F.count_if((F.size(x) > 0) & (F.size(y) > 0) & (x != y)).alias("changed"),
+        F.count_if(F.size(y) == 0).alias("only_before"),
+        F.count_if(F.size(x) == 0).alias("only_after"))
 
 
 def verdicts_against_edges(constraints: DataFrame, edges: DataFrame) -> DataFrame:

@@ -30,9 +30,9 @@ def column_profile(channels: DataFrame, keys: Sequence[str] = ("case", "entity",
 
 
 def interval_histogram(times: DataFrame, keys: Sequence[str], block: Column, order: str = "ts") -> DataFrame:
-    """How often each gap between neighbouring timestamps occurs."""
+    """How often each gap between neighbouring timestamps occurs; seconds, with their fractions."""
     gaps = with_previous(times, keys, order, block).where("previous is not null")
-    seconds = F.unix_seconds(F.col(order).cast("timestamp")) - F.unix_seconds(F.col("previous").cast("timestamp"))
+    seconds = (F.unix_micros(F.col(order).cast("timestamp")) - F.unix_micros(F.col("previous").cast("timestamp"))) / 1_000_000
     return gaps.select(*keys, seconds.alias("seconds")).groupBy(*keys, "seconds").agg(F.count("*").alias("n"))
 
 

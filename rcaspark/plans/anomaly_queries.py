@@ -155,13 +155,15 @@ def _wide(spark, d):
 
 @query("src01_snk01_wide_csv", f"""
     WITH ch AS ({fx.CHANNELS_SQL}), kp AS ({fx.KPI_SQL}), e AS (SELECT p.entity, kp.day, avg(value) AS v FROM (SELECT DISTINCT entity FROM ch) p CROSS JOIN kp LEFT JOIN ch ON ch.entity = p.entity AND ch.day = kp.day GROUP BY 1, 2)
-    SELECT entity, CAST(substr(entity, 5) AS INTEGER) AS pos, false AS is_kpi, round(v, 6) AS value FROM e UNION ALL SELECT 'Latency', 5, true, round(kpi, 6) FROM kp
+    SELECT row_number() OVER (PARTITION BY entity ORDER BY day) AS step, entity, CAST(substr(entity, 5) AS INTEGER) AS pos, false AS is_kpi, round(v, 6) AS value FROM e
+    UNION ALL SELECT row_number() OVER (ORDER BY day), 'Latency', 5, true, round(kpi, 6) FROM kp
 """)
 def _(spark, d):
     wide, columns = _wide(spark, d)
     path = scratch_path(spark, "wide")
     sinks.write_wide_csv(wide, path, columns)
-    return metrics.read_wide(spark, f"{path}/values", columns).select("entity", "pos", "is_kpi", F.round("value", 6).alias("value"))
+    steps = full_rank(metrics.read_wide(spark, f"{path}/values", columns), ["entity"], [F.col("file"), F.col("row")], "step")
+    return steps.select("step", "entity", "pos", "is_kpi", F.round("value", 6).alias("value"))
 
 
 @query("src02_truth_matrix", """

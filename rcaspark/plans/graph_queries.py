@@ -166,11 +166,15 @@ def _(spark, d):
 
 
 @query("ag26_graph_difference", f"""
-    WITH {FLOWS}, a AS (SELECT * FROM e1 WHERE mark = '->' OR cause < effect), b AS (SELECT * FROM e2 WHERE mark = '->' OR cause < effect),
-    j AS (SELECT a.mark AS x, b.mark AS y FROM a FULL JOIN b ON a.cause = b.cause AND a.effect = b.effect)
-    SELECT count(*) FILTER (x = '->') AS before_directed, count(*) FILTER (x = '--') AS before_undirected, count(*) FILTER (x = '<->') AS before_bidirected,
-           count(*) FILTER (y = '->') AS after_directed, count(*) FILTER (y = '--') AS after_undirected, count(*) FILTER (y = '<->') AS after_bidirected,
-           count(*) FILTER (x = y) AS shared, count(*) FILTER (x <> y) AS changed, count(*) FILTER (y IS NULL) AS only_before, count(*) FILTER (x IS NULL) AS only_after FROM j
+    WITH {FLOWS}, a AS (SELECT least(cause, effect) AS lo, greatest(cause, effect) AS hi, min(CASE WHEN mark = '->' AND cause > effect THEN '<-' ELSE mark END) AS x FROM e1 GROUP BY 1, 2),
+    b AS (SELECT least(cause, effect) AS lo, greatest(cause, effect) AS hi, min(CASE WHEN mark = '->' AND cause > effect THEN '<-' ELSE mark END) AS y FROM e2 GROUP BY 1, 2),
+    d1 AS (SELECT cause, effect FROM e1 WHERE mark = '->'), d2 AS (SELECT cause, effect FROM e2 WHERE mark = '->')
+    SELECT (SELECT count(*) FROM d1) AS before_directed, count(*) FILTER (x = '--') AS before_undirected, count(*) FILTER (x = '<->') AS before_bidirected,
+           (SELECT count(*) FROM d2) AS after_directed, count(*) FILTER (y = '--') AS after_undirected, count(*) FILTER (y = '<->') AS after_bidirected,
+           (SELECT count(*) FROM (FROM d1 INTERSECT FROM d2)) AS directed_shared, (SELECT count(*) FROM (FROM d1 EXCEPT FROM d2)) AS directed_lost,
+           (SELECT count(*) FROM (FROM d2 EXCEPT FROM d1)) AS directed_new,
+           count(*) FILTER (x = y) AS shared, count(*) FILTER (x <> y) AS changed, count(*) FILTER (y IS NULL) AS only_before, count(*) FILTER (x IS NULL) AS only_after
+    FROM a FULL JOIN b USING (lo, hi)
 """)
 def _(spark, d):
     return edges.graph_difference(_before(spark, d), _after(spark, d)).drop("case")

@@ -158,12 +158,9 @@ def _(spark, d):
         F.col("template").alias("EventTemplate"), F.col("occurrence").alias("Occurrence"))
     structured.write.partitionBy("file").option("escape", '"').csv(f"{root}/structured", header=True)
     template.write.partitionBy("file").option("escape", '"').csv(f"{root}/templates", header=True)
-    entity = F.regexp_extract("path", r"file=(.*)_messages_(?:templates|structured)\.csv/", 1)
-    s = spark.read.csv(f"{root}/structured/*", header=True, schema=src.STRUCTURED_SCHEMA, escape='"').withColumn("path", F.col("_metadata.file_path"))
-    t = spark.read.csv(f"{root}/templates/*", header=True, schema=src.TEMPLATE_SCHEMA, escape='"').withColumn("path", F.col("_metadata.file_path"))
-    n = s.groupBy(entity.alias("entity"), F.col("EventId").alias("event_id")).agg(
-        F.count("*").alias("n_lines"), F.min("LineId").alias("first_pos"), F.max("LineId").alias("last_pos"))
-    return n.join(t.select(entity.alias("entity"), F.col("EventId").alias("event_id"), F.col("Occurrence").alias("occurrence")), ["entity", "event_id"])
+    n = src.read_structured(spark, f"{root}/structured/*").groupBy("entity", "event_id").agg(
+        F.count("*").alias("n_lines"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    return n.join(src.read_templates(spark, f"{root}/templates/*").select("entity", "event_id", "occurrence"), ["entity", "event_id"])
 
 
 @query("src06_json_hits", """

@@ -176,8 +176,8 @@ def _(spark, d):
 
 @query("ag07_interval_histogram", f"""
     WITH h AS ({HOURLY}),
-    g AS (SELECT metric, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY metric ORDER BY ts)) AS seconds FROM h)
-    SELECT metric, CAST(seconds AS BIGINT) AS seconds, count(*) AS n FROM g WHERE seconds IS NOT NULL GROUP BY 1, 2
+    g AS (SELECT metric, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY metric ORDER BY ts))) / 1000000 AS seconds FROM h)
+    SELECT metric, CAST(seconds AS DOUBLE) AS seconds, count(*) AS n FROM g WHERE seconds IS NOT NULL GROUP BY 1, 2
 """)
 def _(spark, d):
     return profile.interval_histogram(fx.hourly(spark, d), ["metric"], align.time_block(F.col("ts"), 86_400 * 7))

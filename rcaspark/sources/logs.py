@@ -11,7 +11,8 @@ STRUCTURED_SUFFIX = "_messages_structured.csv"
 TEMPLATE_SCHEMA = "EventId STRING, EventTemplate STRING, Occurrence BIGINT"
 STRUCTURED_SCHEMA = "LineId BIGINT, Time STRING, Content STRING, EventId STRING, EventTemplate STRING, ParameterList STRING"
 
-_PAIR_NAME = r"^(.*)_messages_(templates|structured)\.csv$"
+# A file of that name, or a folder of part files that stands for it.
+_PAIR_NAME = r"(?:^|/)(?:file=)?([^/]*)_messages_(templates|structured)\.csv(?:/[^/]*)?$"
 
 HIT_SCHEMA = (
     "hits STRUCT<hits: ARRAY<STRUCT<_source: STRUCT<"
@@ -33,11 +34,11 @@ def stem(path: Column) -> Column:
 
 
 def entity_of(path: Column) -> Column:
-    return F.regexp_extract(base_name(path), _PAIR_NAME, 1)
+    return F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), _PAIR_NAME, 1)
 
 
 def kind_of(path: Column) -> Column:
-    return F.regexp_extract(base_name(path), _PAIR_NAME, 2)
+    return F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), _PAIR_NAME, 2)
 
 
 def file_catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -69,8 +70,12 @@ def read_templates(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_structured(spark: SparkSession, glob: str) -> DataFrame:
-    """All structured files in one scan; the line number of the file is the order."""
-    raw = spark.read.csv(glob, header=True, schema=STRUCTURED_SCHEMA, escape='"')
+    """All structured files in one scan; the line number of the file is the order.
+
+    Contents may hold quoted line breaks, so a file is read as one stream of
+    records; files, one per pod, are the unit of work.
+    """
+    raw = spark.read.csv(glob, header=True, schema=STRUCTURED_SCHEMA, multiLine=True, escape='"')
     return raw.select(
         entity_of(F.col("_metadata.file_path")).alias("entity"),
         F.col("EventId").alias("event_id"), F.col("Time").alias("time"),

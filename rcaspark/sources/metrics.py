@@ -43,14 +43,21 @@ def panel_to_long(panel: DataFrame) -> DataFrame:
 
 
 def read_wide(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
-    """A wide CSV of doubles to (entity, pos, is_kpi, row, value); the last column is the KPI."""
+    """A wide CSV of doubles to (file, row, entity, pos, is_kpi, value); the last column is the KPI.
+
+    The rows of a wide table are in time order: ``row`` grows with the lines of
+    a file, and part files follow by name. It orders, but is no dense number.
+    """
     schema = T.StructType([T.StructField(c, T.DoubleType()) for c in header])
     wide = spark.read.csv(path, header=True, schema=schema, enforceSchema=False)
+    # A split is read in order by one task, and splits follow by where they start.
+    line = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     cells = F.array(*[
         F.struct(F.lit(c).alias("entity"), F.lit(i).alias("pos"), F.lit(i == len(header) - 1).alias("is_kpi"),
                  F.col(f"`{c}`").alias("value"))
         for i, c in enumerate(header)])
-    return wide.select(F.inline(cells))
+    placed = wide.select(F.col("_metadata.file_path").alias("file"), line.alias("row"), cells.alias("cells"))
+    return placed.select("file", "row", F.inline("cells"))
 
 
 def read_truth_matrix(spark: SparkSession, rows: DataFrame, labels: Sequence[str]) -> DataFrame:

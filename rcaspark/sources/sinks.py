@@ -74,8 +74,8 @@ def read_identified(spark: SparkSession, path: str, identity: str) -> DataFrame:
 
 
 def write_answers(df: DataFrame, path: str) -> None:
-    """Pair answers by case, algorithm and variant."""
-    df.write.mode("append").partitionBy("case", "algorithm", "variant").parquet(path)
+    """Pair answers by case, algorithm and variant; a variant written again takes the place of its older answers."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("case", "algorithm", "variant").parquet(path)
 
 
 def read_answers(spark: SparkSession, path: str, case: str, algorithm: str, variant: str) -> DataFrame:

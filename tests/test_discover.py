@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rcaspark.operators import discover
+from rcaspark.operators import discover, edges, profile
 from rcaspark.streaming import spot, stream
 
 
@@ -58,6 +58,17 @@ def test_non_gaussian_order(wide):
     assert got == {("a", "c"), ("b", "c"), ("c", "d")}
 
 
+def test_non_gaussian_order_follows_verdicts(wide, spark):
+    def found(*verdicts):
+        known = spark.createDataFrame([("k", *v) for v in verdicts], "case string, cause string, effect string, verdict int")
+        return {(r["cause"], r["effect"]) for r in discover.discover(wide, ["d", "a", "c", "b"], "k", "lingam", constraints=known, alpha=0.001).collect()}
+
+    free = {("a", "c"), ("b", "c"), ("c", "d")}
+    assert ("c", "d") not in found(("c", "d", 0)) and ("a", "c") in found(("c", "d", 0))
+    assert found(("a", "c", 1), ("c", "a", 1)) == free  # required both ways: no verdict
+    assert ("d", "c") in found(("d", "c", 1))
+
+
 def test_single_parents_respect_allowed(wide, spark):
     only = spark.createDataFrame([("k", "c", "d", 1)], "case string, cause string, effect string, verdict int")
     got = discover.discover(wide, ["d", "a", "c", "b"], "k", "exact", constraints=only).collect()
@@ -120,3 +131,25 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     want = sorted((r["c"], f"{r['t']:08d}", r["idx"], r["score"]) for r in spot.spot_scores(rows, ["c"], "t", "v").collect())
     assert sorted((r["channel"], r["seq"], r["idx"], r["score"]) for r in scored.collect()) == want
     assert sorted((r["seq"], r["status"]) for r in aside.collect()) == [("00000007", "late"), ("00000650", "nonfinite")]
+
+
+# -- differences of graphs ------------------------------------------------------------
+
+def test_difference_sees_turned_and_changed_edges(spark):
+    def graph(*rows):
+        both = [r for c, e, m in rows for r in ([(c, e, m)] if m == "->" else [(c, e, m), (e, c, m)])]
+        return spark.createDataFrame([("k", *r) for r in both], "case string, cause string, effect string, mark string")
+
+    before = graph(("a", "b", "--"), ("c", "d", "->"), ("e", "f", "->"), ("g", "h", "->"), ("i", "j", "<->"))
+    after = graph(("b", "a", "->"), ("c", "d", "->"), ("f", "e", "->"), ("k", "l", "->"), ("i", "j", "<->"))
+    got = edges.graph_difference(before, after).first().asDict()
+    assert (got["directed_shared"], got["directed_lost"], got["directed_new"]) == (1, 2, 3)
+    assert (got["shared"], got["changed"], got["only_before"], got["only_after"]) == (2, 2, 1, 1)
+    assert [got[f"before_{k}"] for k in ("directed", "undirected", "bidirected")] == [3, 1, 1]
+    assert [got[f"after_{k}"] for k in ("directed", "undirected", "bidirected")] == [4, 0, 1]
+
+
+def test_gaps_keep_fractions_of_seconds(spark):
+    rows = spark.createDataFrame([("x", 0.0), ("x", 0.25), ("x", 0.5), ("x", 2.0)], "c string, t double").select("c", F.timestamp_seconds("t").alias("ts"))
+    got = profile.interval_histogram(rows, ["c"], F.unix_seconds("ts")).collect()
+    assert sorted((r["seconds"], r["n"]) for r in got) == [(0.25, 2), (1.5, 1)]

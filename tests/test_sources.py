@@ -21,6 +21,22 @@ def test_pod_files_keep_entity_and_order(spark, tmp_path):
     assert sorted((r["entity"], r["kind"]) for r in files) == [("web-1", "structured"), ("web-1", "templates")]
 
 
+def test_structured_contents_keep_line_breaks(spark, tmp_path):
+    rows = ['1,t1,"first\nsecond, ""quoted""",E1,x,[]', "2,t2,plain,E2,y,[]"]
+    for pod in ("web-1", "db-2"):
+        (tmp_path / f"{pod}_messages_structured.csv").write_text("\n".join(["LineId,Time,Content,EventId,EventTemplate,ParameterList", *rows, ""]))
+    got = logs.read_structured(spark, f"{tmp_path}/*_messages_structured.csv").collect()
+    assert sorted((r["entity"], r["pos"], r["content"], r["event_id"]) for r in got) == [
+        (pod, *row) for pod in ("db-2", "web-1") for row in ((1, 'first\nsecond, "quoted"', "E1"), (2, "plain", "E2"))]
+
+
+def test_entity_of_files_and_folders(spark):
+    paths = ["/a/b/web=1_messages_templates.csv", "file:/a/file=db-2_messages_structured.csv/part-0.csv", "C:\\x\\p_messages_templates.csv", "/a/other.csv"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = {r["path"]: (r["e"], r["k"]) for r in rows.select("path", logs.entity_of(F.col("path")).alias("e"), logs.kind_of(F.col("path")).alias("k")).collect()}
+    assert [got[p] for p in paths] == [("web=1", "templates"), ("db-2", "structured"), ("p", "templates"), ("", "")]
+
+
 def test_hits_with_absent_fields(spark, tmp_path):
     page = {"hits": {"hits": [{"_source": {"@timestamp": "t", "kubernetes": {"pod_name": "p"}}}, {"_source": {"message": "m"}}]}}
     (tmp_path / "h.json").write_text(json.dumps(page, indent=1))
@@ -66,4 +82,28 @@ def test_wide_csv_round_trip(spark, tmp_path):
     sinks.write_wide_csv(wide, f"{tmp_path}/w", ["a", "Latency"])
     got = metrics.read_wide(spark, f"{tmp_path}/w/values", ["a", "Latency"]).where("entity = 'a'").collect()
     assert sorted(r["value"] for r in got) == [1e-17, 0.1 + 0.2]
+    in_order = metrics.read_wide(spark, f"{tmp_path}/w/values", ["a", "Latency"]).where("is_kpi").orderBy("file", "row").collect()
+    assert [r["value"] for r in in_order] == [6.0, 5.0]  # time order
     assert {(r["entity"], r["is_kpi"]) for r in metrics.read_wide(spark, f"{tmp_path}/w/values", ["a", "Latency"]).collect()} == {("a", False), ("Latency", True)}
+
+
+def test_wide_rows_keep_time_order_over_splits(spark, tmp_path):
+    spark.range(20_000).selectExpr("id ts", "cast(id as double) a", "-cast(id as double) Latency").createOrReplaceTempView("steps")
+    sinks.write_wide_csv(spark.table("steps"), f"{tmp_path}/w", ["a", "Latency"])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = metrics.read_wide(spark, f"{tmp_path}/w/values", ["a", "Latency"]).where("entity = 'a'").orderBy("file", "row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["value"] for r in got] == [float(i) for i in range(20_000)]
+
+
+def test_answers_written_again_are_not_doubled(spark, tmp_path):
+    def rows(variant, answers):
+        return spark.createDataFrame([("c", "pc", variant, a) for a in answers], "case string, algorithm string, variant string, answer string")
+
+    sinks.write_answers(rows("one", ["x", "y"]).unionByName(rows("two", ["z"])), f"{tmp_path}/a")
+    sinks.write_answers(rows("one", ["x", "w"]), f"{tmp_path}/a")
+    assert sorted(r["answer"] for r in sinks.read_answers(spark, f"{tmp_path}/a", "c", "pc", "one").collect()) == ["w", "x"]
+    assert sinks.read_answers(spark, f"{tmp_path}/a", "c", "pc", "two").count() == 1
