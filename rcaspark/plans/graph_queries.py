@@ -67,6 +67,12 @@ def _after(spark, d):
     return _graph(_flows(spark, d), "n", "<->")
 
 
+def _both(spark, d):
+    """Both graphs from one trade join."""
+    f = _flows(spark, d)
+    return _graph(f, "q", "--"), _graph(f, "n", "<->")
+
+
 def _verdicts(spark, d):
     f = _flows(spark, d)
     mean = f.groupBy("case").agg(F.avg("n").alias("_mean"))
@@ -88,8 +94,9 @@ def _(spark, d):
         a = e.select("case", F.col("cause").alias("a"), F.col("effect").alias("b"), here.alias("mark"))
         b = e.select("case", F.col("effect").alias("a"), F.col("cause").alias("b"), there.alias("mark"))
         return a.unionByName(b).distinct()
-    one = edges.marks_from_endpoints(cells(_before(spark, d)))
-    two = edges.marks_from_endpoints(cells(_after(spark, d))).where("mark = '<->'")
+    before, after = _both(spark, d)
+    one = edges.marks_from_endpoints(cells(before))
+    two = edges.marks_from_endpoints(cells(after)).where("mark = '<->'")
     return one.unionByName(two).drop("case")
 
 
@@ -161,7 +168,7 @@ def _(spark, d):
            round((extra + missing + reversed) / cells, 6) AS nhd FROM k
 """)
 def _(spark, d):
-    m = edges.graph_metrics(_before(spark, d), _after(spark, d), _nations(spark, d)).drop("case")
+    m = edges.graph_metrics(*_both(spark, d), _nations(spark, d)).drop("case")
     return m.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in m.dtypes])
 
 
@@ -177,7 +184,7 @@ def _(spark, d):
     FROM a FULL JOIN b USING (lo, hi)
 """)
 def _(spark, d):
-    return edges.graph_difference(_before(spark, d), _after(spark, d)).drop("case")
+    return edges.graph_difference(*_both(spark, d)).drop("case")
 
 
 # -- walk -----------------------------------------------------------------------
@@ -261,7 +268,8 @@ def _(spark, d):
     WITH {FLOWS} SELECT 'first' AS stage, cause, effect FROM e1 UNION ALL SELECT 'explained', cause, effect FROM e1 UNION ALL SELECT 'refined', cause, effect FROM e2
 """)
 def _(spark, d):
-    graphs = _before(spark, d).withColumn("graph_role", F.lit("initial")).unionByName(_after(spark, d).withColumn("graph_role", F.lit("refined")))
+    before, after = _both(spark, d)
+    graphs = before.withColumn("graph_role", F.lit("initial")).unionByName(after.withColumn("graph_role", F.lit("refined")))
     stages = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(r).alias("graph_role")) for s, r in (("first", "initial"), ("explained", "initial"), ("refined", "refined"))])
     routes = _kpi(spark, d).select("case", F.inline(stages))
     return walk.route_stages(graphs, routes).select("stage", "cause", "effect")
