@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rcaspark.functions.vectors import doubles, squared_distance
+from rcaspark.functions.vectors import doubles
 from rcaspark.operators.order import first_per_group
-from rcaspark.session import bounded_rows, cut_lineage
+from rcaspark.session import cut_lineage
 
-QUERY_BLOCK = 256  # queries one pass holds in each task
+QUERY_BLOCK, VECTOR_BLOCK = 256, 1024  # queries of a pack and vectors of a block
+BLOCKS_PER_CELL = 4  # blocks of vectors that meet a pack in one task
 DIGITS = 9  # distances equal to this many digits are ties
 TIE = 2e-9
 
@@ -30,62 +31,70 @@ def embed(rows: DataFrame, text: str, fn: Embed) -> DataFrame:
     return rows.withColumn("embedding", fn(F.col(text)))
 
 
+def _packed(rows: int):
+    """Rows (id, array of doubles) as blocks of at most ``rows``: the ids, and the numbers as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                ids, items = part.columns
+                numbers = items.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([numbers.tobytes()], pa.binary())],
+                    ["ids", "items"])
+
+    return run
+
+
+def _blocks(rows: DataFrame, name: str, embedding: str, size: int, prefix: str) -> DataFrame:
+    kind = dict(rows.dtypes)[name]
+    whole = rows.select(name, doubles(F.col(embedding)).alias("_items")).where(F.col("_items").isNotNull() & F.col(name).isNotNull())
+    packed = whole.mapInArrow(_packed(size), f"ids array<{kind}>, items binary")
+    return packed.withColumnsRenamed({"ids": f"{prefix}_ids", "items": f"{prefix}_items"})
+
+
+def _meet(k: int, query_id: str, vector_id: str):
+    """The k nearest of a block of vectors, ties at the edge included, for each query of a pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [batch.column(c) for c in ("q_ids", "v_ids")]
+            for row in range(batch.num_rows):
+                asked, held = (c[row].values for c in ids)
+                q, v = (np.frombuffer(batch.column(c)[row].as_py(), "<f8").reshape(len(n), -1) for c, n in (("q_items", asked), ("v_items", held)))
+                d = (q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)[None, :]
+                edge = min(k, len(held)) - 1
+                i, j = np.nonzero(d <= np.partition(d, edge, axis=1)[:, [edge]] + TIE)
+                exact = ((q[i] - v[j]) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(i)), held.take(pa.array(j)), pa.array(exact)], [query_id, vector_id, "distance"])
+
+    return run
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest vectors of each query by squared L2 distance, ties by id: exact.
 
-    Queries travel in blocks of bounded size, one pass over the vectors each.
-    Every task keeps the best k per query of what it sees, so the shuffle holds
-    k rows per query and task. The distance itself is then taken from the kept
-    vectors, to ``DIGITS`` digits.
+    Both tables are read once and cut into blocks. Every block of vectors meets
+    every pack of queries in one join on dense numbers, whatever their count;
+    it sends on the best k of each query with their distances, to ``DIGITS``
+    digits. Rows without an id or a vector take no part.
     """
-    queries = cut_lineage(queries.select(query_id, doubles(F.col("embedding")).alias("_q")))
-    n = queries.count()
-    blocks = -(-n // block)
-    if blocks <= 1:
-        parts = [queries]
-    else:
-        place = F.pmod(F.xxhash64(query_id), F.lit(blocks * 2))
-        parts = [queries.where(place == b) for b in range(blocks * 2)]
-    out = None
-    for part in parts:
-        one = _nearest_block(part, vectors, k, query_id, vector_id, block * 2)
-        if len(parts) > 1:
-            one = cut_lineage(first_per_group(one, [query_id], [F.col("distance"), F.col(vector_id)], k).drop("rank"))
-        out = one if out is None else out.unionByName(one)
-    return first_per_group(out, [query_id], [F.col("distance"), F.col(vector_id)], k)
-
-
-def _nearest_block(queries, vectors, k, query_id, vector_id, limit):
-    rows = bounded_rows(queries, limit, "query block")
-    ids = [r[query_id] for r in rows]
-    q = np.array([r["_q"] for r in rows], dtype=float)
-    types = dict(vectors.dtypes)
-    id_type = dict(queries.dtypes)[query_id]
-    schema = f"`{query_id}` {id_type}, `{vector_id}` {types[vector_id]}"
-
-    def within(d: np.ndarray) -> np.ndarray:
-        """Which columns are among a row's k smallest, ties by rounding included."""
-        at = min(k, d.shape[1]) - 1
-        return d <= np.partition(d, at, axis=1)[:, [at]] + TIE
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, who = np.zeros((len(ids), 0)), np.zeros(0, dtype=object)
-        for pdf in batches:
-            if not len(pdf) or not ids:
-                continue
-            v = np.stack(pdf["embedding"].to_numpy()).astype(float)
-            d = np.maximum((q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)[None, :], 0)
-            near = np.concatenate([near, d], axis=1)
-            who = np.concatenate([who, pdf[vector_id].to_numpy(dtype=object)])
-            live = within(near).any(axis=0)
-            near, who = near[:, live], who[live]
-        if near.shape[1]:
-            i, j = np.nonzero(within(near))
-            yield pd.DataFrame({query_id: [ids[x] for x in i], vector_id: who[j]})
-
-    pairs = vectors.select(vector_id, "embedding").mapInPandas(best, schema)
-    full = pairs.join(vectors.select(vector_id, doubles(F.col("embedding")).alias("_v")), vector_id).join(queries, query_id)
-    return full.select(query_id, vector_id, F.round(squared_distance(F.col("_q"), F.col("_v")), DIGITS).alias("distance"))
+    queries = queries.select(query_id, "embedding")
+    packs = max(1, -(-queries.count() // block))
+    # A hash of the id may fill a partition with several packs; they share its number.
+    asked = _blocks(queries.repartition(packs, query_id), query_id, "embedding", block, "q")
+    asked = cut_lineage(asked.withColumn("pack", F.spark_partition_id()))
+    held = cut_lineage(_blocks(vectors, vector_id, "embedding", VECTOR_BLOCK, "v"))
+    cells = max(1, -(-held.count() // BLOCKS_PER_CELL))
+    grid = held.withColumn("cell", F.expr(f"cast(pmod(xxhash64(v_items), {cells}) as int)")).withColumn(
+        "pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    spread = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    found = grid.join(spread, ["pack", "cell"]).select("q_ids", "q_items", "v_ids", "v_items").mapInArrow(
+        _meet(k, query_id, vector_id),
+        f"`{query_id}` {dict(queries.dtypes)[query_id]}, `{vector_id}` {dict(vectors.dtypes)[vector_id]}, distance double")
+    found = found.withColumn("distance", F.round("distance", DIGITS))
+    return first_per_group(found, [query_id], [F.col("distance"), F.col(vector_id)], k)
 
 
 def rearranged_index(rows: DataFrame, keys: Sequence[str], item: str, pos: str, name: str = "shown") -> DataFrame:
