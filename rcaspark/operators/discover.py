@@ -26,15 +26,8 @@ TESTS_PER_ROW = 2048
 
 # -- sufficient statistics -----------------------------------------------------
 
-def _few_partials(rows: DataFrame, cells: int) -> DataFrame:
-    """With many result cells, one partial result per core and not per file split."""
-    if cells < 50_000:
-        return rows
-    return rows.coalesce(max(2, rows.sparkSession.sparkContext.defaultParallelism))
-
-
 def cross_moments(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(i, j, n, cov, r) for i <= j: centred cross products, summed per partition first."""
+    """(i, j, n, cov, r) for i <= j: centred cross products, summed per split first; a lost task repeats its split only."""
     if len(columns) > MAX_COLUMNS:
         raise TooLarge(f"more than {MAX_COLUMNS} columns")
     cols = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
@@ -51,7 +44,7 @@ def cross_moments(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
             total += x.T @ x
         yield pd.DataFrame({"i": upper[0], "j": upper[1], "s": total[upper]})
 
-    sums = _few_partials(rows, p * p).mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    sums = rows.mapInPandas(partial, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
     scale = sums.where("i = j").select(F.col("i").alias("_k"), F.sqrt("s").alias("_d"))
     return (
         sums.join(scale.withColumnsRenamed({"_k": "i", "_d": "di"}), "i").join(scale.withColumnsRenamed({"_k": "j", "_d": "dj"}), "j")
@@ -401,7 +394,7 @@ def _dependence(rows: DataFrame, basis: np.ndarray, mean: np.ndarray, cov: np.nd
         i, j = np.indices((k, k)).reshape(2, -1)
         yield pd.DataFrame({"i": i, "j": j, "cosh": cosh.ravel(), "gauss": gauss.ravel(), "n": n})
 
-    sums = _few_partials(rows, k * k).mapInPandas(partial, "i int, j int, cosh double, gauss double, n bigint").groupBy("i", "j").agg(
+    sums = rows.mapInPandas(partial, "i int, j int, cosh double, gauss double, n bigint").groupBy("i", "j").agg(
         F.sum("cosh").alias("cosh"), F.sum("gauss").alias("gauss"), F.sum("n").alias("n")).toPandas()
     h = np.zeros((k, k))
     h[sums["i"], sums["j"]] = (

@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from rcaspark.operators.edges import PAIR, reverse
 from rcaspark.operators.order import full_rank
 from rcaspark.operators.profile import GateError
-from rcaspark.session import TooLarge, cut_lineage
+from rcaspark.session import cut_lineage
 
-# Length of the walk, restart probability, and self visits before a forced restart.
+# Length of the walk and restart probability.
 STEPS = 1000
 RESTART = 0.05
-MAX_SELF = 10
 
 # A case up to this many nodes is solved inside one task; a larger one by joins.
 SMALL_GRAPH = 2000
@@ -109,54 +108,6 @@ def expected_visits(moves: DataFrame, nodes: DataFrame, kpi: DataFrame, n_steps:
     return out
 
 
-def simulated_visits(moves: DataFrame, nodes: DataFrame, kpi: DataFrame, walkers: int, seed: int, n_steps: int = STEPS, restart: float = RESTART, max_self: int = MAX_SELF, batch: int = 64, small: int = SMALL_GRAPH) -> DataFrame:
-    """Mean and spread of arrivals over independent seeded walkers.
-
-    A walker's random numbers depend on the seed and its own number only, so the
-    result does not depend on the partitioning. Graphs over ``small`` nodes are
-    refused here; ``expected_visits`` gives their exact mean.
-    """
-    if nodes.groupBy("case").agg(F.count_distinct("entity").alias("_n")).where(F.col("_n") > small).limit(1).count():
-        raise TooLarge("graph too large to simulate; use expected_visits")
-    batches = F.explode(F.sequence(F.lit(0), F.lit((walkers - 1) // batch)))
-    every = nodes.select("case", F.col("entity").alias("node")).join(moves, ["case", "node"], "left").join(
-        kpi.select("case", F.col("entity").alias("_start")), "case")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pd.Index(sorted(set(pdf["node"]) | set(pdf["next"].dropna())))
-        real = pdf.dropna(subset=["next"])
-        out = {}
-        for a, b in sorted(zip(names.get_indexer(real["node"]), names.get_indexer(real["next"]))):
-            out.setdefault(a, []).append(b)
-        start = int(names.get_loc(pdf["_start"].iloc[0]))
-        first = key[1] * batch
-        total, square = np.zeros(len(names)), np.zeros(len(names))
-        for walker in range(first, min(first + batch, walkers)):
-            coins = np.random.default_rng([seed, walker]).random((n_steps, 2))
-            count, here, same = np.zeros(len(names)), start, 0
-            for stay, pick in coins:
-                ways = out.get(here) if stay > restart else None
-                if not ways:
-                    here = start
-                    continue
-                there = ways[int(pick * len(ways))]
-                if there == here:
-                    same += 1
-                    if same == max_self:
-                        here, same = start, 0
-                        continue
-                here = there
-                count[here] += 1
-            total += count
-            square += count * count
-        return pd.DataFrame({"case": key[0], "node": names, "total": total, "square": square})
-
-    sums = every.select("*", batches.alias("_batch")).groupBy("case", "_batch").applyInPandas(run, "case string, node string, total double, square double")
-    agg = sums.groupBy("case", "node").agg(F.sum("total").alias("_t"), F.sum("square").alias("_s"))
-    mean = F.col("_t") / walkers
-    return agg.select("case", "node", mean.alias("visits"), F.sqrt(F.greatest(F.col("_s") / walkers - mean * mean, F.lit(0.0))).alias("spread"))
-
-
 def rank_nodes(visits: DataFrame, nodes: DataFrame, keys: tuple[str, ...] = ("case",), digits: int | None = None) -> DataFrame:
     """Most visited first; equal visits keep the column order."""
     v = F.col("visits") if digits is None else F.round("visits", digits)

@@ -259,11 +259,6 @@ def _(spark, d):
     return s.groupBy("node").agg(F.count("*").alias("ways")).orderBy(F.desc("ways"), "node")
 
 
-@query("gr08_simulated_visits")
-def _(spark, d):
-    return walk.simulated_visits(_moves(spark, d), _nations(spark, d), _kpi(spark, d), walkers=256, seed=7).drop("case")
-
-
 @query("gr10_stage_routes", f"""
     WITH {FLOWS} SELECT 'first' AS stage, cause, effect FROM e1 UNION ALL SELECT 'explained', cause, effect FROM e1 UNION ALL SELECT 'refined', cause, effect FROM e2
 """)
