@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by cell: source, language and topic. Raking scales the cells to one set of target marginals after
-the other until all hold; a cell's weight over its tokens is its rate, and a document is drawn with its cell's rate
-over the largest rate. Cells may be many, so raking runs on the cell table in Spark.
+the other until all hold. The weights are scaled to a budget of tokens; a cell's scaled weight over its tokens is its
+rate, the copies that a document is expected to have. A rate's whole part are copies, the rest is drawn, so a small
+cell with a high rate repeats its documents and does not shrink the others. Cells may be many, so raking runs on the
+cell table in Spark.
 
 Topics are vocabulary topics: every word of four letters or more votes for one of ``TOPICS`` topics by its hash, and
 the topic with most votes wins.
@@ -26,6 +28,8 @@ MARGINS = ("source", "lang", "topic")
 #: Default targets: each margin's own shares to this power, made to sum to 1.
 TEMPERATURE = 0.5
 ROUNDS, TOLERANCE = 20, 1e-3
+#: Without a given budget: what can be drawn without a repeated document, but at least this share of the input's tokens.
+LEAST_SHARE = 0.2
 
 
 def _topic(raw: np.ndarray | None) -> tuple[int, int]:
@@ -94,34 +98,48 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     return held
 
 
-def rates(documents: DataFrame, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """(source, lang, topic, tokens, weight, probability) for each cell of ``with_topics`` documents.
+def rates(documents: DataFrame, targets: Mapping[str, DataFrame] | None = None, budget: float | None = None) -> DataFrame:
+    """(source, lang, topic, tokens, weight, rate) for each cell of ``with_topics`` documents.
 
-    The probability is the cell's rate over the largest one, so the drawn
-    tokens have the targets' shares in expectation.
+    The rates draw ``budget`` tokens in expectation, in the targets' shares.
+    Without a budget the largest rate is 1, unless that draws less than
+    ``LEAST_SHARE`` of the tokens; then they are the budget.
     """
     cells = cut_lineage(documents.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
     raked = rake(cells, targets or target_shares(cells))
-    rate = F.col("weight") / F.col("tokens")
-    largest = raked.agg(F.max(rate)).first()[0]
-    return raked.withColumn("probability", F.coalesce(rate / F.lit(largest or 1.0), F.lit(0.0)))
-
-
-def mix(documents: DataFrame, targets: Mapping[str, DataFrame] | None = None, seed: int = 5) -> DataFrame:
-    """``with_topics`` documents with weight, probability and kept (drawn by a hash of doc_id below the probability).
-
-    A document without words has no tokens to weigh: its probability is 1 if
-    its cell's is unknown. Repeated rows are drawn together, as the draw is a
-    hash of the id; a null id is one id. Other columns stay; an empty table
-    gives no rows.
+    each = F.col("weight") / F.col("tokens")
+    largest, weight, tokens = raked.agg(F.max(each), F.sum("weight"), F.sum("tokens")).first()
+    if not largest:
+        return raked.withColumn("rate", F.lit(0.0))
+    unrepeated = weight / largest
+    scale = max(1.0, LEAST_SHARE * tokens / unrepeated) if budget is None else budget / unrepeated
+    return raked.withColumn("rate", each / F.lit(largest) * F.lit(float(scale)))
+
+
+def mix(documents: DataFrame, targets: Mapping[str, DataFrame] | None = None, seed: int = 5, budget: float | None = None) -> DataFrame:
+    """``with_topics`` documents with weight, rate, copies, probability and kept; a row each, ``repeated`` gives the sample.
+
+    copies is the rate's whole part, and one more if a hash of doc_id is below
+    its rest; kept says that there are any, and probability is the chance of it.
+    ``budget`` is the sample's tokens, see ``rates``. A document without words
+    has no tokens to weigh: its rate is 1 if its cell's is unknown. Repeated
+    rows are drawn together, as the draw is a hash of the id; a null id is one
+    id. Other columns stay; an empty table gives no rows.
     """
-    clash = [c for c in ("weight", "probability", "kept", "_cell", "_source", "_lang", "_topic") if c in documents.columns]
+    clash = [c for c in ("weight", "rate", "copies", "probability", "kept", "_cell", "_source", "_lang", "_topic") if c in documents.columns]
     documents = documents.drop(*clash)
-    cells = cut_lineage(rates(documents, targets).select(
-        F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), "weight", "probability"))
+    cells = cut_lineage(rates(documents, targets, budget).select(
+        F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), "weight", "rate"))
     uniform = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 52)).cast("double") / float(1 << 52)
     same = _same("source", "_source") & _same("lang", "_lang") & _same("topic", "_topic")
     return (
         documents.join(cells, same, "left").drop("_source", "_lang", "_topic")
-        .withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-        .withColumn("kept", uniform < F.col("probability")))
+        .withColumn("rate", F.coalesce("rate", F.lit(1.0)))
+        .withColumn("copies", F.floor("rate") + (uniform < F.col("rate") - F.floor("rate")).cast("long"))
+        .withColumn("probability", F.least("rate", F.lit(1.0)))
+        .withColumn("kept", F.col("copies") > 0))
+
+
+def repeated(mixed: DataFrame) -> DataFrame:
+    """The sample: each row of ``mix`` as often as its copies say."""
+    return mixed.where("kept").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).drop("_copy")

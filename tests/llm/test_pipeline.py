@@ -45,6 +45,15 @@ def test_stages_on_odd_and_empty_tables(odd_documents, no_documents, spark):
         assert rows.where("doc_id in (1, 2, 3, 8)").count() == 0
 
 
+def test_mixture_repeats_the_documents_of_a_small_source(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    tiny = documents.limit(1).selectExpr("-1L as doc_id", "'rare words of a new source' as text", "lang", "'new' as source", "26L as n_chars")
+    rows = corpus_pipeline.mixture(spark, documents.unionByName(tiny.select(documents.columns)), SF).collect()
+    counts = collections.Counter(r.doc_id for r in rows)
+    words = lambda rows: sum(len((r.text or "").split()) for r in rows)
+    assert counts[-1] > 1 and words(rows) > 0.15 * words(documents.collect())
+
+
 @pytest.mark.parametrize("sent", [0, 1000])
 def test_one_row_of_a_repeated_id_stays(odd_documents, spark, monkeypatch, sent):
     monkeypatch.setattr(corpus_pipeline, "SENT_IDS", sent)

@@ -192,6 +192,28 @@ def test_mixing_on_odd_tables(odd_documents, no_documents):
     assert mixing.mix(mixing.with_topics(no_documents)).count() == 0
 
 
+def test_a_small_cell_repeats_and_does_not_shrink_the_others(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source", "lang")
+    tiny = spark.createDataFrame([(-1, "rare words " * 10, "new", "en"), (-2, "other rare words " * 7, "src1", "xx")], documents.schema)
+    topics = mixing.with_topics(documents.unionByName(tiny)).cache()
+    total = topics.agg(F.sum("n_tokens")).first()[0]
+    cells = topics.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
+    targets = {(name, r.value): r.share for name, t in mixing.target_shares(cells).items() for r in t.collect()}
+    for budget, wanted in ((None, mixing.LEAST_SHARE * total), (total, total)):
+        rows = mixing.mix(topics, budget=budget).collect()
+        expected = sum(r.rate * r.n_tokens for r in rows)
+        assert abs(expected - wanted) < 1e-6 * wanted
+        spread = sum(r.n_tokens**2 * (r.rate % 1) * (1 - r.rate % 1) for r in rows) ** 0.5
+        assert abs(sum(r.copies * r.n_tokens for r in rows) - wanted) < 4 * spread
+        assert all(int(r.rate) <= r.copies <= int(r.rate) + 1 and r.kept == (r.copies > 0) for r in rows)
+        for name, value in (("source", "new"), ("lang", "xx"), ("lang", "en"), ("lang", "de")):
+            got = sum(r.rate * r.n_tokens for r in rows if r[name] == value) / expected
+            assert abs(got - targets[name, value]) < 0.01
+        assert min(r.copies for r in rows if r.doc_id < 0) > 1
+        sample = collections.Counter(r.doc_id for r in mixing.repeated(mixing.mix(topics, budget=budget)).collect())
+        assert sample == {r.doc_id: r.copies for r in rows if r.copies}
+
+
 def test_packing_round_trip(spark, odd_documents, no_documents):
     from tokenizers import Tokenizer
 
