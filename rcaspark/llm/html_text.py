@@ -1,12 +1,14 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped and every block element becomes a line. Lengths of lines are summed over a sliding window; the
-text surges where a window's sum first passes a bound after a gap and dives where the window is empty again. What
-stands between a surge and its dive is kept if the page's main region or as dense as it.
-
-What markup says beforehand shapes the distribution: text inside menus, headers of the page, footers, sidebars,
-notices, adverts, forms, comments of readers, scripts and styles counts as blank lines, and so does text outside of
-the article where a page marks one.
+text surges where a window's sum first reaches the page's own mean line length and dives where the window is empty
+again. An article or main element is a region of its own, without dives. The region with most text is the main one;
+another is kept if it is about as dense, stands in the same element, or if both are articles.
+
+Lines outside of articles that are mostly links have no length. What markup names otherwise is a hint: text inside
+menus, headers of the page, footers, sidebars, adverts, forms, comments of readers and the like is blank, unless it
+holds half of the page's text or an article; inside an article only words that never name article text count, and
+the others where the text is mostly links.
 """
 
 from __future__ import annotations
@@ -18,8 +20,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Lines per window, and the least sum of a window where text surges.
+#: Lines per window, and the least sum of a window where text surges, in mean lengths of the page's lines.
 WINDOW, SURGE = 3, 1
+#: Least mean line length of a further region, in that of the main one.
+DENSITY = 0.5
+#: Markup's hints are not heard where an element holds this share of the page's text.
+HOLDS = 0.5
 #: A line whose text is mostly links is blank.
 LINK_SHARE = 0.7
 
@@ -31,20 +37,24 @@ INLINE = {
     "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
     "time", "tt", "u", "var", "wbr", "img", "input",
 }
-BOILERPLATE = {
-    "nav", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "head", "svg", "math",
-    "canvas", "audio", "video", "object", "figcaption", "fieldset", "map", "search",
-}
+#: Never text of the page, and text of other kinds than the article's.
+HIDDEN = {"button", "select", "option", "datalist", "head", "svg", "canvas", "audio", "video", "object", "map"}
+BOILERPLATE = {"nav", "footer", "aside", "form", "dialog", "menu", "fieldset", "search"}
+#: Boilerplate outside of an article only.
+OUTSIDE = {"header", "figcaption", "math"}
 ROLES = {
     "navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu",
     "menubar", "toolbar", "status",
 }
-HINTS = set(
-    "ad ads adv advert adverts advertisement adbox adslot sponsor sponsored promo promotion banner nav navbar "
-    "navigation menu breadcrumb breadcrumbs sidebar side rail widget widgets footer header masthead topbar cookie "
-    "cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share "
-    "sharing social related recommended recommendations comment comments reply replies respond disqus pagination "
-    "pager toc skip copyright legal disclaimer toolbar search".split())
+#: Words of classes and ids: never of an article's text, and those that articles use for parts of theirs, too.
+FOREIGN = set(
+    "ad ads adv advert adverts advertisement adbox adslot nav navbar navigation menu breadcrumb breadcrumbs cookie "
+    "cookies consent gdpr popup modal newsletter subscribe subscription signup login comment comments reply replies "
+    "respond disqus pagination pager".split())
+HINTS = FOREIGN | set(
+    "sponsor sponsored promo promotion banner sidebar side rail widget widgets footer header masthead topbar notice "
+    "alert overlay share sharing social related recommended recommendations toc skip copyright legal disclaimer "
+    "toolbar search".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -52,42 +62,78 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\
 _SPACE = re.compile(r"\s+")
 
 
-def _is_boilerplate(name: str, attributes: str, in_article: bool) -> bool:
-    if name in BOILERPLATE or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    for key, *values in _ATTRIBUTE.findall(attributes):
+def _hint(name: str, attributes: str, parent: _Element) -> str | None:
+    """What markup says of an element: it is "hidden", "foreign", or "doubtful" for a word that articles use, too.
+
+    An article's own words are not heard, unless it is inside of something foreign, as readers' comments are.
+    """
+    if name in HIDDEN:
+        return "hidden"
+    found = "foreign" if name in BOILERPLATE or (name in OUTSIDE and parent.article is None) else None
+    for key, *values in _ATTRIBUTE.findall(attributes) if attributes and name not in ("html", "body") else ():
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return "hidden"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key == "role" and value in ROLES:
-            return True
-        if key in ("class", "id") and HINTS & set(re.split(r"[^a-z0-9]+", value)):
-            return True
-    return False
-
-
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, is text of the article's kind) for each block of a page, in order; white space is single blanks.
+            return "hidden"
+        words = set(re.split(r"[^a-z0-9]+", value)) if key in ("class", "id") else set()
+        marked = name in ("article", "main") and not parent.foreign
+        if (key == "role" and value in ROLES) or (FOREIGN & words and not marked):
+            found = "foreign"
+        elif HINTS & words and not marked:
+            found = found or "doubtful"
+    return found
+
+
+class _Element:
+    """An element: what markup says of it, and the text found in it."""
+
+    def __init__(self, name: str, parent: _Element | None, hint: str | None):
+        self.name, self.parent, self.hint = name, parent, hint
+        self.size, self.linked = 0, 0.0
+        self.holds_article = self.blank = False
+        self.hidden = hint == "hidden" or (parent is not None and parent.hidden)
+        self.foreign = hint == "foreign" or (parent is not None and parent.foreign)
+        self.article = parent.article if parent else None
+        if name in ("article", "main") and hint is None and self.article is None:
+            self.article = self
+            while parent and not parent.holds_article:
+                parent.holds_article, parent = True, parent.parent
+
+
+def _judge(elements: list[_Element]) -> None:
+    """Sums up the text of ``elements``, parents first, and says which are blank."""
+    for element in reversed(elements):
+        if element.parent:
+            element.parent.size += element.size
+            element.parent.linked += element.linked
+    for element in elements:
+        element.blank = element.hidden or (element.parent is not None and element.parent.blank)
+        if element.hint and not element.holds_article and element.size < HOLDS * elements[0].size:
+            doubt = element.hint == "doubtful" and element.article is not None
+            element.blank |= not doubt or element.linked > LINK_SHARE * element.size
+
+
+def lines_of(page: str) -> list[tuple[str, bool, _Element]]:
+    """(text, is mostly links, last open element) for each block of a page, in order; white space is single blanks.
 
     An element that was left open ends with the nearest enclosing one that is
     closed. An unclosed tag or comment at the end of a page is dropped.
     """
-    marked = bool(re.search(r"<(article|main)[\s>]", page, re.I))
-    lines: list[tuple[str, bool]] = []
+    lines: list[tuple[str, bool, _Element]] = []
     parts: list[str] = []
     linked = total = 0
-    open_: list[tuple[str, bool, bool]] = []  # name, blank, inside an article
-    blank, inside, links, at = False, False, 0, 0
+    root = _Element("", None, None)
+    open_, elements = [root], [root]
+    links, at = False, 0
 
     def flush():
         nonlocal linked, total
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        if text:
-            lines.append((text, not blank and (inside or not marked) and linked <= LINK_SHARE * total))
+        if text and not open_[-1].hidden:
+            lines.append((text, linked > LINK_SHARE * total, open_[-1]))
+            open_[-1].size += len(text)
+            open_[-1].linked += len(text) * linked / total if total else 0
         parts.clear()
         linked = total = 0
 
@@ -111,13 +157,13 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         if name not in INLINE:
             flush()
         if name == "a":
-            links = 0 if token[1] else 1
+            links = not token[1]
         if token[1]:
             if name in INLINE and name != "span":
                 continue
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    if name in INLINE and open_[i][1] != (open_[i - 1][1] if i else False):
+            for i in range(len(open_) - 1, 0, -1):
+                if open_[i].name == name:
+                    if name in INLINE and any(x.hint for x in open_[i:]):  # a span
                         flush()
                     del open_[i:]
                     break
@@ -125,31 +171,64 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID and not token[3].endswith("/") and (name not in INLINE or name == "span"):
-            within = inside or name in ("article", "main")
-            hides = _is_boilerplate(name, token[3], inside)
-            if hides and name in INLINE:
+            hint = _hint(name, token[3], open_[-1])
+            if hint and name in INLINE:
                 flush()
-            open_.append((name, blank or hides, within))
-        blank, inside = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+            open_.append(_Element(name, open_[-1], hint))
+            elements.append(open_[-1])
     flush()
+    _judge(elements)
     return lines
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The page's article as one line; empty for null, empty and wordless pages."""
-    lines = lines_of(page or "")
-    lengths = [len(text) if kept else 0 for text, kept in lines]
-    sums = [sum(lengths[i : i + window]) for i in range(len(lengths))]
+def _regions(articles: list[_Element | None], lengths: list[int], window: int, bound: float) -> list[tuple[int, int]]:
+    """(first line, line after the last) of each region; blank lines have no length."""
     regions, start = [], None
-    for i, total in enumerate(sums):
-        if start is None and total >= surge and lengths[i]:
-            start = i  # surge
-        elif start is not None and total == 0:
-            regions.append((start, i))  # dive: nothing in the whole window
+    ends = [0] * len(lengths)  # where the article, or the lines between two of them, ends
+    for i in reversed(range(len(lengths))):
+        ends[i] = ends[i + 1] if i + 1 < len(lengths) and articles[i] is articles[i + 1] else i + 1
+    for i, end in enumerate(ends):
+        if articles[i] is not None:
+            if start is None:
+                start = i
+        else:
+            total = sum(lengths[i : min(i + window, end)])
+            if start is None and total >= bound and lengths[i]:
+                start = i  # surge
+            elif start is not None and total == 0:
+                regions.append((start, i))  # dive: nothing in the whole window
+                start = None
+        if start is not None and i + 1 == end:
+            regions.append((start, end))
             start = None
-    if start is not None:
-        regions.append((start, len(lengths)))
-    return " ".join(lines[i][0] for a, b in regions for i in range(a, b) if lengths[i])
+    return regions
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str:
+    """The page's article as one line; empty for null, empty and wordless pages."""
+    found = lines_of(page or "")
+    lengths = [0 if linked or e.blank else len(text) for text, linked, e in found]
+    filled = [x for x in lengths if x]
+    bound = surge * sum(filled) / len(filled) if filled else 1
+    articles = [e.article for _, _, e in found]
+    regions = _regions(articles, lengths, window, bound)
+    if not regions:
+        return ""
+
+    def density(region: tuple[int, int]) -> float:
+        own = [x for x in lengths[slice(*region)] if x]
+        return sum(own) / len(own) if own else 0.0
+
+    main = max(regions, key=lambda r: sum(lengths[slice(*r)]))
+    dense, beside = DENSITY * density(main), {e.parent for _, _, e in found[slice(*main)] if not e.blank} - {None}
+    beside = {e for e in beside if e.name not in ("", "html", "body")}
+
+    def kept(region: tuple[int, int]) -> bool:
+        if region == main or (articles[main[0]] and articles[region[0]]) or density(region) >= dense:
+            return True
+        return any(e.parent in beside for _, _, e in found[slice(*region)] if not e.blank)
+
+    return " ".join(found[i][0] for r in regions if kept(r) for i in range(*r) if not found[i][2].blank)
 
 
 def extract(pages: DataFrame) -> DataFrame:

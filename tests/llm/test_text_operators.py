@@ -112,6 +112,20 @@ def test_pages_without_an_article_element():
     assert html_text.main_text(page) == ("Long text here. " * 9).strip() + " And ends."
 
 
+LONG = "A long paragraph of the article's own text, with a comma and a full stop at its end."
+
+
+@pytest.mark.parametrize("page,text", [
+    # Windows decide: short lines far from the text, and runs of links, are no part of it.
+    (f"<body><div>Today<p>Hot</p><p>Login here</p><p>Low</p></div><div><p>{LONG}<p>{LONG}<p>Short.</div>", f"Login here Low {LONG} {LONG} Short."),
+    (f"<div>One<p>Two<p>Three<p>Four<p>Five<p>Six</div><div><p>{LONG}<p>{LONG}</div>", f"Five Six {LONG} {LONG}"),
+    (f"<div><p>{LONG}<p>{LONG}</div><div><p><a>x</a><p><a>y</a><p><a>z</a></div><div>One</div>", f"{LONG} {LONG}"),
+    (f"<div><p>{LONG}</div><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><div><p>{LONG}</div>", f"{LONG} {LONG}"),
+])
+def test_windows_decide(page, text):
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<p>b", "a b"), ("<article><p>cut &amp", "cut &"), ("<p>x</p><!-- open", "x"),
     ("<p>a <b>b</p><p>c", "a b c"), ("<p>1 < 2</p>", "1 < 2"), ("<script>x", ""), ("<article><p>a</p><p class", "a"), ("</p></div>x", "x"),
