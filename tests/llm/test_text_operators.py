@@ -126,6 +126,27 @@ def test_windows_decide(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_deep_pages():
+    assert html_text.main_text("<p>a" * 20000).count("a") == 20000 and html_text.main_text("<div>" * 20000 + "x") == "x"
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='has-sidebar'><article><p>{LONG}</article><div class=sidebar>Other</div></div>", LONG),
+    (f"<div id=page class='layout side-right'><p>{LONG}<p>{LONG}<div class=footer>x</div></div>", f"{LONG} {LONG}"),
+    *[(f"<article><p>{LONG}<p>{LONG}<section class='{c}'><h2>Part</h2><p>{LONG}</section></article>", f"{LONG} {LONG} Part {LONG}")
+      for c in ("legal", "notice", "related", "share", "search", "header")],
+    (f"<article><p>{LONG}<div class=share><a>Tell others</a></div></article>", LONG),
+    (f"<!-- <article> --><script>'<main>'</script><div><p>{LONG}</div>", LONG),
+    (f"<article><a>Teaser</a></article><div><p>{LONG}<p>{LONG}</div><article><p>Read on</article>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}<ul><li><a>See one</a><li><a>See two</a><li><a>See three</a></ul><p>{LONG}</article>", f"{LONG} See one See two See three {LONG}"),
+    (f"<article><p>{LONG}<figure><figcaption>A caption</figcaption></figure><math><mi>x</mi></math></article>", f"{LONG} A caption x"),
+    (f"<article class='post comments-open'><p>{LONG}</article><p>{LONG}<div id=comments><article class=comment>Nice</article></div>", f"{LONG} {LONG}"),
+    (f"<form><div><p>{LONG}<p>{LONG}</div></form>", f"{LONG} {LONG}"),
+])
+def test_markup_hides_no_article_text(page, text):
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("plain words", "plain words"), ("<p>a<p>b", "a b"), ("<article><p>cut &amp", "cut &"), ("<p>x</p><!-- open", "x"),
     ("<p>a <b>b</p><p>c", "a b c"), ("<p>1 < 2</p>", "1 < 2"), ("<script>x", ""), ("<article><p>a</p><p class", "a"), ("</p></div>x", "x"),
