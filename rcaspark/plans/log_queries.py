@@ -111,6 +111,15 @@ def _(spark, d):
     return joined.select("entity", "event_id", "template", "occurrence", "pos", "content")
 
 
+@query("jn07_all_template_lines", f"""
+    WITH {EVENT_LINES}, t AS (SELECT entity, ev, 'type ' || ev AS template, count(*) AS occurrence FROM l GROUP BY 1, 2)
+    SELECT t.entity, t.ev AS event_id, template, occurrence, pos, content FROM t LEFT JOIN l ON t.entity = l.entity AND t.ev = l.ev
+""")
+def _(spark, d):
+    templates, lines = _log_tables(spark, d)
+    return logs.join_templates(logs.first_templates(templates), lines).select("entity", "event_id", "template", "occurrence", "pos", "content")
+
+
 def _text_sql(lines, last="er"):
     return f"""
     WITH {lines}, {SAMPLED},

@@ -25,6 +25,15 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", names.normal_name(F.substring_index("text", " ", 1)).alias("name"))
 
 
+@query("fn01_normal_words", """
+    SELECT conv_id, turn, CAST(pos - 1 AS INTEGER) AS pos, replace(lower(trim(nfc_normalize(word))), 'ß', 'ss') AS name
+    FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos FROM conversations)
+""")
+def _(spark, d):
+    words = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    return words.select("conv_id", "turn", "pos", names.normal_name(F.col("word")).alias("name"))
+
+
 POD = "replace(p_name, ' ', '-') || CASE WHEN p_size > 10 THEN '-' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 5) ELSE '' END"
 
 
@@ -158,6 +167,16 @@ def _(spark, d):
         "event_id", text.debate_verdict(p, 0.1, 0.6, False).alias("early"), text.debate_verdict(p, 0.1, 0.6, True).alias("final"))
 
 
+@query("fn11_debate_verdict_any_value", """
+    SELECT event_id, CASE WHEN value > 100 THEN NULL WHEN value > 60 THEN 1 WHEN value < 10 THEN 0 END AS early,
+           CASE WHEN value > 100 THEN NULL WHEN value > 50 THEN 1 WHEN value < 50 THEN 0 END AS final FROM events
+""")
+def _(spark, d):
+    p = F.when(F.col("value") <= 100, F.col("value") / 100)  # no probability: no verdict
+    return table(spark, d, "events").select(
+        "event_id", text.debate_verdict(p, 0.1, 0.6, False).alias("early"), text.debate_verdict(p, 0.1, 0.6, True).alias("final"))
+
+
 @query("wn11_debate_sides", """
     SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'positive' ELSE 'negative' END AS side FROM conversations
 """)

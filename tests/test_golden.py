@@ -257,3 +257,19 @@ def test_bad_bytes_are_counted(spark, tmp_path):
     rows = spark.read.text(str(tmp_path)).select(F.lit("f").alias("file"), "value")
     got = logs.byte_report(rows, ["file"], ["value"]).first()
     assert (got["bad_bytes"], got["bad_rows"]) == (3, 2)
+
+
+# -- whole tables ------------------------------------------------------------------
+
+def test_queries_over_all_words_values_and_lines(spark):
+    import __spark_entry__
+
+    d, found = "/root/testdata/sf0.001", __spark_entry__.queries()
+    words = spark.read.parquet(f"{d}/conversations.parquet").agg(F.sum(F.size(F.split("text", " ")))).first()[0]
+    events = spark.read.parquet(f"{d}/events.parquet")
+    assert found["fn01_normal_words"](spark, d).count() == words
+    verdicts = found["fn11_debate_verdict_any_value"](spark, d)
+    assert verdicts.count() == events.count()
+    assert verdicts.join(events.where("value > 100"), "event_id").where("early is not null or final is not null").count() == 0
+    lines = found["jn07_all_template_lines"](spark, d)
+    assert lines.count() == events.count() and lines.where("content not like '%7%'").count() > 0
