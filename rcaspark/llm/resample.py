@@ -23,8 +23,6 @@ BUCKETS = 10_000
 TARGET_ROWS = 20_000
 #: N-grams that weigh as one document of the prior: keeps the weight of rare buckets near 0.
 SMOOTHING = 1.0
-#: Weights are means per n-gram times this many, so that long texts are not drawn or left for their length.
-EFFECTIVE_GRAMS = 100
 
 
 def buckets_of(raw: np.ndarray | None) -> np.ndarray:
@@ -63,7 +61,7 @@ def _score(documents: DataFrame, log_ratio: np.ndarray) -> DataFrame:
             found = []
             for raw in utf8_rows(batch.column("text")):
                 grams = buckets_of(raw)
-                found.append((len(grams), float(ratio[grams].mean() * min(len(grams), EFFECTIVE_GRAMS)) if len(grams) else None))
+                found.append((len(grams), float(ratio[grams].sum()) if len(grams) else None))
             n, weight = list(zip(*found)) if found else ([], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(weight, pa.float64())], ["doc_id", "n_grams", "log_weight"])

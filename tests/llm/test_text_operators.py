@@ -315,6 +315,18 @@ def test_threshold_is_the_kth_largest(spark):
     assert resample.threshold(table, "x", 501) is None and resample.threshold(table.where("false"), "x", 1) is None
 
 
+def test_weights_are_sums_over_all_grams(spark):
+    import numpy as np
+
+    texts = ["", "one", "one two three", " ".join(f"word{i % 70}" for i in range(900))]
+    ratio = np.linspace(-1, 2, resample.BUCKETS)
+    rows = resample._score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ratio).collect()
+    for r in rows:
+        grams = resample.buckets_of(np.frombuffer(texts[r.doc_id].encode(), np.uint8)) if texts[r.doc_id] else []
+        assert r.n_grams == len(grams)
+        assert r.log_weight == pytest.approx(sum(ratio[g] for g in grams)) if len(grams) else r.log_weight is None
+
+
 def test_resampling_prefers_the_target(spark, odd_documents, no_documents):
     documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
