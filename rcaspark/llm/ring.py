@@ -36,9 +36,10 @@ def _offered(left: DataFrame, nodes: DataFrame, places: int) -> DataFrame:
     """
     turns = nodes.select("shard", F.explode(F.array(F.col("place"), F.col("place") + places)).alias("node"))
     both = left.unionByName(turns.withColumn("at", F.col("node")), allowMissingColumns=True).coalesce(1)
-    # At one place loads come in front of the node, so that they see it; the smaller shard's node comes first.
-    ahead = Window.orderBy("at", F.col("node").isNotNull(), "shard").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    near = F.first(F.when(F.col("node").isNotNull(), F.struct("shard", "node")), ignorenulls=True).over(ahead)
+    # Backwards, as Spark carries the last value on but would look through all of what follows for the first one. At one
+    # place loads come in front of the nodes, so that they see them, and the smaller shard's node comes first.
+    back = Window.orderBy(F.desc("at"), F.col("node").isNull(), F.desc("shard")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.last(F.when(F.col("node").isNotNull(), F.struct("shard", "node")), ignorenulls=True).over(back)
     return both.withColumn("near", near).where("node is null").drop("shard", "node").select("*", "near.*").drop("near")
 
 
