@@ -54,18 +54,24 @@ def long_report(ranks: DataFrame, keys: Sequence[str], cuts: Sequence[int] = CUT
     return wide.select(*keys, F.inline(F.array(*cells)))
 
 
-def truth_report(ranking: DataFrame, truth: DataFrame, kpi: str, keys: Sequence[str] = ("case",)) -> DataFrame:
+def truth_report(ranking: DataFrame, truth: DataFrame, kpi: DataFrame | str, keys: Sequence[str] = ("case",)) -> DataFrame:
     """Hits and reciprocal rank of the true node, with and without the KPI, and ties at its score.
 
     ``ranking`` holds (keys, node, visits, rank). No window is needed: dropping the
     KPI moves the truth up by one exactly when the KPI stands before it. Ties are
     counted among entities. A truth that is not ranked stays, without a rank.
+    ``kpi`` is one name, or (case, entity) where cases have their own.
     """
     keys = list(keys)
+    if isinstance(kpi, str):
+        ranking = ranking.withColumn("_is_kpi", F.col("node") == kpi)
+    else:
+        own = kpi.select("case", F.col("entity").alias("node"), F.lit(True).alias("_is_kpi")).distinct()
+        ranking = ranking.join(own, ["case", "node"], "left").fillna(False, ["_is_kpi"])
     at = truth.select(*keys, "node").distinct().join(ranking, [*keys, "node"], "left").select(
         *keys, "node", F.col("rank").alias("rank_all"), F.col("visits").alias("_v"))
-    ahead = ranking.where(F.col("node") == kpi).select(*keys, F.col("rank").alias("_kpi_rank"))
-    others = ranking.where(F.col("node") != kpi).select(*keys, "visits")
+    ahead = ranking.where("_is_kpi").select(*keys, F.col("rank").alias("_kpi_rank"))
+    others = ranking.where("not _is_kpi").select(*keys, "visits")
     ties = others.join(at.drop("node"), keys).where(F.col("visits") == F.col("_v")).groupBy(*keys, "rank_all").agg(F.count("*").alias("tied"))
     out = at.join(ahead, keys, "left").join(ties, [*keys, "rank_all"], "left").fillna(0, ["tied"]).withColumn(
         "rank_entities", F.col("rank_all") - F.coalesce((F.col("_kpi_rank") < F.col("rank_all")).cast("bigint"), F.lit(0)))

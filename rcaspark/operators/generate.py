@@ -11,7 +11,8 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,6 +89,53 @@ def complete_only(calls: DataFrame) -> DataFrame:
     return calls
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records of a call store; None where nothing has been committed yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def stored_calls(
+    prompts: DataFrame, keys: Sequence[str], factory: Callable[[], Client], path: str, temperature: float = 0.5,
+    batch: int = 10_000, again: bool = True,
+) -> DataFrame:
+    """Answers to ``prompts`` by way of a call store: a named table that is only ever appended to.
+
+    What the store has answered completely is not asked again, found by an anti
+    join on the keys and a digest of the question; a changed prompt is another
+    question. The rest is asked in batches of about ``batch`` prompts, each
+    committed by itself, so a run that breaks keeps all but its batch, and the
+    next one goes on from there. With ``again`` failed calls are asked once
+    more, else they stay as they are. Of several records the last one counts.
+    """
+    spark, keys = prompts.sparkSession, list(keys)
+    same = [*keys, "question"]
+    question = F.sha2(F.concat_ws("\n", F.col("system"), F.col("prompt")), 256).alias("question")
+    asked = cut_lineage(prompts.select(*keys, "system", "prompt", question))
+    held = _stored(spark, path)
+    attempt, left = 0, asked
+    if held is not None:
+        attempt = (held.agg(F.max("attempt")).first()[0] or 0) + 1
+        left = asked.join((held.where("status = 'COMPLETE'") if again else held).select(*same).distinct(), same, "left_anti")
+    left = cut_lineage(left)
+    batches = -(-left.count() // batch)
+    for i in range(batches):
+        some = left.where(F.pmod(F.xxhash64(*same), F.lit(batches)) == i)
+        calls = run_calls(some, same, factory, temperature).withColumn("attempt", F.lit(attempt))
+        calls.write.mode("append").parquet(path)
+    held = _stored(spark, path)
+    if held is None:
+        return run_calls(asked, keys, factory, temperature)  # no prompts: no records
+    held = held.join(asked.select(*same), same, "left_semi")
+    rest = [c for c in held.columns if c not in (*same, "attempt")]
+    last = held.groupBy(*same).agg(F.max_by(F.struct(*rest), "attempt").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
 def admission(prompts: DataFrame, tokens: Column, context: int, reserved: int) -> DataFrame:
     """Whether each whole prompt fits with its reserved output and one spare token; nothing is cut."""
     need = tokens + reserved + 1
@@ -248,6 +296,28 @@ def debate(pairs: DataFrame, theme: str, factory: Callable[[], Client], judge: C
     return decided, turns
 
 
+def replay_debate(turns: DataFrame, judge: Callable[[], Client], low: float = 0.2, high: float = 0.8, compat: str = "corrected") -> DataFrame:
+    """(case, cause, effect, verdict, rounds) by judging a debate's recorded ``turns`` again; nobody argues anew.
+
+    ``turns`` is the event log (case, cause, effect, turn, side, text) that
+    ``debate`` gives. All rounds of all pairs are put to the judge in one pass;
+    the first round that decides a pair counts, and its last recorded round
+    decides at half. With the judge and bounds of the debate the verdicts are the same.
+    """
+    line = F.concat(F.lit("The "), F.col("side"), F.lit(" expert says: "), F.col("text"), F.lit("\n"))
+    log = turns.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))).alias("log"))
+    heard = log.select(*PAIR, (F.size("log") / 2).cast("int").alias("of"), F.col("log.line").alias("lines")).where("of > 0").withColumn(
+        "rounds", F.explode(F.sequence(F.lit(1), F.col("of"))))
+    memory = F.lit("") if compat == "released" else F.array_join(F.slice("lines", F.lit(1), F.col("rounds") * 2), "")
+    q = cut_lineage(heard.select(*PAIR, "rounds", "of", F.lit("You judge a debate.").alias("system"), F.concat(memory, _question(), F.lit(NUMBER_FORM)).alias("prompt")))
+    marks = complete_only(record(run_calls(q, [*PAIR, "rounds", "of"], judge))).withColumn("p", tx.probability(F.col("text")))
+    if marks.where("p is null").limit(1).count():
+        raise GateError("a judge's answer is no number from 0 to 1")
+    verdict = F.when(F.col("rounds") == F.col("of"), tx.debate_verdict(F.col("p"), low, high, True)).otherwise(tx.debate_verdict(F.col("p"), low, high, False))
+    judged = marks.withColumn("verdict", verdict).where("verdict is not null or rounds = of")
+    return judged.groupBy(*PAIR).agg(F.min_by("verdict", "rounds").alias("verdict"), F.min("rounds").alias("rounds"))
+
+
 # -- entity summaries ----------------------------------------------------------------
 
 def summary_prompts(log_texts: DataFrame, nodes: DataFrame, theme: str) -> DataFrame:

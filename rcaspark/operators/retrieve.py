@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from rcaspark.operators.order import first_per_group
 from rcaspark.session import cut_lineage
 
 QUERY_BLOCK, VECTOR_BLOCK = 256, 1024  # queries of a pack and vectors of a block
-BLOCKS_PER_CELL = 4  # blocks of vectors that meet a pack in one task
+CELL = 4  # packs and blocks that meet in one task
 DIGITS = 9  # distances equal to this many digits are ties
 TIE = 2e-9
 
@@ -32,69 +33,91 @@ def embed(rows: DataFrame, text: str, fn: Embed) -> DataFrame:
 
 
 def _packed(rows: int):
-    """Rows (id, array of doubles) as blocks of at most ``rows``: the ids, and the numbers as bytes."""
+    """Rows (keys, id, array of doubles), sorted by keys, as blocks of at most ``rows`` with the same keys: ids, and numbers as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                ids, items = part.columns
-                numbers = items.flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([numbers.tobytes()], pa.binary())],
-                    ["ids", "items"])
+            *keys, ids, items = batch.columns
+            turns = np.zeros(batch.num_rows, bool)
+            for key in keys:
+                turns[1:] |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+            for first, last in zip([0, *np.flatnonzero(turns)], [*np.flatnonzero(turns), batch.num_rows]):
+                for at in range(int(first), int(last), rows):
+                    n = min(rows, int(last) - at)
+                    numbers = items.slice(at, n).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                    held = ids.slice(at, n)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(key.slice(at, 1) for key in keys), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), held), pa.array([numbers.tobytes()], pa.binary())],
+                        [*batch.schema.names[:-2], "ids", "items"])
 
     return run
 
 
-def _blocks(rows: DataFrame, name: str, embedding: str, size: int, prefix: str) -> DataFrame:
-    kind = dict(rows.dtypes)[name]
-    whole = rows.select(name, doubles(F.col(embedding)).alias("_items")).where(F.col("_items").isNotNull() & F.col(name).isNotNull())
-    packed = whole.mapInArrow(_packed(size), f"ids array<{kind}>, items binary")
-    return packed.withColumnsRenamed({"ids": f"{prefix}_ids", "items": f"{prefix}_items"})
+def _blocks(rows: DataFrame, by: Sequence[str], name: str, embedding: str, size: int, prefix: str) -> DataFrame:
+    """(by, dim, ids, items, block): the rows in blocks whose vectors have one length and, with ``by``, one group."""
+    kinds = dict(rows.dtypes)
+    whole = rows.select(*by, name, doubles(F.col(embedding)).alias("_items")).dropna()
+    whole = whole.where(~F.exists("_items", lambda x: x.isNull())).select(*by, F.size("_items").alias("dim"), name, "_items")
+    if by:
+        # A group lies in as few blocks as it fills; a large one is cut by id.
+        whole = whole.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "dim", name)
+    kept = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    packed = whole.sortWithinPartitions(*by, "dim").mapInArrow(_packed(size), f"{kept}{', ' if by else ''}dim int, ids array<{kinds[name]}>, items binary")
+    packed = packed.withColumnsRenamed({"ids": f"{prefix}_ids", "items": f"{prefix}_items"})
+    return cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()))
 
 
-def _meet(k: int, query_id: str, vector_id: str):
-    """The k nearest of a block of vectors, ties at the edge included, for each query of a pack."""
+def _meet(k: int, by: Sequence[str], query_id: str, vector_id: str):
+    """The k nearest of a block of vectors, ties at the edge included, for each query of a pack.
+
+    The short form of the distance is off by a multiple of the norms' rounding;
+    what may be among the k by it is worked out exactly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [batch.column(c) for c in ("q_ids", "v_ids")]
             for row in range(batch.num_rows):
-                asked, held = (c[row].values for c in ids)
-                q, v = (np.frombuffer(batch.column(c)[row].as_py(), "<f8").reshape(len(n), -1) for c, n in (("q_items", asked), ("v_items", held)))
-                d = (q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)[None, :]
-                edge = min(k, len(held)) - 1
-                i, j = np.nonzero(d <= np.partition(d, edge, axis=1)[:, [edge]] + TIE)
+                asked, held = (batch.column(c)[row].values for c in ("q_ids", "v_ids"))
+                dim = batch.column("dim")[row].as_py()
+                q, v = (np.frombuffer(batch.column(c)[row].as_py(), "<f8").reshape(len(n), dim) for c, n in (("q_items", asked), ("v_items", held)))
+                qq, vv = (q * q).sum(1), (v * v).sum(1)
+                d = qq[:, None] - 2 * q @ v.T + vv[None, :]
+                off = 4 * (dim + 2) * np.finfo(float).eps * (qq + vv.max())
+                edge = np.partition(d, min(k, len(held)) - 1, axis=1)[:, min(k, len(held)) - 1]
+                i, j = np.nonzero(d <= (edge + 2 * off + TIE)[:, None])
                 exact = ((q[i] - v[j]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(i)), held.take(pa.array(j)), pa.array(exact)], [query_id, vector_id, "distance"])
+                keys = [pa.array([batch.column(c)[row].as_py()] * len(i), batch.schema.field(c).type) for c in by]
+                yield pa.RecordBatch.from_arrays([*keys, asked.take(pa.array(i)), held.take(pa.array(j)), pa.array(exact)], [*by, query_id, vector_id, "distance"])
 
     return run
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector_id: str = "vec_id", block: int = QUERY_BLOCK, by: Sequence[str] = ()) -> DataFrame:
     """The k nearest vectors of each query by squared L2 distance, ties by id: exact.
 
-    Both tables are read once and cut into blocks. Every block of vectors meets
-    every pack of queries in one join on dense numbers, whatever their count;
-    it sends on the best k of each query with their distances, to ``DIGITS``
-    digits. Rows without an id or a vector take no part.
+    With ``by``, a query's candidates are the vectors of its own group only.
+    Both tables are read once and cut into blocks. Blocks of vectors meet packs
+    of queries of the same group in one join; both are dealt to cells of
+    bounded size, so a large group is many tasks' work. A block sends on the
+    best k of each query with their distances, to ``DIGITS`` digits. A vector
+    of another length than the query's is no candidate. Rows without an id, a
+    group or a vector, or with a null in it, take no part.
     """
-    queries = queries.select(query_id, "embedding")
-    packs = max(1, -(-queries.count() // block))
-    # A hash of the id may fill a partition with several packs; they share its number.
-    asked = _blocks(queries.repartition(packs, query_id), query_id, "embedding", block, "q")
-    asked = cut_lineage(asked.withColumn("pack", F.spark_partition_id()))
-    held = cut_lineage(_blocks(vectors, vector_id, "embedding", VECTOR_BLOCK, "v"))
-    cells = max(1, -(-held.count() // BLOCKS_PER_CELL))
-    grid = held.withColumn("cell", F.expr(f"cast(pmod(xxhash64(v_items), {cells}) as int)")).withColumn(
-        "pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    spread = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    found = grid.join(spread, ["pack", "cell"]).select("q_ids", "q_items", "v_ids", "v_items").mapInArrow(
-        _meet(k, query_id, vector_id),
-        f"`{query_id}` {dict(queries.dtypes)[query_id]}, `{vector_id}` {dict(vectors.dtypes)[vector_id]}, distance double")
+    by = list(by)
+    keys = [*by, "dim"]
+    asked = _blocks(queries, by, query_id, "embedding", block, "q")
+    held = _blocks(vectors, by, vector_id, "embedding", VECTOR_BLOCK, "v")
+    cells = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / CELL).alias(name))
+    sizes = cells(asked, "packs").join(cells(held, "cells"), keys)
+    own = lambda n: F.pmod(F.xxhash64("block"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    spread = asked.join(sizes, keys).withColumn("pack", own("packs")).withColumn("cell", every("cells")).drop("block", "packs", "cells")
+    grid = held.join(sizes, keys).withColumn("cell", own("cells")).withColumn("pack", every("packs")).drop("block", "packs", "cells")
+    kinds = dict(queries.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + f"`{query_id}` {kinds[query_id]}, `{vector_id}` {dict(vectors.dtypes)[vector_id]}, distance double"
+    found = grid.join(spread, [*keys, "pack", "cell"]).select(*keys, "q_ids", "q_items", "v_ids", "v_items").mapInArrow(_meet(k, by, query_id, vector_id), schema)
     found = found.withColumn("distance", F.round("distance", DIGITS))
-    return first_per_group(found, [query_id], [F.col("distance"), F.col(vector_id)], k)
+    return first_per_group(found, [*by, query_id], [F.col("distance"), F.col(vector_id)], k)
 
 
 def rearranged_index(rows: DataFrame, keys: Sequence[str], item: str, pos: str, name: str = "shown") -> DataFrame:

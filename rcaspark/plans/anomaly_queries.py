@@ -98,26 +98,57 @@ def _(spark, d):
     return refine.preprocess(ch, kpi)["decisions"].select("entity", "usable")
 
 
-def _refined(spark, d, **options):
-    return refine.refine(dq.derived(spark, d), dq.COLUMNS, fx.CASE, "order lines", generate.echo_client, generate.coin_client, alpha=dq.ALPHA, **options)
+def _alphabet():
+    """Offline stand-in for a model's verdict: causes come in front of their effects in the alphabet."""
+    import re
 
+    def ask(prompt, system, temperature):
+        cause, effect = re.search(r"explains how (.*) and (.*) are related", prompt).groups()
+        return ("<Yes>" if cause < effect else "<No>"), "stop"
+
+    return ask
 
-@query("gr11_refined_ranking")
-def _(spark, d):
-    return _refined(spark, d)["ranking"].drop("case")
 
+def _refined(spark, d):
+    """Three cases in one job."""
+    rows, nodes = dq.derived_cases(spark, d)
+    return refine.refine_cases(rows, nodes, "order lines", generate.echo_client, _alphabet, alpha=dq.CASES_ALPHA)
 
-@query("gr11_refined_evaluation")
+
+@query("gr11_refined_ranking", f'WITH RECURSIVE {dq.CASE_RANKING} SELECT "case", stage, node, round(v, 6) AS visits, rank FROM ranking')
 def _(spark, d):
-    out = _refined(spark, d)
-    truth = spark.createDataFrame([(fx.CASE, s, "X") for s in ("discovered", "constrained")], "case string, stage string, node string")
-    return refine.evaluate_ranking(out["ranking"], truth, "V").drop("case")
+    return _refined(spark, d)["ranking"].withColumn("visits", F.round("visits", 6))
 
 
-@query("gr12_refinement_difference")
+@query("gr11_refined_evaluation", f"""
+    WITH RECURSIVE {dq.CASE_RANKING},
+    t AS (SELECT *, (SELECT rank FROM ranking q WHERE q."case" = r."case" AND q.stage = r.stage AND q.node = 'V') AS kr FROM ranking r WHERE node = 'X'),
+    e AS (SELECT "case", stage, rank AS rank_all, rank - CASE WHEN kr < rank THEN 1 ELSE 0 END AS rank_entities,
+                 (SELECT count(*) FROM ranking q WHERE q."case" = t."case" AND q.stage = t.stage AND q.node <> 'V' AND q.v = t.v) AS tied FROM t)
+    SELECT *, rank_all <= 1 AS rank_all_hit_1, rank_all <= 3 AS rank_all_hit_3, rank_all <= 5 AS rank_all_hit_5, round(1 / rank_all, 6) AS rank_all_rr,
+           rank_entities <= 1 AS rank_entities_hit_1, rank_entities <= 3 AS rank_entities_hit_3, rank_entities <= 5 AS rank_entities_hit_5, round(1 / rank_entities, 6) AS rank_entities_rr
+    FROM e
+""")
+def _(spark, d):
+    out = _refined(spark, d)
+    truth = out["kpi"].select("case", F.explode(F.array(F.lit("discovered"), F.lit("constrained"))).alias("stage"), F.lit("X").alias("node"))
+    found = refine.evaluate_ranking(out["ranking"], truth, out["kpi"])
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in found.dtypes])
+
+
+@query("gr12_refinement_difference", f"""
+    WITH {dq.CASES}, a AS (SELECT k, least(cause, effect) AS lo, greatest(cause, effect) AS hi, min(CASE WHEN mark = '->' AND cause > effect THEN '<-' ELSE mark END) AS x FROM g1 GROUP BY 1, 2, 3),
+    b AS (SELECT k, cause AS lo, effect AS hi, mark AS y FROM g2)
+    SELECT k AS "case", count(*) FILTER (x IN ('->', '<-')) AS before_directed, count(*) FILTER (x = '--') AS before_undirected, count(*) FILTER (x = '<->') AS before_bidirected,
+           count(y) AS after_directed, 0::BIGINT AS after_undirected, 0::BIGINT AS after_bidirected,
+           count(*) FILTER (x = '->' AND y = '->') AS directed_shared, count(*) FILTER (x = '<-' OR x = '->' AND y IS NULL) AS directed_lost,
+           count(*) FILTER (y = '->' AND (x IS NULL OR x <> '->')) AS directed_new,
+           count(*) FILTER (x = y) AS shared, count(*) FILTER (x <> y) AS changed, count(*) FILTER (y IS NULL) AS only_before, count(*) FILTER (x IS NULL) AS only_after
+    FROM a FULL JOIN b USING (k, lo, hi) GROUP BY 1
+""")
 def _(spark, d):
     out = _refined(spark, d)
-    return edges.graph_difference(out["initial"], out["refined"]).drop("case")
+    return edges.graph_difference(out["initial"], out["refined"])
 
 
 # -- panels and wide tables ----------------------------------------------------------

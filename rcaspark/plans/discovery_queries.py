@@ -47,11 +47,71 @@ SKELETON = f"""
 """
 
 
+# The same for every return flag as a case of its own.
+CASES = """
+    s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS mp, stddev_pop(l_extendedprice) AS sp,
+                 avg(l_discount) AS md, stddev_pop(l_discount) AS sd, avg(l_tax) AS mt, stddev_pop(l_tax) AS st FROM lineitem),
+    z AS (SELECT l_returnflag AS k, (l_quantity - mq) / sq AS q, (l_extendedprice - mp) / sp AS p, (l_discount - md) / sd AS dd, (l_tax - mt) / st AS t FROM lineitem, s),
+    x AS (SELECT k, q AS X, q + p AS Y, q + dd AS W, q + p + q + dd + t AS V FROM z),
+    pairs AS (SELECT k, a, b, count(*) AS n, corr(va, vb) AS r FROM (
+        SELECT k, unnest(['X', 'X', 'X', 'Y', 'Y', 'W']) AS a, unnest(['Y', 'W', 'V', 'W', 'V', 'V']) AS b,
+               unnest([X, X, X, Y, Y, W]) AS va, unnest([Y, W, V, W, V, V]) AS vb FROM x) GROUP BY 1, 2, 3),
+    r AS (SELECT k, a, b, n, r FROM pairs UNION ALL SELECT k, b, a, n, r FROM pairs),
+    p1 AS (SELECT ab.k, ab.a, ab.b, ag.b AS g, ab.n, (ab.r - ag.r * bg.r) / sqrt((1 - ag.r * ag.r) * (1 - bg.r * bg.r)) AS r
+           FROM r ab JOIN r ag ON ag.k = ab.k AND ag.a = ab.a AND ag.b <> ab.b JOIN r bg ON bg.k = ab.k AND bg.a = ab.b AND bg.b = ag.b),
+    p2 AS (SELECT ab.k, ab.a, ab.b, ab.g, ah.b AS h, ab.n, (ab.r - ah.r * bh.r) / sqrt((1 - ah.r * ah.r) * (1 - bh.r * bh.r)) AS r
+           FROM p1 ab JOIN p1 ah ON ah.k = ab.k AND ah.a = ab.a AND ah.g = ab.g AND ah.b <> ab.b JOIN p1 bh ON bh.k = ab.k AND bh.a = ab.b AND bh.g = ab.g AND bh.b = ah.b),
+    cut AS (SELECT k, a, b, 0 AS s, '' AS given FROM r WHERE sqrt(n - 3) * abs(atanh(r)) <= 3.2905267
+            UNION ALL SELECT k, a, b, 1, g FROM p1 WHERE sqrt(n - 4) * abs(atanh(r)) <= 3.2905267
+            UNION ALL SELECT k, a, b, 2, g || h FROM p2 WHERE sqrt(n - 5) * abs(atanh(r)) <= 3.2905267),
+    sep AS (SELECT k, a, b, arg_min(given, s) AS given FROM cut GROUP BY 1, 2, 3),
+    adj AS (SELECT k, a, b FROM r EXCEPT SELECT k, a, b FROM sep),
+    heads AS (SELECT DISTINCT x.k, x.a AS cause, x.b AS effect FROM adj x JOIN adj y ON x.k = y.k AND x.b = y.b AND x.a <> y.a
+              JOIN sep ON sep.k = x.k AND sep.a = x.a AND sep.b = y.a AND NOT contains(given, x.b)),
+    g1 AS (SELECT adj.k, a AS cause, b AS effect, CASE WHEN heads.cause IS NULL THEN '--' ELSE '->' END AS mark
+           FROM adj LEFT JOIN heads ON adj.k = heads.k AND a = cause AND b = effect
+           WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.k = adj.k AND h.cause = b AND h.effect = a)),
+    -- The verdicts want every cause in front of its effect in the alphabet.
+    g2 AS (SELECT k, a AS cause, b AS effect, '->' AS mark FROM adj WHERE a < b)
+"""
+CASES_ALPHA = 0.001
+
+# The walk over both graphs of every case, and its ranking.
+CASE_RANKING = f"""
+    {CASES},
+    st AS (SELECT 'discovered' AS stage, * FROM g1 UNION ALL SELECT 'constrained', * FROM g2),
+    nd(node, pos) AS (VALUES ('X', 0), ('Y', 1), ('W', 2), ('V', 3)),
+    ks AS (SELECT DISTINCT l_returnflag AS k, unnest(['discovered', 'constrained']) AS stage FROM lineitem),
+    d AS (SELECT k, stage, effect AS node, cause AS next FROM st UNION SELECT k, stage, cause, effect FROM st WHERE mark <> '->'),
+    s2 AS (FROM d UNION SELECT k, stage, next, node FROM d WHERE node = 'V' OR next = 'V'),
+    tr AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY k, stage, node) AS p FROM s2),
+    chain AS (SELECT k, stage, node, next, p * 0.95 AS w, 1.0 AS arrives FROM tr
+              UNION ALL SELECT k, stage, node, 'V', CASE WHEN (k, stage, node) IN (SELECT (k, stage, node) FROM tr) THEN 0.05 ELSE 1.0 END, 0.0 FROM ks, nd),
+    steps(i, k, stage, node, prob, arrived) AS (
+        SELECT 0, k, stage, 'V', 1.0::DOUBLE, 0.0::DOUBLE FROM ks
+        UNION ALL
+        SELECT t.i + 1, t.k, t.stage, c.next, sum(t.prob * c.w), sum(t.prob * c.w * c.arrives) FROM steps t
+        JOIN chain c ON t.k = c.k AND t.stage = c.stage AND t.node = c.node WHERE t.i < 1000 GROUP BY t.i, t.k, t.stage, c.next),
+    vis AS (SELECT ks.k, ks.stage, nd.node, nd.pos, round(coalesce(sum(arrived), 0), 9) AS v FROM ks, nd
+            LEFT JOIN steps t ON t.k = ks.k AND t.stage = ks.stage AND t.node = nd.node GROUP BY ALL),
+    ranking AS (SELECT k AS "case", stage, node, v, row_number() OVER (PARTITION BY k, stage ORDER BY v DESC, pos) AS rank FROM vis)
+"""
+
+
+def derived_cases(spark, d):
+    """The derived columns beside the return flag, as one panel of several cases."""
+    lines = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), *RAW)
+    return discover.case_panel(_derived(lines, "flag"), COLUMNS, "flag")
+
+
 def derived(spark, d):
-    lines = table(spark, d, "lineitem").select(*RAW)
+    return _derived(table(spark, d, "lineitem").select(*RAW))
+
+
+def _derived(lines, *keys):
     s = lines.agg(*[F.avg(c).alias(f"m_{c}") for c in RAW], *[F.stddev_pop(c).alias(f"s_{c}") for c in RAW]).first()
     q, p, dd, t = [(F.col(c) - s[f"m_{c}"]) / s[f"s_{c}"] for c in RAW]
-    return lines.select(q.alias("X"), (q + p).alias("Y"), (q + dd).alias("W"), (q + p + q + dd + t).alias("V"))
+    return lines.select(*keys, q.alias("X"), (q + p).alias("Y"), (q + dd).alias("W"), (q + p + q + dd + t).alias("V"))
 
 
 def truth(spark):
@@ -78,8 +138,8 @@ def _(spark, d):
 
 @query("gr01_skeleton", f"WITH {SKELETON} SELECT a, b FROM adj WHERE strpos('XYWV', a) < strpos('XYWV', b)")
 def _(spark, d):
-    n, corr = discover.moment_matrix(discover.cross_moments(derived(spark, d), COLUMNS), 4, "r")
-    found, _cuts = discover.skeleton(spark, corr, n, discover.fisher_test(ALPHA))
+    rows, _nodes = discover.panel(derived(spark, d), COLUMNS, CASE)
+    found, _cuts = discover.skeleton(discover.cross_moments(rows), discover.fisher_test(ALPHA))
     names = F.array(*[F.lit(c) for c in COLUMNS])
     return found.select(F.get(names, F.col("x")).alias("a"), F.get(names, F.col("y")).alias("b"))
 
@@ -103,7 +163,7 @@ def _(spark, d):
     SELECT cause, effect, round(score, 2) AS score, score = min(score) OVER (PARTITION BY effect) AND score < 0 AS chosen FROM sc
 """)
 def _(spark, d):
-    return discover.single_parent_scores(derived(spark, d), COLUMNS, CASE).select("cause", "effect", F.round("score", 2).alias("score"), "chosen")
+    return discover.single_parent_scores(*discover.panel(derived(spark, d), COLUMNS, CASE)).select("cause", "effect", F.round("score", 2).alias("score"), "chosen")
 
 
 @query("gr05_linear_non_gaussian", """

@@ -96,6 +96,18 @@ def _(spark, d):
     return generate.run_calls(q, ["conv_id", "turn"], generate.echo_client, done=done).select("conv_id", "turn", "status")
 
 
+@query("gn03_call_store", """
+    SELECT conv_id, turn, 'COMPLETE' AS status, 'digest ' || sha256(text) AS text FROM conversations WHERE role = 'user'
+""")
+def _(spark, d):
+    # The first run asks for first turns only; the second one for everything, and finds those in the store.
+    q = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.lit("system").alias("system"), F.col("text").alias("prompt"))
+    path = scratch_path(spark, "store")
+    generate.stored_calls(q.where("turn = 0"), ["conv_id", "turn"], generate.echo_client, path)
+    calls = generate.stored_calls(q, ["conv_id", "turn"], generate.echo_client, path)
+    return generate.complete_only(calls).select("conv_id", "turn", "status", "text")
+
+
 @query("gn02_fn23_admission", """
     SELECT conv_id, turn, length(text) AS tokens, length(text) + 101 AS required, length(text) + 101 <= 400 AS fits, greatest(0, 400 - length(text) - 1) AS max_output,
            CASE WHEN length(text) + 101 <= 400 THEN 'ADMITTED' ELSE 'BLOCKED_CAPACITY' END AS status FROM conversations WHERE role = 'user'
@@ -178,12 +190,39 @@ def _(spark, d):
     return decided.where("rounds = 1").select("cause", "effect", "verdict")
 
 
-@query("gn06_debate")
+def _round_sql(i):
+    """Round ``i`` of a debate among the pairs that are still open."""
+    return f"""
+    m{i} AS (SELECT cause, effect, q, mem2 AS mem0 FROM j{i - 1} WHERE p{i - 1} BETWEEN 0.2 AND 0.8),
+    t{i} AS (SELECT *, mem0 || 'The positive expert says: digest ' || sha256('Debate so far:' || chr(10) || mem0 || q || 'Argue as the expert who supports it.') || chr(10) AS mem FROM m{i}),
+    u{i} AS (SELECT *, mem || 'The negative expert says: digest ' || sha256('Debate so far:' || chr(10) || mem || q || 'Argue as the expert who opposes it.') || chr(10) AS mem2 FROM t{i}),
+    j{i} AS (SELECT *, round(CAST('0x' || substr(sha256(mem2 || q || {NUMBER}), 1, 2) AS INTEGER) / 255, 4) AS p{i} FROM u{i})
+    """
+
+
+DEBATED = f"""
+    WITH {PAIRS}, {JUDGED}, {_round_sql(2)}, {_round_sql(3)}
+    SELECT cause, effect, CASE WHEN p1 > 0.8 THEN 1 ELSE 0 END AS verdict, 1 AS rounds FROM j1 WHERE p1 > 0.8 OR p1 < 0.2 UNION ALL
+    SELECT cause, effect, CASE WHEN p2 > 0.8 THEN 1 ELSE 0 END, 2 FROM j2 WHERE p2 > 0.8 OR p2 < 0.2 UNION ALL
+    SELECT cause, effect, CASE WHEN p3 > 0.5 THEN 1 WHEN p3 < 0.5 THEN 0 END, 3 FROM j3
+"""
+
+
+@query("gn06_debate", DEBATED)
 def _(spark, d):
     decided, _turns = generate.debate(generate.ordered_pairs(gq._nations(spark, d)), THEME, generate.echo_client, generate.number_client)
     return decided.drop("case")
 
 
+@query("gn06_replayed_debate", DEBATED)
+def _(spark, d):
+    # The judge reads the event log of a debate once more; nobody argues anew.
+    _decided, turns = generate.debate(generate.ordered_pairs(gq._nations(spark, d)), THEME, generate.echo_client, generate.number_client)
+    path = scratch_path(spark, "turns")
+    turns.write.parquet(path)
+    return generate.replay_debate(spark.read.parquet(path), generate.number_client).drop("case")
+
+
 @query("gn07_direct_verdicts", f"""
     WITH {PAIRS}, q AS (SELECT cause, effect, {QUESTION} || {YES_NO} AS plain, a.text || chr(10) || b.text || chr(10) || {QUESTION} || {YES_NO} AS informed
                         FROM p JOIN {NODE_TEXT} a ON cause = a.entity JOIN {NODE_TEXT} b ON effect = b.entity)

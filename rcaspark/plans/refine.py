@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rcaspark.functions import text as tx
@@ -16,6 +16,9 @@ from rcaspark.operators.profile import GateError, require
 from rcaspark.session import cut_lineage
 from rcaspark.streaming.spot import alert_counts, spot_scores
 
+#: Between case and stage in the key of a walk.
+STAGE = "\x1f"
+
 
 def preprocess(channels: DataFrame, kpi: DataFrame, **spot) -> dict[str, DataFrame]:
     """Channels to fused entity series: align, profile, score, keep alerting entities, fuse."""
@@ -62,12 +65,11 @@ def dataset_summary(texts: DataFrame, nodes: DataFrame, factory: Callable[[], ge
         F.array_agg("entity").alias("_labels"))
     question = F.concat(F.lit("Summarise the data set and every node.\nNodes: "), F.col("_names"), F.lit("\n"))
     asked = names.withColumn("question", question)
-    queries = retrieve.embed(asked.select(F.col("case").alias("query_id"), "question"), "question", embed)
+    queries = retrieve.embed(asked.select("case", F.col("case").alias("query_id"), "question"), "question", embed)
     chunks = retrieve.chunk_table(texts, "text", ["case", "entity"], tx.fixed_chunks(F.col("text"), 1024, 200))
     chunks = cut_lineage(retrieve.embed(chunks.withColumn("vec_id", F.concat_ws("#", "case", "entity", "chunk")), "text", embed))
     # A case's question is answered from the case's own chunks: k of each case, all queries in one pass.
-    own = chunks.join(queries.select(F.col("query_id").alias("case"), F.col("embedding").alias("_q")), "case").withColumn("_d", F.round(retrieve.squared_distance(F.col("embedding"), F.col("_q")), retrieve.DIGITS))
-    near = first_per_group(own, ["case"], [F.col("_d"), F.col("vec_id")], k, "rank")
+    near = retrieve.nearest(queries, chunks, k, by=["case"]).join(chunks.select("case", "vec_id", "text"), ["case", "vec_id"])
     context = near.groupBy("case").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n").alias("_context"))
     prompts = asked.join(context, "case").select("case", F.lit("You summarise a system.").alias("system"), F.concat("_context", F.lit("\n\n"), "question").alias("prompt"))
     calls = generate.complete_only(generate.record(generate.run_calls(prompts, ["case"], factory)))
@@ -78,42 +80,76 @@ def dataset_summary(texts: DataFrame, nodes: DataFrame, factory: Callable[[], ge
     return read.select("case", "dataset", F.inline(F.arrays_zip(F.col("names").alias("name"), F.col("bodies").alias("body"))))
 
 
-def refine(
-    wide: DataFrame, columns: Sequence[str], case: str, theme: str,
+def refine_cases(
+    rows: DataFrame, nodes: DataFrame, theme: str,
     explain: Callable[[], generate.Client], decide: Callable[[], generate.Client],
-    method: str = "pc", compat: str = "corrected", **options,
+    method: str = "pc", compat: str = "corrected", texts: DataFrame | None = None,
+    form: str = "yes_no", debate_rounds: int = 0, store: str | None = None, **options,
 ) -> dict[str, DataFrame]:
-    """Discover, explain each pair, decide, discover again under the verdicts, rank both graphs.
-
-    The last column is the KPI. Every stage is stored before the next one reads it.
-    The released protocol ranks the first constrained stage on the initial graph.
+    """Discover, explain each pair, decide, discover again under the verdicts, rank both graphs: all cases in one job.
+
+    ``rows`` is a panel and ``nodes`` (case, entity, pos) its variables; the last
+    one of a case is its KPI. ``texts`` (case, entity, text), such as log
+    summaries and web pages, go into the explanations. Verdicts are asked as
+    ``form``: "yes_no", "any_case" or "guesses"; with ``debate_rounds`` a debate
+    between two experts is judged by ``decide`` instead. With ``store`` answers
+    are kept in a call store there, and a broken run goes on from it. Every
+    stage is stored before the next one reads it. The released protocol ranks
+    the first constrained stage on the initial graph.
     """
-    spark = wide.sparkSession
-    nodes = spark.createDataFrame([(case, c, i) for i, c in enumerate(columns)], "case string, entity string, pos int")
-    kpi = nodes.where(F.col("pos") == len(columns) - 1)
-    initial = cut_lineage(discover.discover(wide, columns, case, method, **options))
-    asked = generate.explanation_prompts(generate.ordered_pairs(nodes), initial, nodes, theme, method, compat)
-    explained = generate.complete_only(generate.record(generate.run_calls(asked, PAIR, explain, 0.5)))
-    answers = generate.record(generate.run_calls(generate.verdict_prompts(explained, theme), PAIR, decide, 0.8))
-    constraints = cut_lineage(generate.verdicts(generate.complete_only(answers)))
-    refined = cut_lineage(discover.discover(wide, columns, case, method, constraints=constraints, **options))
+    last = Window.partitionBy("case").orderBy(F.desc("pos"))
+    kpi = nodes.withColumn("_last", F.row_number().over(last)).where("_last = 1").drop("_last")
+    initial = cut_lineage(discover.discover_cases(rows, nodes, method, **options))
+
+    def ask(prompts: DataFrame, step: str, factory: Callable[[], generate.Client], temperature: float) -> DataFrame:
+        if store is None:
+            return generate.complete_only(generate.record(generate.run_calls(prompts, PAIR, factory, temperature)))
+        return generate.complete_only(generate.stored_calls(prompts, PAIR, factory, f"{store}/{step}", temperature))
+
+    pairs = generate.ordered_pairs(nodes)
+    if texts is not None:
+        known = nodes.join(texts.select("case", "entity", "text"), ["case", "entity"], "left").select("case", "entity", F.coalesce("text", F.lit("")).alias("text"))
+        pairs = generate.with_node_texts(pairs, known)
+    asked = generate.explanation_prompts(pairs, initial, nodes, theme, method, compat)
+    explained = ask(asked, "explain", explain, 0.5)
+    turns = None
+    if debate_rounds:
+        constraints, turns = generate.debate(pairs, theme, explain, decide, rounds=debate_rounds, compat=compat)
+        constraints = constraints.select(*PAIR, "verdict")
+    else:
+        prompts = generate.verdict_prompts(explained, theme, "guesses" if form == "guesses" else "yes_no")
+        constraints = generate.verdicts(ask(prompts, "decide", decide, 0.8), form)
+    constraints = cut_lineage(constraints)
+    refined = cut_lineage(discover.discover_cases(rows, nodes, method, constraints=constraints, **options))
     graphs = initial.withColumn("graph_role", F.lit("initial")).unionByName(refined.withColumn("graph_role", F.lit("refined")))
     second = "initial" if compat == "released" else "refined"
-    routes = spark.createDataFrame([(case, "discovered", "initial"), (case, "constrained", second)], "case string, stage string, graph_role string")
-    staged = cut_lineage(walk.route_stages(graphs, routes))
-    # A stage of a case walks on its own; the walk's case key carries both.
-    both = F.concat_ws("|", "case", "stage")
+    stages = F.array(*[F.struct(F.lit(s).alias("stage"), F.lit(g).alias("graph_role")) for s, g in (("discovered", "initial"), ("constrained", second))])
+    routes = kpi.select("case", F.inline(stages))
+    staged = cut_lineage(routes.join(graphs, ["case", "graph_role"]))
+    # A stage of a case walks on its own; the walk's case key carries both. A graph without edges leaves the walk at the KPI.
+    both = F.concat_ws(STAGE, "case", "stage")
     step = staged.withColumn("case", both)
-    stage_nodes = nodes.join(routes.select("case", "stage"), "case").withColumn("case", both)
-    stage_kpi = stage_nodes.where(F.col("pos") == len(columns) - 1)
-    moves = walk.transitions(walk.walk_graph(step, stage_kpi))
+    stage_nodes = cut_lineage(nodes.join(routes.select("case", "stage"), "case").withColumn("case", both))
+    stage_kpi = kpi.join(routes.select("case", "stage"), "case").withColumn("case", both)
+    moves = cut_lineage(walk.transitions(walk.walk_graph(step, stage_kpi)))
     ranking = walk.rank_nodes(walk.expected_visits(moves, stage_nodes, stage_kpi), stage_nodes, digits=9)
-    ranking = ranking.select(F.lit(case).alias("case"), F.substring_index("case", "|", -1).alias("stage"), "node", "visits", "rank")
-    return {"initial": initial, "explained": explained, "constraints": constraints, "refined": refined, "ranking": ranking, "nodes": nodes, "kpi": kpi}
+    ranking = ranking.select(
+        F.substring_index("case", STAGE, 1).alias("case"), F.substring_index("case", STAGE, -1).alias("stage"), "node", "visits", "rank")
+    out = {"initial": initial, "explained": explained, "constraints": constraints, "refined": refined, "ranking": cut_lineage(ranking), "nodes": nodes, "kpi": kpi}
+    return out | ({} if turns is None else {"turns": turns})
+
+
+def refine(
+    wide: DataFrame, columns: Sequence[str], case: str, theme: str,
+    explain: Callable[[], generate.Client], decide: Callable[[], generate.Client], **options,
+) -> dict[str, DataFrame]:
+    """The same for one case's wide table, whose last column is the KPI."""
+    rows, nodes = discover.panel(wide, columns, case)
+    return refine_cases(rows, nodes, theme, explain, decide, **options)
 
 
-def evaluate_ranking(ranking: DataFrame, truth: DataFrame, kpi: str) -> DataFrame:
-    """Rank of the true node per stage, with and without the KPI."""
+def evaluate_ranking(ranking: DataFrame, truth: DataFrame, kpi: DataFrame | str) -> DataFrame:
+    """Rank of the true node per case and stage, with and without the KPI."""
     return evaluate.truth_report(ranking, truth, kpi, ("case", "stage"))
 
 

@@ -23,7 +23,7 @@ def test_partial_correlation_matches_regression():
     corr = np.corrcoef(x.T)
     z = np.c_[np.ones(500), x[:, 2:]]
     res = x[:, :2] - z @ np.linalg.lstsq(z, x[:, :2], rcond=None)[0]
-    assert discover.partial_correlation(corr, 0, 1, np.array([[2, 3]]))[0] == pytest.approx(np.corrcoef(res.T)[0, 1])
+    assert discover.partial_correlations(corr[None])[0] == pytest.approx(np.corrcoef(res.T)[0, 1])
 
 
 @pytest.fixture(scope="module")
@@ -36,10 +36,83 @@ def wide(spark):
     return spark.createDataFrame([tuple(map(float, t)) for t in zip(d, a, c, b)], "d double, a double, c double, b double").repartition(6)
 
 
-def test_moments_do_not_depend_on_partitions(wide):
-    one = discover.moment_matrix(discover.cross_moments(wide.coalesce(1), ["d", "a", "c", "b"]), 4, "r")
-    many = discover.moment_matrix(discover.cross_moments(wide.repartition(9), ["d", "a", "c", "b"]), 4, "r")
-    assert one[0] == many[0] == 4000 and np.allclose(one[1], many[1])
+def moments(rows):
+    return {(r["case"], r["i"], r["j"]): (r["n"], r["cov"], r["r"]) for r in discover.cross_moments(rows).collect()}
+
+
+def test_moments_do_not_depend_on_partitions_or_tiles(spark, wide, monkeypatch):
+    columns = ["d", "a", "c", "b"]
+    x = np.array(wide.select(*columns).collect())
+    want, corr = np.cov(x.T, bias=True), np.corrcoef(x.T)
+    monkeypatch.setattr(discover, "TILE", 3)
+    monkeypatch.setattr(discover, "CHUNK_BYTES", 20_000)
+    for parts in (1, 9):
+        got = moments(discover.panel(wide.repartition(parts), columns, "k")[0])
+        assert set(got) == {("k", i, j) for i in range(4) for j in range(i, 4)}
+        assert all(n == 4000 and cov == pytest.approx(want[i, j]) and r == pytest.approx(corr[i, j]) for (_, i, j), (n, cov, r) in got.items())
+
+
+def test_moments_of_several_cases_and_odd_rows(spark):
+    rows = [("a", [1.0, 2.0, 7.0]), ("a", [2.0, 1.0, 7.0]), ("a", [4.0, 9.0, 7.0]), ("a", [None, 1.0, 7.0]), ("a", [1.0, float("nan"), 7.0]),
+            ("b", [1.0, 5.0]), ("b", [2.0, 6.0]), (None, [1.0]), ("c", None)]
+    got = moments(spark.createDataFrame(rows, "case string, values array<double>").repartition(4))
+    assert got["a", 0, 1][:2] == (3, pytest.approx(np.cov([1, 2, 4], [2, 1, 9], bias=True)[0, 1]))
+    assert got["a", 0, 2][2] is None and got["b", 0, 1][2] == pytest.approx(1.0) and {k[0] for k in got} == {"a", "b"}
+    with pytest.raises(Exception, match="different lengths"):
+        moments(spark.createDataFrame([("a", [1.0]), ("a", [1.0, 2.0])], "case string, values array<double>").coalesce(1))
+
+
+def test_five_thousand_columns(spark):
+    width = 5000
+    rows = spark.range(40, numPartitions=4).select(F.lit("w").alias("case"), F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.hash("id", i) / 2.0**31).alias("values"))
+    found = discover.cross_moments(rows)
+    assert found.count() == width * (width + 1) // 2
+    some = found.where("i % 997 = 0 and j % 1009 = 0").collect()
+    x = np.array([r["values"] for r in rows.collect()])
+    assert some and all(r["r"] == pytest.approx(np.corrcoef(x[:, r["i"]], x[:, r["j"]])[0, 1]) for r in some if r["i"] < r["j"])
+
+
+def test_waves_keep_the_first_set_in_order(spark, monkeypatch):
+    """Eight variables: the separating sets are those of a plain loop, however the subsets are handed out."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3000, 8))
+    for j in range(2, 8):
+        x[:, j] += 0.7 * x[:, j - 1] + 0.5 * x[:, j - 2]
+    corr, test = np.corrcoef(x.T), discover.fisher_test(0.05)
+    near = {i: set(range(8)) - {i} for i in range(8)}
+    want = {}
+    for s in range(7):
+        held = {i: sorted(near[i]) for i in near}
+        for i, j in itertools.combinations(range(8), 2):
+            if j not in held[i]:
+                continue
+            for a, b in ((i, j), (j, i)):
+                hit = next((g for g in itertools.combinations([k for k in held[a] if k != b], s)
+                            if test(corr[np.ix_([i, j, *g], [i, j, *g])][None], np.array([3000]))[0]), None)
+                if hit is not None:
+                    want[i, j] = list(hit)
+                    near[i].discard(j), near[j].discard(i)
+                    break
+    wide = spark.createDataFrame([tuple(map(float, t)) for t in x], ", ".join(f"c{i} double" for i in range(8)))
+    found = discover.cross_moments(discover.panel(wide, wide.columns, "k")[0])
+    for size in (2048, 2):
+        monkeypatch.setattr(discover, "TESTS_PER_ROW", size)
+        monkeypatch.setattr(discover, "FIRST_WAVE", 1)
+        monkeypatch.setattr(discover, "GROWTH", 2)
+        edges, cuts = discover.skeleton(found, test)
+        assert {(c["x"], c["y"]): c["sepset"] for c in cuts.collect()} == want
+        assert {(e["x"], e["y"]) for e in edges.collect()} == {p for p in itertools.combinations(range(8), 2) if p not in want}
+
+
+def test_cases_in_one_job_equal_cases_alone(spark, wide):
+    turned = wide.select(F.col("a").alias("d"), F.col("c").alias("a"), F.col("d").alias("c"), "b")
+    both = wide.withColumn("k", F.lit("one")).unionByName(turned.withColumn("k", F.lit("two")))
+    for method, alpha in (("pc", 0.01), ("lingam", 0.001), ("exact", 0.05)):
+        options = {} if method == "exact" else {"alpha": alpha}
+        got = discover.discover_cases(*discover.case_panel(both, ["d", "a", "c", "b"], "k"), method, **options)
+        want = [discover.discover(t, ["d", "a", "c", "b"], c, method, **options) for t, c in ((wide, "one"), (turned, "two"))]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want[0].unionByName(want[1]).collect()))
 
 
 def test_collider_and_propagation(wide):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rcaspark.operators import logs, order, profile
+from rcaspark.operators import contains, logs, order, profile
 from rcaspark.operators.contains import contains_join
 from rcaspark.streaming.spot import moving_deviation
 
@@ -79,13 +79,17 @@ def test_content_digest_sees_order_and_blocks(spark):
     assert digest(a, 10) != digest(swapped, 10)
 
 
-def test_contains_join_both_ways(spark):
+def test_contains_join_equals_every_pair(spark, monkeypatch):
     r = random.Random(2)
     word = lambda n: "".join(r.choice("abcd") for _ in range(n))
-    texts = [(i, word(r.randrange(5, 400))) for i in range(60)]
-    patterns = list({word(r.randrange(1, 14)) for _ in range(80)} | {texts[0][1][3:40], "ü", "zz"})
-    t = spark.createDataFrame(texts, "i int, text string")
-    p = spark.createDataFrame([(x,) for x in patterns], "pattern string")
-    want = sorted((i, x) for i, s in texts for x in patterns if x in s)
+    texts = [(i, word(r.randrange(5, 400))) for i in range(60)] + [(60, None), (61, ""), (62, "ein grüßchen 😀 für alle"), (63, "aaaaaaaa" * 3000)]
+    patterns = list({word(r.randrange(1, 14)) for _ in range(80)} | {texts[0][1][3:40], "ü", "zz", "grüßchen 😀", "😀"})
+    t = spark.createDataFrame(texts, "i int, text string").repartition(4)
+    p = spark.createDataFrame([(x,) for x in [*patterns, "", None, patterns[0]]], "pattern string")
+    want = sorted((i, x) for i, s in texts for x in patterns if s and x in s)
     assert rows(contains_join(t, "text", p, "pattern")) == want
-    assert rows(contains_join(t, "text", p, "pattern", limit=3)) == want
+    # With a filter that is far too small it only costs more.
+    monkeypatch.setattr(contains, "LEAST_BITS", 1 << 15)
+    monkeypatch.setattr(contains, "BITS_PER_GRAM", 1)
+    assert rows(contains_join(t, "text", p, "pattern", gram=3)) == want
+    assert rows(contains_join(t, "text", p.where("false"), "pattern")) == rows(contains_join(t.where("false"), "text", p, "pattern")) == []
