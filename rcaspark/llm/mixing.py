@@ -98,11 +98,13 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     return held
 
 
-def rates(documents: DataFrame, targets: Mapping[str, DataFrame] | None = None, budget: float | None = None) -> DataFrame:
+def rates(
+    documents: DataFrame, targets: Mapping[str, DataFrame] | None = None, budget: float | None = None, share: float | None = None,
+) -> DataFrame:
     """(source, lang, topic, tokens, weight, rate) for each cell of ``with_topics`` documents.
 
-    The rates draw ``budget`` tokens in expectation, in the targets' shares.
-    Without a budget the largest rate is 1, unless that draws less than
+    The rates draw ``budget`` tokens in expectation, in the targets' shares, or
+    ``share`` of the tokens that there are. Without either the largest rate is 1, unless that draws less than
     ``LEAST_SHARE`` of the tokens; then they are the budget.
     """
     cells = cut_lineage(documents.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"))
@@ -112,23 +114,27 @@ def rates(documents: DataFrame, targets: Mapping[str, DataFrame] | None = None,
     if not largest:
         return raked.withColumn("rate", F.lit(0.0))
     unrepeated = weight / largest
+    if budget is None and share is not None:
+        budget = share * tokens
     scale = max(1.0, LEAST_SHARE * tokens / unrepeated) if budget is None else budget / unrepeated
     return raked.withColumn("rate", each / F.lit(largest) * F.lit(float(scale)))
 
 
-def mix(documents: DataFrame, targets: Mapping[str, DataFrame] | None = None, seed: int = 5, budget: float | None = None) -> DataFrame:
+def mix(
+    documents: DataFrame, targets: Mapping[str, DataFrame] | None = None, seed: int = 5, budget: float | None = None, share: float | None = None,
+) -> DataFrame:
     """``with_topics`` documents with weight, rate, copies, probability and kept; a row each, ``repeated`` gives the sample.
 
     copies is the rate's whole part, and one more if a hash of doc_id is below
     its rest; kept says that there are any, and probability is the chance of it.
-    ``budget`` is the sample's tokens, see ``rates``. A document without words
+    ``budget`` is the sample's tokens, ``share`` those in the input's, see ``rates``. A document without words
     has no tokens to weigh: its rate is 1 if its cell's is unknown. Repeated
     rows are drawn together, as the draw is a hash of the id; a null id is one
-    id. Other columns stay; an empty table gives no rows.
+    id. Columns named as the results are replaced, others stay; an empty table gives no rows.
     """
     clash = [c for c in ("weight", "rate", "copies", "probability", "kept", "_cell", "_source", "_lang", "_topic") if c in documents.columns]
     documents = documents.drop(*clash)
-    cells = cut_lineage(rates(documents, targets, budget).select(
+    cells = cut_lineage(rates(documents, targets, budget, share).select(
         F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), "weight", "rate"))
     uniform = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 52)).cast("double") / float(1 << 52)
     same = _same("source", "_source") & _same("lang", "_lang") & _same("topic", "_topic")

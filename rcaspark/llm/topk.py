@@ -23,12 +23,11 @@ from ..session import cut_lineage
 BLOCK_ROWS, PACK_QUERIES, QUERIES_AT_ONCE = 8192, 2048, 64
 #: Candidate blocks that search one pack in one task before their results are merged by a shuffle.
 BLOCKS_PER_CELL = 16
-#: Components are held at the ends of the 32-bit range beyond it.
-LEAST, MOST = -(1 << 31), (1 << 31) - 1
+_FIELDS = ("keys", "ids", "at", "items")
 
 
 def _packed(prefix: str, rows: int):
-    """Rows (vec_id, items) into packs of at most ``rows``: ids, row starts and components as bytes."""
+    """Rows (row, vec_id, items) into packs of at most ``rows``: keys, ids, row starts and components as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,10 +37,11 @@ def _packed(prefix: str, rows: int):
                 lengths = items.value_lengths().to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x.tobytes()], pa.binary()) for x in (
+                        part.column("row").to_numpy(zero_copy_only=False).astype(np.int64),
                         part.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64),
                         np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64),
-                        items.flatten().to_numpy(zero_copy_only=False).astype(np.int64))],
-                    [f"{prefix}_ids", f"{prefix}_at", f"{prefix}_items"])
+                        items.flatten().to_numpy(zero_copy_only=False).astype(np.float64))],
+                    [f"{prefix}_{x}" for x in _FIELDS])
 
     return run
 
@@ -49,16 +49,19 @@ def _packed(prefix: str, rows: int):
 class Block:
     """A pack of vectors; ``terms`` yields each term's rows and weights."""
 
-    def __init__(self, ids: bytes, at: bytes, items: bytes):
-        self.ids, self.at, self.items = (np.frombuffer(x, np.int64) for x in (ids, at, items))
+    def __init__(self, keys: bytes, ids: bytes, at: bytes, items: bytes):
+        self.keys, self.ids, self.at = (np.frombuffer(x, np.int64) for x in (keys, ids, at))
+        items = np.frombuffer(items, np.float64)
+        self.peak = float(np.abs(items).max()) if len(items) else 0.0
+        # Whole numbers of any size: 64 bits where all fit.
+        self.items = items.astype(np.int64) if self.peak < 2.0**62 else np.array([int(x) for x in items], dtype=object)
         lengths = np.diff(self.at)
         row = np.repeat(np.arange(len(self.ids)), lengths)
         term = np.arange(len(self.items)) - np.repeat(self.at[:-1], lengths)
-        held = np.flatnonzero(self.items)
+        held = np.flatnonzero(items)
         held = held[np.argsort(term[held], kind="stable")]
         self.row, self.weight = row[held], self.items[held]
         self.first = np.searchsorted(term[held], np.arange((int(lengths.max()) if len(lengths) else 0) + 1))
-        self.peak = float(np.abs(self.items).max()) if len(self.items) else 0.0
 
     def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         if term + 1 >= len(self.first):
@@ -107,9 +110,9 @@ def _search(k: int):
     """Cells come sorted; the best of a pack are kept while its blocks pass by."""
 
     def result(pack: Block, best: list):
-        rows = [(int(q), *pair) for q, found in zip(pack.ids, best) for pair in zip(*(x.tolist() for x in found))]
-        columns = list(zip(*rows)) or [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
+        rows = [(int(key), int(q), *pair) for key, q, found in zip(pack.keys, pack.ids, best) for pair in zip(*(x.tolist() for x in found))]
+        columns = list(zip(*rows)) or [[], [], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query", "query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pack, best = None, None, []
@@ -119,13 +122,13 @@ def _search(k: int):
                     if pack is not None:
                         yield result(pack, best)
                     key = (row["pack"], row["part"], row["cell"])
-                    pack = Block(row["q_ids"], row["q_at"], row["q_items"])
+                    pack = Block(*(row[f"q_{x}"] for x in _FIELDS))
                     best = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(pack.ids)
-                block = Block(row["c_ids"], row["c_at"], row["c_items"])
+                block = Block(*(row[f"c_{x}"] for x in _FIELDS))
                 for at in range(0, len(pack.ids), QUERIES_AT_ONCE):
                     span = slice(at, min(at + QUERIES_AT_ONCE, len(pack.ids)))
                     for i, score in zip(range(span.start, span.stop), _scores(pack, span, block)):
-                        other = block.ids != pack.ids[i]
+                        other = block.keys != pack.keys[i]
                         ids, score = block.ids[other], score[other]
                         top = _best(score, ids, k)
                         ids = np.concatenate([best[i][0], ids[top]])
@@ -139,36 +142,41 @@ def _search(k: int):
 
 
 def quantised(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, items) of floor(scale * x); rows with nulls, NaN or infinite components are left out."""
+    """(row, vec_id, items) of floor(scale * x), stored; rows with nulls, NaN or infinite components are left out.
+
+    ``row`` tells rows apart. ``items`` are whole numbers as doubles, exact where ``scale`` is a power of two.
+    """
     x = F.col("embedding").cast("array<double>")
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(
         "vec_id is not null and embedding is not null").where(
         ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    return whole.select("vec_id", F.transform("embedding", lambda v: F.greatest(
-        F.least(F.floor(v * scale), F.lit(MOST).cast("long")), F.lit(LEAST).cast("long"))).alias("items"))
+    # Beyond 2^53 a double is a whole number already, and its floor might not fit in 64 bits.
+    items = F.transform("embedding", lambda v: F.when(F.abs(v * scale) < 2.0**53, F.floor(v * scale).cast("double")).otherwise(v * scale))
+    return cut_lineage(whole.select(F.monotonically_increasing_id().alias("row"), "vec_id", items.alias("items")))
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best candidates by inner product, exactly.
 
-    Both tables hold (vec_id, items: array<long>, components within 32 bits).
-    A candidate with the query's own vec_id does not count. Ties go to the
-    smaller vec_id; fewer candidates give fewer rows. Vectors of different
-    lengths meet on their common terms, and an empty vector scores 0. Queries
-    that share a vec_id count as one (the smallest vector); repeated candidates
-    stand each for themselves. Null ids or vectors take no part. Sums beyond
-    64 bits are held at the ends of the range. Empty tables give no rows.
+    Both tables hold (row, vec_id, items: array<double> of whole numbers of any
+    size). A candidate with the query's own ``row`` does not count; another row
+    with the same vec_id does. Ties go to the smaller vec_id; fewer candidates
+    give fewer rows. Vectors of different lengths meet on their common terms,
+    and an empty vector scores 0. Repeated queries and candidates stand each for
+    themselves. Null ids or vectors take no part; other columns are ignored.
+    Scores are exact; those beyond 64 bits are held at the ends of the range
+    and tie there. Empty tables give no rows.
     """
     spark = candidates.sparkSession
-    asked = cut_lineage(queries.where("vec_id is not null and items is not null").groupBy("vec_id").agg(F.min("items").alias("items")))
+    asked = cut_lineage(queries.where("vec_id is not null and items is not null").select("row", "vec_id", "items"))
     total = asked.count()
     packs = max(1, -(-total // PACK_QUERIES))
     packed = asked.repartition(packs).mapInArrow(
-        _packed("q", PACK_QUERIES), "q_ids binary, q_at binary, q_items binary")
+        _packed("q", PACK_QUERIES), ", ".join(f"q_{x} binary" for x in _FIELDS))
     packed = cut_lineage(packed.select(
         "*", F.spark_partition_id().cast("long").alias("pack"), F.monotonically_increasing_id().alias("part")))
-    blocks = candidates.where("vec_id is not null and items is not null").select("vec_id", "items").mapInArrow(
-        _packed("c", BLOCK_ROWS), "c_ids binary, c_at binary, c_items binary")
+    blocks = candidates.where("vec_id is not null and items is not null").select("row", "vec_id", "items").mapInArrow(
+        _packed("c", BLOCK_ROWS), ", ".join(f"c_{x} binary" for x in _FIELDS))
     blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
     # The grid: a block goes to one cell of each pack, a pack to its cells.
     cells = max(1, -(-blocks.count() // BLOCKS_PER_CELL), int(spark.sparkContext.defaultParallelism) // packs)
@@ -178,8 +186,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     spread = packed.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
     found = (
         grid.join(spread, ["pack", "cell"]).sortWithinPartitions("pack", "part", "cell")
-        .mapInArrow(_search(k), "query_id long, vec_id long, score long")
+        .mapInArrow(_search(k), "query long, query_id long, vec_id long, score long")
     )
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

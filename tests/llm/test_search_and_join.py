@@ -14,9 +14,11 @@ def brute_top_k(rows, k):
     vectors = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows
                if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in dict(sorted(((i, v) for i, v in vectors if i % 100 == 0), reverse=True)).items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vectors if i != q)
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
+    for at, (q, v) in enumerate(vectors):
+        if q % 100 == 0:
+            held = [(max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(v, w)))), i) for j, (i, w) in enumerate(vectors) if j != at]
+            scores = sorted((-s, i) for s, i in held)
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
@@ -35,6 +37,19 @@ def test_top_k_is_exact_with_sparse_rows_and_ties(spark, monkeypatch):
     assert run_top_k(spark, rows, 10) == want
 
 
+def test_top_k_of_large_components_and_repeated_rows(spark):
+    rows = [(0, [3e6], 1), (1, [1.0], 1), (2, [4e6], 1), (100, [2.0**30, 2.0**30], 1), (5, [2.0**33, 3.0 - 2.0**33], 1), (5, [2.0**33, -(2.0**33)], 1),
+            (100, [2.0**30, 2.0**30], 1), (100, [-7.25], 1), (0, [3e6], 1)]
+    assert run_top_k(spark, rows, 8) == brute_top_k([(i, v) for i, v, _ in rows], 8)
+    assert run_top_k(spark, rows[:3], 10) == [(0, 1, 2, 3072000000 * 4096000000), (0, 2, 1, 3145728000000)]
+
+
+def test_top_k_ignores_clashing_columns(spark):
+    table = topk.quantised(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>"))
+    more = table.selectExpr("*", "'x' as score", "1 as rank", "2 as query_id", "3 as q_ids", "4 as pack", "5 as cell")
+    assert [tuple(r) for r in topk.top_k(more.where("vec_id = 0"), more, 3).collect()] == [(0, 1, 1, 2 << 20)]
+
+
 def test_top_k_with_few_or_no_rows(spark):
     rows = [(0, [1.0, 2.0], 1), (1, [3.0], 1)]
     assert run_top_k(spark, rows, 10) == [(0, 1, 1, 3 * 1024 * 1024)]

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import re
+import time
 import zlib
 
 import pytest
@@ -87,6 +88,41 @@ def test_pii_contexts_add_unseen_identifiers(spark):
     assert clean[31] == unseen[1]
 
 
+def test_pii_takes_time_in_proportion_to_a_text(spark):
+    text = " ".join(str(10000 + i % 89999) for i in range(1_000_000)) + " mail a1@b.org end"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
+    began = time.monotonic()
+    got = pii.find(rows).first()
+    assert got.n_email == 1 and got.spans.startswith(f"email:{text.index('a1@')}:") and time.monotonic() - began < 120
+    many = " ".join(f"u{i}@b.org and" for i in range(60_000))
+    clean = pii.redact(spark.createDataFrame([(1, many)], "doc_id long, text string")).first().text
+    assert clean == " ".join(["[EMAIL] and"] * 60_000)
+
+
+def test_pii_finds_variants_planted_in_the_given_texts(spark):
+    """A third of the given texts get a line with an identifier of a plain form, a third one of another form, a third a decoy."""
+    kinds = {
+        "phone": ("call me on", lambda i: f"+49 (30) 555-{i:04d}", lambda i: f"(0171) 555-{i:04d}"),
+        "email": ("write mail to", lambda i: f"user{i}@mail.example.org", lambda i: f"user{i} (at) mail (dot) example (dot) org"),
+        "card": ("paid with card", lambda i: next(d for d in (f"40000{i:010d}{c}" for c in range(10)) if luhn(d)), lambda i: f"4000-0{i:03d}-7781-{i:03d}"),
+    }
+    rows, truth = [], set()
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect():
+        kind = list(kinds)[r.doc_id // 3 % 3]
+        lead, plain, variant = kinds[kind]
+        text, value = r.text or "", [plain, variant, lambda i: f"section {i} of {i + 70000}"][r.doc_id % 3](r.doc_id)
+        text += f"\nPlease {lead if r.doc_id % 3 < 2 else 'see'} {value} tomorrow."
+        rows.append((r.doc_id, text))
+        if r.doc_id % 3 == 1:
+            start = text.rindex(value)
+            truth.add((r.doc_id, f"{kind}:{start}:{start + len(value)}"))
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(r.doc_id, x) for r in got for x in r.added_spans.split(",") if x}
+    right = len(added & truth)
+    print("planted variants: precision", right / max(len(added), 1), "recall", right / len(truth))
+    assert right >= 0.95 * len(added) and right >= 0.9 * len(truth)
+
+
 def test_redaction_joins_overlapping_spans_and_keeps_columns(odd_documents, spark):
     out = pii.redact(odd_documents)
     assert out.columns == odd_documents.columns and out.count() == odd_documents.count()
