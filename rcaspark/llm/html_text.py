@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped and every block element becomes a line. Lengths of lines are summed over a sliding window; the
-text surges where a window's sum first reaches the page's own mean line length and dives where the window is empty
-again. An article or main element is a region of its own, without dives. The region with most text is the main one;
-another is kept if it is about as dense, stands in the same element, or if both are articles.
-
-Lines outside of articles that are mostly links have no length. What markup names otherwise is a hint: text inside
-menus, headers of the page, footers, sidebars, adverts, forms, comments of readers and the like is blank, unless it
-holds half of the page's text or an article; inside an article only words that never name article text count, and
-the others where the text is mostly links.
+text surges where a window's sum first reaches a share of the page's own mean line length and dives where the window is empty
+again, on every page and inside articles, too. The region with most text is the main one; another is kept if it is
+about as dense, stands in the same element, or if both are in articles. Windows end at the bounds of an article or main
+element, and the rest of an article that a kept region holds most of is kept with it.
+
+Lines that are mostly links have no length. What markup names otherwise is a hint: text inside menus, headers of the
+page, footers, sidebars, adverts, forms, comments of readers and the like is blank, unless it holds half of the page's
+text or an article. Inside an article, words of classes count for containers alone, not for paragraphs, headings or
+list items; adverts and comments of readers go, and what is named otherwise goes if it is mostly links or thinner than
+the article's lines are.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Lines per window, and the least sum of a window where text surges, in mean lengths of the page's lines.
-WINDOW, SURGE = 3, 1
+WINDOW, SURGE = 5, 0.3
 #: Least mean line length of a further region, in that of the main one.
 DENSITY = 0.5
-#: Markup's hints are not heard where an element holds this share of the page's text.
+#: Markup's hints are not heard where an element holds this share of the page's text; a footer, menu, advert or the like
+#: is heard all the same on a page that has an article elsewhere.
 HOLDS = 0.5
 #: A line whose text is mostly links is blank.
 LINK_SHARE = 0.7
@@ -51,6 +54,10 @@ FOREIGN = set(
     "ad ads adv advert adverts advertisement adbox adslot nav navbar navigation menu breadcrumb breadcrumbs cookie "
     "cookies consent gdpr popup modal newsletter subscribe subscription signup login comment comments reply replies "
     "respond disqus pagination pager".split())
+#: The ones among them that are heard inside an article whatever the text is like.
+ALWAYS = set("ad ads adv advert adverts advertisement adbox adslot comment comments reply replies respond disqus".split())
+#: Elements whose text is an article's own where they stand in one, whatever their classes say.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "pre", "blockquote", "figcaption", "caption", "span"}
 HINTS = FOREIGN | set(
     "sponsor sponsored promo promotion banner sidebar side rail widget widgets footer header masthead topbar notice "
     "alert overlay share sharing social related recommended recommendations toc skip copyright legal disclaimer "
@@ -70,15 +77,16 @@ def _hint(name: str, attributes: str, parent: _Element) -> str | None:
     if name in HIDDEN:
         return "hidden"
     found = "foreign" if name in BOILERPLATE or (name in OUTSIDE and parent.article is None) else None
+    inside = parent.article is not None
     for key, *values in _ATTRIBUTE.findall(attributes) if attributes and name not in ("html", "body") else ():
         key, value = key.lower(), "".join(values).lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return "hidden"
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return "hidden"
-        words = set(re.split(r"[^a-z0-9]+", value)) if key in ("class", "id") else set()
+        words = set(re.split(r"[^a-z0-9]+", value)) if key in ("class", "id") and not (inside and name in PROSE) else set()
         marked = name in ("article", "main") and not parent.foreign
-        if (key == "role" and value in ROLES) or (FOREIGN & words and not marked):
+        if (key == "role" and value in ROLES) or ((ALWAYS if inside else FOREIGN) & words and not marked):
             found = "foreign"
         elif HINTS & words and not marked:
             found = found or "doubtful"
@@ -90,7 +98,7 @@ class _Element:
 
     def __init__(self, name: str, parent: _Element | None, hint: str | None):
         self.name, self.parent, self.hint = name, parent, hint
-        self.size, self.linked = 0, 0.0
+        self.size, self.linked, self.lines = 0, 0.0, 0
         self.holds_article = self.blank = False
         self.hidden = hint == "hidden" or (parent is not None and parent.hidden)
         self.foreign = hint == "foreign" or (parent is not None and parent.foreign)
@@ -107,11 +115,14 @@ def _judge(elements: list[_Element]) -> None:
         if element.parent:
             element.parent.size += element.size
             element.parent.linked += element.linked
+            element.parent.lines += element.lines
     for element in elements:
         element.blank = element.hidden or (element.parent is not None and element.parent.blank)
-        if element.hint and not element.holds_article and element.size < HOLDS * elements[0].size:
-            doubt = element.hint == "doubtful" and element.article is not None
-            element.blank |= not doubt or element.linked > LINK_SHARE * element.size
+        heard = element.size < HOLDS * elements[0].size or (element.hint == "foreign" and elements[0].holds_article)
+        if element.hint and not element.holds_article and heard:
+            doubt, whole = element.hint == "doubtful" and element.article is not None, element.article
+            thin = doubt and element.size * whole.lines < DENSITY * whole.size * element.lines
+            element.blank |= not doubt or thin or element.linked > LINK_SHARE * element.size
 
 
 def lines_of(page: str) -> list[tuple[str, bool, _Element]]:
@@ -133,6 +144,7 @@ def lines_of(page: str) -> list[tuple[str, bool, _Element]]:
         if text and not open_[-1].hidden:
             lines.append((text, linked > LINK_SHARE * total, open_[-1]))
             open_[-1].size += len(text)
+            open_[-1].lines += 1
             open_[-1].linked += len(text) * linked / total if total else 0
         parts.clear()
         linked = total = 0
@@ -188,16 +200,12 @@ def _regions(articles: list[_Element | None], lengths: list[int], window: int, b
     for i in reversed(range(len(lengths))):
         ends[i] = ends[i + 1] if i + 1 < len(lengths) and articles[i] is articles[i + 1] else i + 1
     for i, end in enumerate(ends):
-        if articles[i] is not None:
-            if start is None:
-                start = i
-        else:
-            total = sum(lengths[i : min(i + window, end)])
-            if start is None and total >= bound and lengths[i]:
-                start = i  # surge
-            elif start is not None and total == 0:
-                regions.append((start, i))  # dive: nothing in the whole window
-                start = None
+        total = sum(lengths[i : min(i + window, end)])
+        if start is None and total >= bound and lengths[i]:
+            start = i  # surge
+        elif start is not None and total == 0:
+            regions.append((start, i))  # dive: nothing in the whole window
+            start = None
         if start is not None and i + 1 == end:
             regions.append((start, end))
             start = None
@@ -228,7 +236,16 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE) -> s
             return True
         return any(e.parent in beside for _, _, e in found[slice(*region)] if not e.blank)
 
-    return " ".join(found[i][0] for r in regions if kept(r) for i in range(*r) if not found[i][2].blank)
+    taken = {i for r in regions if kept(r) for i in range(*r)}
+    # The rest of an article that the windows have found most of.
+    own: dict[_Element, list[int]] = {}
+    for i, article in enumerate(articles):
+        if article is not None:
+            own.setdefault(article, []).append(i)
+    for places in own.values():
+        if sum(lengths[i] for i in places if i in taken) > HOLDS * sum(lengths[i] for i in places):
+            taken.update(places)
+    return " ".join(found[i][0] for i in sorted(taken) if not found[i][2].blank)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -113,8 +113,10 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule, host reputation and verdict of every page's url."""
-    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).select(
+    """Rule, host reputation and verdict of every page's url; pages are judged by a model of the labelled documents."""
+    pages = table(spark, sf_dir, "pages")
+    model = url_filter.word_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return url_filter.judge(pages, URL_RULES, url_filter.learned_outcomes(pages, model)).select(
         "page_id", "host", "path", "rule", "verdict", F.round("rate", 6).alias("rate"), F.round("bound", 6).alias("bound"))
 
 

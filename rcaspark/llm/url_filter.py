@@ -1,6 +1,7 @@
 """URL filters: explicit rules first, then empirical-Bayes reputation of hosts; DataFrame functions only.
 
-Pages with known outcomes give each host a count of bad pages. Rates are shrunk through beta-binomial priors: a host
+Pages with outcomes give each host a count of bad pages. Outcomes come from a model of words: naive Bayes over hashed
+words and runs of symbols, fitted on labelled documents and applied to the text of every page. Rates are shrunk through beta-binomial priors: a host
 towards its registered domain, a domain towards its suffix, a suffix towards all pages. How strongly follows from the
 spread between groups at each level (method of moments). A host is blocked when the lower bound of its posterior
 rate of bad pages lies over a limit, so a few bad pages do not condemn a host that little is known of.
@@ -17,10 +18,8 @@ from ..session import cut_lineage
 
 # Suffixes of two labels, beside which the last label is the suffix.
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "or.jp", "org.au", "org.uk"]
-# Words in a host's name that make a page's outcome bad.
-BAD_WORDS = ["adult", "bet", "bets", "betting", "casino", "escort", "gambling", "porn", "poker", "sex", "warez", "xxx"]
-#: Symbols that junk is full of; characters of text per symbol, and characters of text, that a good page has at least.
-SYMBOLS, JUNK_SHARE, LEAST_TEXT = "#*$%|~^", 50, 200
+#: Hash buckets of the word model, and words that weigh as a prior in each.
+BUCKETS, SMOOTHING = 1 << 14, 0.5
 #: Blocked if the posterior rate of bad pages is over LIMIT with this many standard deviations to spare.
 LIMIT, DEVIATIONS = 0.5, 1.64
 #: Pages that a prior weighs at least and at most.
@@ -111,36 +110,69 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return hosts.select("host", "n", "bad", rate.alias("rate"), (rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (a + b + 1))).alias("bound"))
 
 
-def content_outcomes(pages: DataFrame) -> DataFrame:
-    """(host, bad) of every page (url, html): bad if its host's name holds a word of ``BAD_WORDS`` or its text is mostly
-    junk, i.e. without markup it has fewer than ``LEAST_TEXT`` characters or more than one symbol in ``JUNK_SHARE``.
+def _buckets(text: Column) -> Column:
+    """The bucket of every word and run of symbols of a text, in order."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+"), F.lit(0))
+    return F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
 
-    A null page has no text and is bad; its url may still be null.
+
+def word_model(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, weight): what a word in each bucket says for a bad text, as log odds; ``BUCKETS`` rows at most.
+
+    ``labels`` (doc_id, quality) call a text good with 1 and bad with 0; all
+    labelled rows of ``documents`` (doc_id, text) count, each as much as it has
+    words. Conflicting labels of one document count as bad; null ids and labels
+    say nothing. Without texts of both kinds there is no model.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    words = documents.select("doc_id", "text").join(known, "doc_id").select((F.col("quality") == 0).alias("bad"), F.explode(_buckets(F.col("text"))).alias("bucket"))
+    counts = cut_lineage(words.groupBy("bucket").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")))
+    bad, good = counts.agg(F.sum("bad"), F.sum("good")).first()
+    if not bad or not good:
+        return counts.where("false").select("bucket", F.lit(0.0).alias("weight"))
+    share = lambda name, total: (F.col(name) + SMOOTHING) / float(total + SMOOTHING * BUCKETS)
+    return cut_lineage(counts.select("bucket", (F.log(share("bad", bad)) - F.log(share("good", good))).alias("weight")))
+
+
+def page_text(html: Column) -> Column:
+    """A page's text without scripts, styles and markup; rough, for its words only."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    bare = F.regexp_replace(bare, r"<[^<>]*+>", " ")
+    for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        bare = F.replace(bare, F.lit(name), F.lit(mark))
+    return bare
+
+
+def learned_outcomes(pages: DataFrame, model: DataFrame) -> DataFrame:
+    """(host, bad) of every page (url, html): bad where the weights of its text's words are over 0 in sum.
+
+    A page without words is bad, and a null page has none; its url may still be
+    null. Words that the model does not know say nothing; a page of such words
+    alone, and every page where there is no model, has an unknown outcome.
     """
-    host = host_of(F.col("url"))
-    named = F.arrays_overlap(F.split(host, "[^a-z0-9]+"), F.array(*[F.lit(w) for w in BAD_WORDS]))
-    text = F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^<>]*+>|&[a-z]{2,8};", "")
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    junk = (F.length(text) < LEAST_TEXT) | (symbols * JUNK_SHARE > F.length(text))
-    return pages.select(host.alias("host"), (named | junk).alias("bad"))
+    # Pages are numbered before their words are listed; in one step each word would get a number.
+    numbered = pages.select(F.monotonically_increasing_id().alias("row"), host_of(F.col("url")).alias("host"), _buckets(page_text(F.col("html"))).alias("buckets"))
+    words = numbered.select("row", "host", F.explode_outer("buckets").alias("bucket"))
+    rated = words.join(F.broadcast(model), "bucket", "left")  # at most BUCKETS rows
+    whole = rated.groupBy("row").agg(F.first("host").alias("host"), F.count("bucket").alias("words"), F.sum("weight").alias("weight"))
+    blank = F.lit(True) if model.limit(1).count() else F.lit(None).cast("boolean")
+    return whole.select("host", F.when(F.col("words") == 0, blank).otherwise(F.col("weight") > 0).alias("bad"))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], outcomes: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], outcomes: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict, rate, bound) for every row of ``pages`` (page_id, url).
 
     The longest fitting rule decides, else the host's reputation: block if its
-    bound is over ``LIMIT``, else allow. Known outcomes are (host, bad), bad
-    null where unknown; by default ``content_outcomes`` of the same pages
-    (url, html). The rules are policy and say nothing of a host. Null urls and ones without :// have empty hosts and paths, no
-    rule, and are one host for reputation. Repeated rows each count; other
-    columns are ignored; an empty table gives no rows.
+    bound is over ``LIMIT``, else allow. ``outcomes`` are (host, bad), bad null
+    where unknown, see ``learned_outcomes``. The rules are policy and say
+    nothing of a host. Null urls and ones without :// have empty hosts and
+    paths, no rule, and are one host for reputation. Repeated rows each count;
+    other columns are ignored; an empty table gives no rows.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     seen = cut_lineage(seen.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).select(
         "page_id", "host", "path", "best.rule", F.col("best.verdict").alias("ruled")))
-    if outcomes is None:
-        outcomes = content_outcomes(pages)
     # Hosts that only the pages know are rated by their domains.
     known = outcomes.select("host", "bad").unionByName(seen.select("host", F.lit(None).cast("boolean").alias("bad")))
     held = cut_lineage(reputation(known).select("host", "rate", "bound"))

@@ -2,12 +2,15 @@
 
 import collections
 import hashlib
+import html
 import json
+import math
 import re
 import time
 import zlib
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from rcaspark.llm import html_text, langid, mixing, packing, pii, queries, resample, rules, url_filter
@@ -159,9 +162,43 @@ LONG = "A long paragraph of the article's own text, with a comma and a full stop
     (f"<div><p>{LONG}</div><ul><li><a>x</a><li><a>y</a><li><a>z</a></ul><div><p>{LONG}</div>", f"{LONG} {LONG}"),
 ])
 def test_windows_decide(page, text):
+    assert html_text.main_text(page, window=3, surge=1) == text
+
+
+def article_of(page):
+    """By brute force: the text between a given page's article tags."""
+    inner = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+
+
+def test_windows_find_the_text_of_given_pages_without_article_tags(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub(r"</?article>", "", page) for page in pages]
+    assert sum(html_text.main_text(b) == article_of(p) for p, b in zip(pages, bare)) >= 0.995 * len(pages)
+    assert all(html_text.main_text(p) == article_of(p) for p in pages)
+    # The windows matter: single lines lose headings and short paragraphs.
+    assert sum(html_text.main_text(b, window=1) != html_text.main_text(b) for b in bare) > 0.5 * len(bare)
+
+
+@pytest.mark.parametrize("page,text", [
+    *[(f"<article><p>{LONG}<p class='{c}'>{LONG}<h2 class='{c}'>Part</h2><p>{LONG}</article>", f"{LONG} {LONG} Part {LONG}")
+      for c in ("comment", "reply", "ads", "menu", "login")],
+    *[(f"<article><p>{LONG}<section class='{c}'><h2>Part</h2><p>{LONG}<p>{LONG}</section><p>{LONG}</article>", f"{LONG} Part {LONG} {LONG} {LONG}")
+      for c in ("menu", "login", "popup", "cookie")],
+    (f"<article><p>{LONG}<p>{LONG}<div class='login'><p>Sign in</div></article>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}<p>{LONG}<div class='ad'><p>{LONG[:60]}</div><section id='comments'><p>{LONG[:70]}</section></article>", f"{LONG} {LONG}"),
+    (f"<article><h1>Hi</h1><p>Ho</article><footer>{LONG}</footer>", "Hi Ho"),
+])
+def test_classes_drop_no_article_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_extraction_with_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "u", "<article><p>a b</article>", "x", 5), (1, "u", "<article><p>a b</article>", "y", 6), (None, None, None, "z", None)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, [type(got[0])(page_id=1, url="u", text="a b", n_chars=3)] * 2 + [type(got[0])(page_id=None, url=None, text="", n_chars=0)]))
+
+
 def test_deep_pages():
     assert html_text.main_text("<p>a" * 20000).count("a") == 20000 and html_text.main_text("<div>" * 20000 + "x") == "x"
 
@@ -192,13 +229,10 @@ def test_broken_pages(page, text):
 
 
 def test_every_page_keeps_its_paragraphs(spark):
-    import html as entities
-
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
     for r in pages.collect():
-        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
-        want = " ".join(entities.unescape(re.sub(r"<(?!/?b>)[^>]*>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
+        want = article_of(r.html)
         assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
     assert html_text.extract(pages.where("false")).count() == 0
     assert html_text.extract(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")).first().text == ""
@@ -394,10 +428,52 @@ def test_url_rules(spark):
         "http://b.net/fr/1", "http://notexample.com/en/", "http://example.com", "http://example.com?/en/", "a://b://c.com/x", "http://É.COM/é", "http://x.net/en/1",
     ]
     pages = spark.createDataFrame([(i, u, "<p>" + "word " * 99) for i, u in enumerate(urls)], "page_id long, url string, html string")
-    for r in url_filter.judge(pages, queries.URL_RULES).collect():
+    outcomes = pages.select(url_filter.host_of(F.col("url")).alias("host"), F.lit(False).alias("bad"))
+    for r in url_filter.judge(pages, queries.URL_RULES, outcomes).collect():
         host, path, rule, verdict = brute_rule(urls[r.page_id], queries.URL_RULES)
         assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or "allow")
-    assert url_filter.judge(pages.where("false"), queries.URL_RULES).count() == 0
+    assert url_filter.judge(pages.where("false"), queries.URL_RULES, outcomes.where("false")).count() == 0
+
+
+def test_outcomes_are_naive_bayes_over_words(spark):
+    """Model and outcomes against plain loops over the given tables; a strange host, clashing columns and nulls change nothing."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels, pages = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/pages.parquet")
+    odd = spark.createDataFrame([(None, 0), (5, None), (1, 0)], "doc_id long, quality int")
+    labels = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).unionByName(odd)
+    model = {r.bucket: r.weight for r in url_filter.word_model(docs, labels).collect()}
+    quality = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.quality is not None:
+            quality[r.doc_id] = min(quality.get(r.doc_id, 1), r.quality)
+    words = lambda text: regex.findall(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x20\x09-\x0D]+", text.lower())
+    seen = {w for r in docs.collect() for w in words(r.text or "")} | {w for r in pages.collect() for w in words(r.html or "")}
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in seen], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(url_filter.BUCKETS)).alias("b")).collect()}
+    counts = [collections.Counter(bucket[w] for r in docs.collect() if quality.get(r.doc_id) == q for w in words(r.text or "")) for q in (0, 1)]
+    totals = [sum(c.values()) + url_filter.SMOOTHING * url_filter.BUCKETS for c in counts]
+    want = {b: math.log((counts[0][b] + url_filter.SMOOTHING) / totals[0]) - math.log((counts[1][b] + url_filter.SMOOTHING) / totals[1]) for b in counts[0] | counts[1]}
+    assert model.keys() == want.keys() and all(abs(model[b] - want[b]) < 1e-9 for b in want)
+
+    def text(page):
+        page = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>", " ", page or "")
+        page = re.sub(r"<[^<>]*>", " ", page)
+        for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+            page = page.replace(name, mark)
+        return words(page)
+
+    more = spark.createDataFrame([(None, None, None), (9, "http://x.org/", ""), (9, "http://x.org/", "")], pages.select("page_id", "url", "html").schema)
+    pages = pages.select("page_id", "url", "html").unionByName(more).withColumns({"bucket": F.lit("x"), "row": F.lit(1), "host": F.lit("y"), "bad": F.lit(2), "weight": F.lit("z")})
+    found = collections.Counter(tuple(r) for r in url_filter.learned_outcomes(pages, url_filter.word_model(docs, labels)).collect())
+    brute = collections.Counter()
+    for r in pages.collect():
+        known = [bucket[w] for w in text(r.html)]
+        weights = [want[b] for b in known if b in want]
+        brute[brute_rule(r.url, [])[0], True if not known else sum(weights) > 0 if weights else None] += 1
+    assert found == brute and len({bad for _, bad in found}) > 1
+    verdicts = url_filter.judge(pages, queries.URL_RULES, url_filter.learned_outcomes(pages, url_filter.word_model(docs, labels))).collect()
+    assert len(verdicts) == pages.count()
+    none = url_filter.learned_outcomes(pages, url_filter.word_model(docs, labels.where("false"))).where("bad is not null")
+    assert none.count() == 0
 
 
 def test_reputation_shrinks_and_blocks(spark):
