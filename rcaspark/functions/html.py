@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Names of kept tags by prefix, so that e.g. ``pre`` counts as ``p``, and the words a text must exceed.
 KEPT = {0: r"h[1-6]|p", 1: r"h[1-6]|p|div"}
@@ -21,20 +20,21 @@ _SILENT = frozenset(("script", "style", "template"))
 
 
 class _Blocks(HTMLParser):
-    """Text of every kept element in opening order, nested ones included in their parents."""
+    """Text of every kept element in opening order, nested ones included in their parents; all rules in one pass."""
 
-    def __init__(self, rule: int):
+    def __init__(self, rules: Sequence[int]):
         super().__init__(convert_charrefs=True)
-        self.keep = re.compile(KEPT[rule])
+        self.keep = [re.compile(KEPT[rule]) for rule in rules]
         self.open: list[tuple[str, list[str] | None]] = []
-        self.texts: list[list[str]] = []
+        self.texts: list[list[list[str]]] = [[] for _ in rules]
 
     def handle_starttag(self, tag, attrs):
         if tag in _BLOCKS and any(name == "p" for name, _ in self.open):
             self._close("p")
-        text = [] if self.keep.match(tag) else None
-        if text is not None:
-            self.texts.append(text)
+        kept = [texts for keep, texts in zip(self.keep, self.texts) if keep.match(tag)]
+        text = [] if kept else None
+        for texts in kept:
+            texts.append(text)
         if tag not in _EMPTY:
             self.open.append((tag, text))
 
@@ -53,19 +53,25 @@ class _Blocks(HTMLParser):
                     text.append(data)
 
 
-def _content(page: str, rule: int) -> str:
-    parser = _Blocks(rule)
+def _contents(page: str, rules: Sequence[int]) -> list[str]:
+    parser = _Blocks(rules)
     parser.feed(page)
     parser.close()
-    texts = ("".join(t).strip() for t in parser.texts)
-    return "\n".join(t for t in texts if len(t.split()) > MIN_WORDS).strip()
+    out = []
+    for blocks in parser.texts:
+        texts = ("".join(t).strip() for t in blocks)
+        out.append("\n".join(t for t in texts if len(t.split()) > MIN_WORDS).strip())
+    return out
 
 
-def main_content(html: Column, rule: int = 0) -> Column:
-    """Headings and paragraphs of more than ten words, one per line; rule 1 takes div as well."""
-    @F.pandas_udf(StringType())
-    def extract(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def main_contents(html: Column) -> Column:
+    """struct(narrow, wide): headings and paragraphs of more than ten words, one per line; wide takes div as well.
+
+    A page is parsed once for both.
+    """
+    @F.pandas_udf("narrow string, wide string")
+    def extract(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield s.map(lambda page: _content(page or "", rule))
+            yield pd.DataFrame([_contents(page or "", (0, 1)) for page in s], columns=["narrow", "wide"], dtype=object)
 
     return extract(html)

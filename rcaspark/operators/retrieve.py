@@ -15,7 +15,7 @@ from rcaspark.operators.order import first_per_group
 from rcaspark.session import cut_lineage
 
 QUERY_BLOCK, VECTOR_BLOCK = 256, 1024  # queries of a pack and vectors of a block
-CELL = 4  # packs and blocks that meet in one task
+BLOCKS_PER_CELL = 4  # blocks, and packs, that meet in one task
 DIGITS = 9  # distances equal to this many digits are ties
 TIE = 2e-9
 
@@ -107,7 +107,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     keys = [*by, "dim"]
     asked = _blocks(queries, by, query_id, "embedding", block, "q")
     held = _blocks(vectors, by, vector_id, "embedding", VECTOR_BLOCK, "v")
-    cells = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / CELL).alias(name))
+    cells = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCKS_PER_CELL).alias(name))
     sizes = cells(asked, "packs").join(cells(held, "cells"), keys)
     own = lambda n: F.pmod(F.xxhash64("block"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))

@@ -9,6 +9,7 @@ from rcaspark.operators.order import full_rank
 from rcaspark.plans import discovery_queries as dq
 from rcaspark.plans import fixtures as fx
 from rcaspark.plans import refine
+from rcaspark.plans.graph_queries import _metrics_sql
 from rcaspark.plans.registry import query, table
 from rcaspark.session import scratch_path
 from rcaspark.sources import metrics, sinks
@@ -39,16 +40,52 @@ def _(spark, d):
     return scored.select("channel", "seq", "idx", "score")
 
 
+@query("st01_numbered_scores", """
+    SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx,
+           CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 100 THEN 0.0::DOUBLE END AS warm_up_score, true AS in_range FROM events
+""")
+def _(spark, d):
+    scores = spot.spot_scores(table(spark, d, "events"), ["event_type"], ["ts", "event_id"], "value")
+    return scores.select("event_type", "event_id", "idx", F.when(F.col("idx") < 100, F.col("score")).alias("warm_up_score"), F.col("score").between(0, 1).alias("in_range"))
+
+
+@query("st02_stream_equals_batch", """
+    SELECT event_type AS channel, count(*) AS n, CAST(0 AS BIGINT) AS other FROM events GROUP BY 1
+""")
+def _(spark, d):
+    # Every row of the stream has the place and the score that the batch gives it.
+    rows = stream.read_stream(spark, f"{d}/events*.parquet")
+    done, _aside = stream.split_quarantine(stream.run_available(stream.score_stream(_stream_rows(rows)), "scores"))
+    batch = spot.spot_scores(_stream_rows(table(spark, d, "events")), ["channel"], "seq", "value").select("channel", "seq", F.col("idx").alias("b_idx"), F.col("score").alias("b_score"))
+    both = done.join(batch, ["channel", "seq"], "full_outer")
+    same = F.col("idx").eqNullSafe(F.col("b_idx")) & F.col("score").eqNullSafe(F.col("b_score"))
+    return both.groupBy("channel").agg(F.count("*").alias("n"), F.count_if(~same).alias("other"))
+
+
 @query("st03_repeats_and_quarantine", """
-    SELECT event_id, event_type, CASE WHEN value > 100 THEN 'nonfinite' ELSE 'scored' END AS status FROM events
+    WITH e AS (SELECT event_type, event_id, ts, event_id % 10 = 0 AS second, value > 100 AS bad FROM events),
+    m AS (SELECT event_type, max((ts, event_id)) AS last FROM e WHERE NOT second AND NOT bad GROUP BY 1),
+    s AS (SELECT event_type, unnest(CASE WHEN bad THEN ['nonfinite', 'nonfinite'] WHEN second AND (ts, event_id) <= last THEN ['late', 'late'] ELSE ['scored', 'repeated'] END) AS status
+          FROM e LEFT JOIN m USING (event_type))
+    SELECT event_type AS channel, status, count(*) AS n FROM s GROUP BY 1, 2
 """)
 def _(spark, d):
-    # Every row comes twice; values over 100 are made non-finite.
+    # Every row comes twice, values over 100 are not finite, and every tenth event comes in a second file, mostly too late.
+    ev = table(spark, d, "events").withColumn("value", F.when(F.col("value") > 100, float("nan")).otherwise(F.col("value")))
+    twice = _stream_rows(ev).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
+    path = scratch_path(spark, "arrivals")
+    for late in (False, True):
+        twice.where((F.substring_index("seq", "-", -1).cast("bigint") % 10 == 0) == late).coalesce(1).write.mode("append").parquet(path)
+    done = stream.run_available(stream.score_stream(stream.read_stream(spark, path, files_per_batch=1)), "repeats")
+    return done.groupBy("channel", "status").agg(F.count("*").alias("n"))
+
+
+@query("st03_dropped_repeats", "SELECT event_id, event_type FROM events")
+def _(spark, d):
     rows = stream.read_stream(spark, f"{d}/events*.parquet")
     twice = rows.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy").withColumn("ts", F.col("ts").cast("timestamp"))
     once = stream.drop_repeats(twice, "ts", "1 hour", ["event_id"])
-    status = F.when(F.col("value") > 100, "nonfinite").otherwise("scored")
-    return stream.run_available(once.select("event_id", "event_type", status.alias("status")), "repeats")
+    return stream.run_available(once.select("event_id", "event_type"), "once")
 
 
 @query("ag02_alert_counts", """
@@ -197,16 +234,28 @@ def _(spark, d):
     return steps.select("step", "entity", "pos", "is_kpi", F.round("value", 6).alias("value"))
 
 
-@query("src02_truth_matrix", """
-    SELECT cause, effect FROM (VALUES ('X', 'Y'), ('X', 'W'), ('Y', 'V'), ('W', 'V')) t(cause, effect)
+@query("src02_truth_matrix", f"WITH {dq.SKELETON} SELECT cause, effect FROM g")
+def _(spark, d):
+    # The oriented graph written as a 0/1 matrix file without a header (row = effect), and read back.
+    g = dq.graph(spark, d)
+    cells = [F.max(F.when(F.col("cause") == c, 1).otherwise(0)).alias(c) for c in dq.COLUMNS]
+    place = F.array_position(F.array(*[F.lit(c) for c in dq.COLUMNS]), F.col("entity"))
+    every = spark.createDataFrame([(c,) for c in dq.COLUMNS], "entity string").join(g.select(F.col("effect").alias("entity"), "cause"), "entity", "left")
+    path = scratch_path(spark, "matrix")
+    every.groupBy("entity").agg(*cells).coalesce(1).sortWithinPartitions(place).select(*dq.COLUMNS).write.csv(path)
+    return metrics.read_truth_matrix(spark, metrics.read_matrix(spark, path), dq.COLUMNS)
+
+
+@query("src02_scored_matrix", """
+    WITH s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_tax) AS mt, stddev_pop(l_tax) AS st FROM lineitem)
+    SELECT round((l_quantity - mq) / sq, 6) AS quantity, round((l_tax - mt) / st, 6) AS tax, CAST(NULL AS DOUBLE) AS fixed, count(*) AS n FROM lineitem, s GROUP BY ALL
 """)
 def _(spark, d):
-    # The oriented graph written as a 0/1 matrix (row = effect) and read back.
-    g = dq.graph(spark, d, constraints=spark.createDataFrame([(fx.CASE, "X", "Y", 1), (fx.CASE, "X", "W", 1)], "case string, cause string, effect string, verdict int"))
-    cells = F.array(*[F.max(F.when(F.col("cause") == c, 1).otherwise(0)) for c in dq.COLUMNS])
-    place = F.array_position(F.array(*[F.lit(c) for c in dq.COLUMNS]), F.col("effect")) - 1
-    matrix = g.groupBy("effect").agg(cells.alias("cells")).select(place.cast("int").alias("row"), "cells")
-    return metrics.read_truth_matrix(spark, matrix, dq.COLUMNS)
+    path = scratch_path(spark, "numbers")
+    table(spark, d, "lineitem").select("l_quantity", "l_tax", F.lit(3.0)).write.csv(path)
+    v = metrics.scored_matrix(metrics.read_matrix(spark, path))
+    at = lambda i, name: F.round(F.get("cells", i), 6).alias(name)
+    return v.select(at(0, "quantity"), at(1, "tax"), at(2, "fixed")).groupBy("quantity", "tax", "fixed").agg(F.count("*").alias("n"))
 
 
 @query("snk02_snk03_write_once", "SELECT n_name, r_name, false AS rewritten FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -241,6 +290,18 @@ def _(spark, d):
     return spark.read.csv(path, header=True, schema=report.schema).select("method", F.round("mrr", 6).alias("mrr"))
 
 
+@query("snk05_whole_report", _metrics_sql("<", 0))
+def _(spark, d):
+    # Every metric of the report goes through the written file.
+    from rcaspark.operators.evaluate import rank_metrics
+    from rcaspark.plans.graph_queries import _ranks, _rounded
+
+    path = scratch_path(spark, "report")
+    report = rank_metrics(_ranks(spark, d), ["method"])
+    sinks.write_new(report, path, "csv", header="true")
+    return _rounded(spark.read.csv(path, header=True, schema=report.schema))
+
+
 @query("snk06_rankings_by_stage", """
     SELECT lang AS stage, source AS node, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS rank FROM documents GROUP BY 1, 2
 """)

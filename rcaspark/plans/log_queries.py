@@ -359,6 +359,16 @@ def _(spark, d):
         table(spark, d, "orders").select(F.col("o_custkey").alias("k")), table(spark, d, "customer").select(F.col("c_custkey").alias("k")))
 
 
+@query("so04_differing_sets", """
+    WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000), b AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)
+    SELECT k, 'left' AS side FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT k, 'right' FROM (SELECT k FROM b EXCEPT SELECT k FROM a)
+""")
+def _(spark, d):
+    return evidence.set_differences(
+        table(spark, d, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("k")),
+        table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k")))
+
+
 @query("so05_containment", """
     SELECT DISTINCT doc_id FROM documents WHERE n_chars > 3000 AND doc_id NOT IN (SELECT doc_id FROM labels)
 """)

@@ -319,14 +319,13 @@ def _(spark, d):
 
 @query("fn14_main_content")
 def _(spark, d):
-    p = table(spark, d, "pages")
-    return p.select("page_id", html.main_content(F.col("html"), 0).alias("narrow"), html.main_content(F.col("html"), 1).alias("wide"))
+    return table(spark, d, "pages").select("page_id", html.main_contents(F.col("html")).alias("c")).select("page_id", "c.narrow", "c.wide")
 
 
 @query("prj12_accepted_pages")
 def _(spark, d):
-    p = table(spark, d, "pages").select("page_id", "url", html.main_content(F.col("html"), 0).alias("narrow"), html.main_content(F.col("html"), 1).alias("wide"))
-    return p.select("page_id", "url", text.accept_content(F.col("narrow"), F.col("wide")).alias("content")).where("content is not null")
+    p = table(spark, d, "pages").select("page_id", "url", html.main_contents(F.col("html")).alias("c"))
+    return p.select("page_id", "url", text.accept_content(F.col("c.narrow"), F.col("c.wide")).alias("content")).where("content is not null")
 
 
 @query("prj12_accept_rule", """

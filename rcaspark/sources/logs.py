@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rcaspark.sources.records import quoted_records
+
 # File name suffixes of a pod's two log tables, and their columns.
 TEMPLATE_SUFFIX = "_messages_templates.csv"
 STRUCTURED_SUFFIX = "_messages_structured.csv"
@@ -72,14 +74,16 @@ def read_templates(spark: SparkSession, glob: str) -> DataFrame:
 def read_structured(spark: SparkSession, glob: str) -> DataFrame:
     """All structured files in one scan; the line number of the file is the order.
 
-    Contents may hold quoted line breaks, so a file is read as one stream of
-    records; files, one per pod, are the unit of work.
+    Contents may hold quoted line breaks; a file is read by as many tasks as it
+    has splits, see ``quoted_records``. The first record of a file is its header.
     """
-    raw = spark.read.csv(glob, header=True, schema=STRUCTURED_SCHEMA, multiLine=True, escape='"')
+    records = quoted_records(spark, glob).where("not (block = 0 and line = 0)").where("text <> '' and text <> '\\r'")
+    fields = F.from_csv(F.rtrim("text", F.lit("\r")), F.lit(STRUCTURED_SCHEMA), {"escape": '"', "maxCharsPerColumn": "-1"})
+    raw = records.select("path", fields.alias("r"))
     return raw.select(
-        entity_of(F.col("_metadata.file_path")).alias("entity"),
-        F.col("EventId").alias("event_id"), F.col("Time").alias("time"),
-        F.col("Content").alias("content"), F.col("LineId").alias("pos"),
+        entity_of(F.col("path")).alias("entity"),
+        F.col("r.EventId").alias("event_id"), F.col("r.Time").alias("time"),
+        F.col("r.Content").alias("content"), F.col("r.LineId").alias("pos"),
     )
 
 

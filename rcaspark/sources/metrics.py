@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rcaspark.operators.profile import finite
+from rcaspark.session import cut_lineage
 
 KPI_COLUMN = "Latency"  # fixed value: name of the KPI column in wide tables
 
@@ -60,11 +62,42 @@ def read_wide(spark: SparkSession, path: str, header: Sequence[str]) -> DataFram
     return placed.select("file", "row", F.inline("cells"))
 
 
+def read_matrix(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """(file, row, cells) of text files of numbers without a header; ``row`` counts the lines of a file from 0.
+
+    Lines are split at ``separator`` or blanks, empty lines are left out, and
+    what is no number is null. Splits of a large file are read by different
+    tasks; the lines of each are counted, and the splits before shift the count.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+        F.trim("value").alias("value")).where("value <> ''")
+    cells = F.transform(F.split("value", rf"\s*{re.escape(separator)}\s*|\s+"), lambda x: x.try_cast("double"))
+    lines = cut_lineage(lines.select("file", "block", "line", cells.alias("cells")))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("file", "block").orderBy("line")
+    placed = lines.join(shift, ["file", "block"]).withColumn("row", F.row_number().over(inside) - 1 + F.col("shift"))
+    return placed.select("file", F.col("row").cast("bigint").alias("row"), "cells")
+
+
+def scored_matrix(matrix: DataFrame) -> DataFrame:
+    """``matrix`` (file, row, cells) with each column's cells as z-scores over all rows; null for a constant column.
+
+    Column statistics come from one pass and go back as one row of two arrays, as long as a line.
+    """
+    columns = matrix.select(F.posexplode("cells").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("spread"))
+    stats = columns.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "spread"))).alias("_stats"))
+    scored = F.transform("cells", lambda x, i: F.try_divide(x - F.get("_stats", i)["mean"], F.get("_stats", i)["spread"]))
+    return matrix.join(F.broadcast(stats), F.lit(True)).select("file", "row", scored.alias("cells"))
+
+
 def read_truth_matrix(spark: SparkSession, rows: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Edges of a 0/1 matrix given as (row, cells): row is the effect, column the cause."""
     cells = rows.select("row", F.posexplode("cells").alias("col", "mark")).where("mark = 1")
     names = F.array(*[F.lit(x) for x in labels])
-    return cells.select(F.get(names, F.col("col")).alias("cause"), F.get(names, F.col("row")).alias("effect"))
+    return cells.select(F.get(names, F.col("col").cast("int")).alias("cause"), F.get(names, F.col("row").cast("int")).alias("effect"))
 
 
 def to_wide(channels: DataFrame, kpi: DataFrame, entities: Sequence[str]) -> DataFrame:

@@ -24,6 +24,7 @@ from rcaspark.operators.order import full_rank
 
 # Calibration length, tail level, risk, drift depth and excesses kept.
 N_INIT, LEVEL, RISK, DEPTH, MAX_EXCESS = 100, 0.95, 1e-4, 10, 200
+STRETCH = 4096  # points whose deviations are worked out together
 
 
 @dataclass
@@ -113,7 +114,12 @@ class Scorer:
 
     def step(self, value: float) -> float:
         """The score of the next point."""
-        dev = value - sum(self.recent) / len(self.recent) if len(self.recent) == self.depth else None
+        dev = None
+        if len(self.recent) == self.depth:
+            total = 0.0
+            for x in self.recent:
+                total += x
+            dev = value - total / self.depth
         self.n += 1
         score = 0.0
         if self.n <= self.n_init:
@@ -136,6 +142,47 @@ class Scorer:
                 self.recent.popleft()
         return score
 
+    def steps(self, values: np.ndarray) -> np.ndarray:
+        """The scores of the next points, equal to those of ``step``.
+
+        After calibration only points over a tail's limit change the state, and
+        the limits stand. Between two alerts all points enter the moving mean, so
+        deviations are worked out for whole stretches and only the excesses are
+        looked at one by one.
+        """
+        scores = np.zeros(len(values))
+        at = 0
+        while at < len(values) and self.n < self.n_init:
+            scores[at] = self.step(float(values[at]))
+            at += 1
+        while at < len(values):
+            part = np.asarray(values[at : at + STRETCH], dtype=float)
+            line = np.concatenate([np.array(self.recent, dtype=float), part])
+            # Added up in the order of the window, as one by one.
+            mean = np.zeros(len(part))
+            for i in range(self.depth):
+                mean = mean + line[i : i + len(part)]
+            dev = part - mean / self.depth
+            done = len(part)
+            for i in np.flatnonzero((dev > self.up.limit) | (-dev > self.down.limit)):
+                score, n = 0.0, self.n + int(i) + 1 - self.depth
+                for tail, x in ((self.up, float(dev[i])), (self.down, -float(dev[i]))):
+                    if x > tail.alert:
+                        score = max(score, tail.score(x, n, self.risk))
+                    elif x > tail.limit:
+                        tail.add(x - tail.limit, self.keep)
+                        tail.fit(n, self.risk)
+                if score:
+                    # An alert stays out of the mean, so the rest of the stretch is worked out anew.
+                    scores[at + i] = score
+                    done = int(i) + 1
+                    break
+            normal = line[: self.depth + done - (1 if scores[at + done - 1] else 0)]
+            self.recent = deque(float(x) for x in normal[-self.depth :])
+            self.n += done
+            at += done
+        return scores
+
     def pack(self) -> tuple:
         return self.n, list(self.recent), list(self.warm), self.up.pack(), self.down.pack()
 
@@ -158,25 +205,42 @@ def spot_scores(rows: DataFrame, keys: Sequence[str], order: Sequence[str] | str
     Equal order values and non-finite points are errors.
     """
     order = [order] if isinstance(order, str) else list(order)
-    picked = rows.select(*keys, *order, value)
+    picked, value_name = rows.select(*keys, *order, value), value
     schema = T.StructType([*picked.schema.fields, T.StructField("idx", T.LongType()), T.StructField("score", T.DoubleType())])
     keys = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, before, scorer = None, None, None
         for pdf in batches:
-            idx, scores = [], []
-            for key, place, x in zip(zip(*[pdf[k] for k in keys]), zip(*[pdf[o] for o in order]), pdf[value]):
+            if not len(pdf):
+                continue
+            value = pdf[value_name].to_numpy(dtype=float)
+            idx, scores = np.zeros(len(pdf), dtype="int64"), np.zeros(len(pdf))
+            turns = np.zeros(len(pdf), bool)
+            for k in keys:
+                turns[1:] |= (pdf[k].to_numpy()[1:] != pdf[k].to_numpy()[:-1])
+            repeated = np.ones(len(pdf), bool)
+            repeated[0] = False
+            for o in order:
+                repeated[1:] &= pdf[o].to_numpy()[1:] == pdf[o].to_numpy()[:-1]
+            starts = [0, *np.flatnonzero(turns)]
+            for first, last in zip(starts, [*starts[1:], len(pdf)]):
+                key = tuple(pdf[k].iloc[first] for k in keys)
+                place = tuple(pdf[o].iloc[first] for o in order)
+                same = first + 1 + np.flatnonzero(repeated[first + 1 : last])
                 if key != at:
-                    at, before, scorer = key, None, Scorer(**settings)
-                if place == before:
-                    raise ValueError(f"two points at {place} in {key}")
-                if not math.isfinite(x):
-                    raise ValueError(f"non-finite point at {place} in {key}")
-                before = place
-                idx.append(scorer.n)
-                scores.append(scorer.step(float(x)))
-            yield pdf.assign(idx=np.array(idx, dtype="int64"), score=np.array(scores, dtype=float))
+                    at, scorer = key, Scorer(**settings)
+                elif place == before:
+                    same = [first]
+                if len(same):
+                    raise ValueError(f"two points at {tuple(pdf[o].iloc[same[0]] for o in order)} in {key}")
+                wrong = np.flatnonzero(~np.isfinite(value[first:last]))
+                if len(wrong):
+                    raise ValueError(f"non-finite point at {tuple(pdf[o].iloc[first + wrong[0]] for o in order)} in {key}")
+                before = tuple(pdf[o].iloc[last - 1] for o in order)
+                idx[first:last] = scorer.n + np.arange(last - first)
+                scores[first:last] = scorer.steps(value[first:last])
+            yield pdf.assign(idx=idx, score=scores)
 
     return picked.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 

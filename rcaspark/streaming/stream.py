@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,53 +14,63 @@ from rcaspark.session import scratch_path
 from rcaspark.streaming.spot import STATE_SCHEMA, Scorer
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+REMEMBER = 1000  # order keys of a channel that a repeat is known by
+STATE = f"{STATE_SCHEMA}, known ARRAY<STRING>"
 OUTPUT = "channel STRING, seq STRING, value DOUBLE, idx BIGINT, score DOUBLE, status STRING"
 
 
 class ChannelScorer(StatefulProcessor):
-    """State of one channel: the scorer and the order key of its last scored row.
+    """State of one channel: the scorer, and the order keys of its last scored rows.
 
-    ``seq`` is a sortable order key. Rows of a micro-batch are sorted; a row at or
-    before the last scored one is ``late`` and a non-finite one ``nonfinite``: both
-    come out with a status and no score, and do not touch the state.
+    ``seq`` is a sortable order key. Rows of a micro-batch are sorted; a
+    non-finite one is ``nonfinite``, one with the key of a scored row that is
+    still remembered ``repeated``, and any other at or before the last scored
+    one ``late``: all come out with a status and no score, and do not touch the
+    scorer. ``remember`` keys are kept, so the state does not grow.
     """
 
-    def __init__(self, settings: dict | None = None):
-        self.settings = settings or {}
+    def __init__(self, settings: dict | None = None, remember: int = REMEMBER):
+        self.settings, self.remember = settings or {}, remember
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("scorer", STATE_SCHEMA)
+        self.state = handle.getValueState("scorer", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        scorer, last = Scorer(**self.settings), None
+        scorer, known = Scorer(**self.settings), []
         if self.state.exists():
-            *packed, last = self.state.get()
+            *packed, _, known = self.state.get()
             scorer.unpack(packed)
+            known = list(known)
         # One micro-batch of one channel; the source's rate limit bounds it.
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out = []
-        for seq, x in zip(batch["seq"], batch["value"]):
-            if x is None or not math.isfinite(x):
-                out.append((key[0], seq, x, None, None, "nonfinite"))
-            elif last is not None and seq <= last:
-                out.append((key[0], seq, x, None, None, "late"))
+        value, seq = batch["value"].to_numpy(dtype=float), batch["seq"].to_numpy()
+        status = np.where(np.isfinite(value), "scored", "nonfinite").astype(object)
+        last, held = known[-1] if known else None, set(known)
+        fresh: list = []
+        for i in np.flatnonzero(status == "scored"):
+            if last is None or seq[i] > last:
+                last = seq[i]
+                fresh.append(last)
             else:
-                idx, last = scorer.n, seq
-                out.append((key[0], seq, float(x), idx, scorer.step(float(x)), "scored"))
-        if last is not None:
-            self.state.update((*scorer.pack(), last))
-        done = pd.DataFrame(out, columns=["channel", "seq", "value", "idx", "score", "status"])
-        yield done.astype({"idx": "Int64", "score": "float64"})
+                status[i] = "repeated" if seq[i] == last or seq[i] in held else "late"
+        scored = status == "scored"
+        idx = pd.array([None] * len(batch), dtype="Int64")
+        idx[scored] = scorer.n + np.arange(int(scored.sum()))
+        score = np.full(len(batch), np.nan)
+        score[scored] = scorer.steps(value[scored])
+        if fresh:
+            self.state.update((*scorer.pack(), last, [*known, *fresh][-self.remember :]))
+        yield pd.DataFrame({"channel": key[0], "seq": seq, "value": value, "idx": idx, "score": score, "status": status})
 
     def close(self) -> None:
         pass
 
 
-def score_stream(rows: DataFrame, **settings) -> DataFrame:
+def score_stream(rows: DataFrame, remember: int = REMEMBER, **settings) -> DataFrame:
     """(channel, seq, value) stream to scored and set-aside rows."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return rows.groupBy("channel").transformWithStateInPandas(
-        statefulProcessor=ChannelScorer(settings), outputStructType=OUTPUT, outputMode="append", timeMode="none")
+        statefulProcessor=ChannelScorer(settings, remember), outputStructType=OUTPUT, outputMode="append", timeMode="none")
 
 
 def drop_repeats(rows: DataFrame, ts: str, delay: str, keys: list[str]) -> DataFrame:

@@ -171,6 +171,20 @@ def test_scores_fire_repeat_and_stay_finite(spark):
     assert {(c, t) for c in "xy" for t in (500, 1500, 2500)} <= fired
 
 
+def test_stretches_score_as_single_points():
+    r = np.random.default_rng(4)
+    values = np.concatenate([r.normal(size=3000) ** 3, np.cumsum(r.normal(size=3000)), np.full(300, 2.0), r.normal(size=6000)])
+    values[r.integers(0, len(values), 40)] *= 50
+    one, many = spot.Scorer(), spot.Scorer()
+    want = [one.step(float(x)) for x in values]
+    got, at = [], 0
+    while at < len(values):
+        n = int(r.integers(1, 5000))
+        got += many.steps(values[at : at + n]).tolist()
+        at += n
+    assert got == want and sum(x > 0 for x in want) > 10 and one.pack() == many.pack()
+
+
 def test_bad_points_are_errors(spark):
     for rows in ([("x", 1, 1.0), ("x", 1, 2.0)], [("x", 1, float("nan"))]):
         with pytest.raises(Exception, match="two points|non-finite"):
@@ -196,14 +210,14 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
         keyed.where((F.col("t") >= lo) & (F.col("t") < lo + 300)).drop("t").coalesce(1).write.mode("append").parquet(source)
         if lo == 0:
             # A late and a broken row come with a later file.
-            extra = spark.createDataFrame([("x", "00000007", 1.0), ("x", "00000650", float("nan"))], "channel string, seq string, value double")
+            extra = spark.createDataFrame([("x", "00000007", 1.0), ("x", "00000007x", 1.0), ("x", "00000650", float("nan"))], "channel string, seq string, value double")
     done = stream.score_stream(stream.read_stream(spark, source, files_per_batch=1))
     extra.coalesce(1).write.mode("append").parquet(source)
     got = stream.run_available(done)
     scored, aside = stream.split_quarantine(got)
     want = sorted((r["c"], f"{r['t']:08d}", r["idx"], r["score"]) for r in spot.spot_scores(rows, ["c"], "t", "v").collect())
     assert sorted((r["channel"], r["seq"], r["idx"], r["score"]) for r in scored.collect()) == want
-    assert sorted((r["seq"], r["status"]) for r in aside.collect()) == [("00000007", "late"), ("00000650", "nonfinite")]
+    assert sorted((r["seq"], r["status"]) for r in aside.collect()) == [("00000007", "repeated"), ("00000007x", "late"), ("00000650", "nonfinite")]
 
 
 # -- differences of graphs ------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Scans and writers on small files."""
 
+import csv
 import gzip
 import json
 
@@ -30,6 +31,49 @@ def test_structured_contents_keep_line_breaks(spark, tmp_path):
         (pod, *row) for pod in ("db-2", "web-1") for row in ((1, 'first\nsecond, "quoted"', "E1"), (2, "plain", "E2"))]
 
 
+@pytest.mark.parametrize("split", ["64", "700", "100000"])
+def test_a_structured_file_is_read_by_several_tasks(spark, tmp_path, split):
+    def content(i):
+        return [f"plain {i}", f'a, "quoted" {i}', f"line\nafter\nline {i}", "x\n" * (i % 40) + "end", '"', f"{i}\r\nwindows"][i % 6]
+
+    for pod in ("web-1", "db-2"):
+        with open(tmp_path / f"{pod}_messages_structured.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n" if pod == "web-1" else "\r\n")
+            writer.writerow(["LineId", "Time", "Content", "EventId", "EventTemplate", "ParameterList"])
+            writer.writerows([i, f"t{i}", content(i), f"E{i % 3}", "t, x", "[]"] for i in range(300))
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, split)
+    try:
+        found = logs.read_structured(spark, f"{tmp_path}/*_messages_structured.csv")
+        got = sorted((r["entity"], r["pos"], r["time"], r["content"], r["event_id"]) for r in found.collect())
+        tasks = logs.quoted_records(spark, f"{tmp_path}/web-1*").select("block").distinct().count()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert got == [(pod, i, f"t{i}", content(i), f"E{i % 3}") for pod in ("db-2", "web-1") for i in range(300)]
+    assert tasks > 3 or split == "100000"
+
+
+def test_matrix_files_without_header(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("".join(f"{i}, {i * i} 5\n" + "\n" * (i % 3 == 0) for i in range(500)))
+    (tmp_path / "b.txt").write_text("0 x 5\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        m = metrics.read_matrix(spark, str(tmp_path))
+        got = {(r["file"][-5:], r["row"]): r["cells"] for r in m.collect()}
+        z = {(r["file"][-5:], r["row"]): r["cells"] for r in metrics.scored_matrix(m).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a.txt", i): [i, i * i, 5] for i in range(500)} | {("b.txt", 0): [0, None, 5]}
+    x = [*range(500), 0]
+    mean = sum(x) / 501
+    spread = (sum((v - mean) ** 2 for v in x) / 501) ** 0.5
+    assert z["a.txt", 7][0] == pytest.approx((7 - mean) / spread) and z["a.txt", 7][2] is None and z["b.txt", 0][1] is None
+
+
 def test_entity_of_files_and_folders(spark):
     paths = ["/a/b/web=1_messages_templates.csv", "file:/a/file=db-2_messages_structured.csv/part-0.csv", "C:\\x\\p_messages_templates.csv", "/a/other.csv"]
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
