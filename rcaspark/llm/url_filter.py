@@ -20,6 +20,8 @@ from ..session import cut_lineage
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "ne.jp", "or.jp", "org.au", "org.uk"]
 #: Hash buckets of the word model, and words that weigh as a prior in each.
 BUCKETS, SMOOTHING = 1 << 14, 0.5
+#: Labelled documents that the model is fitted on at most, the smallest hashes of ids first.
+LABELLED_ROWS = 20_000
 #: Blocked if the posterior rate of bad pages is over LIMIT with this many standard deviations to spare.
 LIMIT, DEVIATIONS = 0.5, 1.64
 #: Pages that a prior weighs at least and at most.
@@ -119,13 +121,16 @@ def _buckets(text: Column) -> Column:
 def word_model(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(bucket, weight): what a word in each bucket says for a bad text, as log odds; ``BUCKETS`` rows at most.
 
-    ``labels`` (doc_id, quality) call a text good with 1 and bad with 0; all
-    labelled rows of ``documents`` (doc_id, text) count, each as much as it has
-    words. Conflicting labels of one document count as bad; null ids and labels
-    say nothing. Without texts of both kinds there is no model.
+    ``labels`` (doc_id, quality) call a text good with 1 and bad with 0; the
+    labelled rows of ``documents`` (doc_id, text) count as much as they have
+    words, at most ``LABELLED_ROWS`` ids. Conflicting labels of one document
+    count as bad; null ids and labels say nothing. Without texts of both kinds
+    there is no model.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    words = documents.select("doc_id", "text").join(known, "doc_id").select((F.col("quality") == 0).alias("bad"), F.explode(_buckets(F.col("text"))).alias("bucket"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
+    # A bounded table of ids, so no text is shuffled.
+    words = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").select((F.col("quality") == 0).alias("bad"), F.explode(_buckets(F.col("text"))).alias("bucket"))
     counts = cut_lineage(words.groupBy("bucket").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")))
     bad, good = counts.agg(F.sum("bad"), F.sum("good")).first()
     if not bad or not good:
