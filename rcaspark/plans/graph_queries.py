@@ -145,7 +145,8 @@ def _(spark, d):
     FROM b
 """)
 def _(spark, d):
-    return edges.verdicts_against_edges(_verdicts(spark, d), _after(spark, d)).drop("case")
+    counts = edges.verdicts_against_edges(_verdicts(spark, d), _after(spark, d)).drop("case")
+    return counts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts.columns])  # one row even without trade
 
 
 @query("jn20_conflicting_pairs", f"""

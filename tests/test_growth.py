@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from rcaspark.operators import edges
 from tools.check import compare
 
 SMALL = "/root/testdata/sf0.001"
@@ -31,3 +32,28 @@ def test_digest_of_few_and_of_many_events(spark, matches, name, n):
     events = spark.range(n).select(F.col("id").alias("event_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 1000 / 8).alias("value"))
     ok, note = matches(name, events=events)
     assert ok, note
+
+
+def even_trade(spark, per_pair):
+    """Tables in which every pair of three nations trades ``per_pair(supplier, customer)`` lines."""
+    pairs = [(s, c) for s in range(3) for c in range(3) for _ in range(per_pair(s, c))]
+    make = lambda rows, kind: spark.createDataFrame(rows, kind)
+    return {
+        "nation": make([(i, f"N{i}") for i in range(3)], "n_nationkey int, n_name string"),
+        "supplier": make([(i, i) for i in range(3)], "s_suppkey long, s_nationkey int"),
+        "customer": make([(i, i) for i in range(3)], "c_custkey long, c_nationkey int"),
+        "orders": make([(c, c) for c in range(3)], "o_orderkey long, o_custkey long"),
+        "lineitem": make([(c, s, 1.0) for s, c in pairs], "l_orderkey long, l_suppkey long, l_quantity double"),
+    }
+
+
+@pytest.mark.parametrize("per_pair", [lambda s, c: 40 + (s < c), lambda s, c: 40, lambda s, c: 40 + 20 * (s != c), lambda s, c: 0], ids=["even", "equal", "wide", "none"])
+def test_verdicts_that_are_all_unknown_are_a_row_of_zeros(spark, matches, per_pair):
+    ok, note = matches("jn20_verdicts_against_edges", **even_trade(spark, per_pair))
+    assert ok, note
+
+
+def test_every_case_gets_its_counts(spark):
+    v = spark.createDataFrame([("a", "x", "y", None), ("b", "x", "y", 1), ("b", "y", "x", 1)], "case string, cause string, effect string, verdict int")
+    e = spark.createDataFrame([("b", "x", "y", "->"), ("c", "x", "y", "->")], "case string, cause string, effect string, mark string")
+    assert sorted(tuple(r) for r in edges.verdicts_against_edges(v, e).collect()) == [("a", 0, 0, 0, 0), ("b", 1, 1, 0, 1), ("c", 0, 0, 0, 0)]
