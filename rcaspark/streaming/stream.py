@@ -22,8 +22,8 @@ OUTPUT = "channel STRING, seq STRING, value DOUBLE, idx BIGINT, score DOUBLE, st
 class ChannelScorer(StatefulProcessor):
     """State of one channel: the scorer, and the order keys of its last scored rows.
 
-    ``seq`` is a sortable order key. Rows of a micro-batch are sorted; a
-    non-finite one is ``nonfinite``, one with the key of a scored row that is
+    ``seq`` is a sortable order key. Rows of a micro-batch come sorted, frame by
+    frame, and only one frame is held; a non-finite one is ``nonfinite``, one with the key of a scored row that is
     still remembered ``repeated``, and any other at or before the last scored
     one ``late``: all come out with a status and no score, and do not touch the
     scorer. ``remember`` keys are kept, so the state does not grow.
@@ -36,31 +36,32 @@ class ChannelScorer(StatefulProcessor):
         self.state = handle.getValueState("scorer", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        scorer, known = Scorer(**self.settings), []
+        scorer, known, last = Scorer(**self.settings), [], None
         if self.state.exists():
             *packed, _, known = self.state.get()
             scorer.unpack(packed)
             known = list(known)
-        # One micro-batch of one channel; the source's rate limit bounds it.
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        value, seq = batch["value"].to_numpy(dtype=float), batch["seq"].to_numpy()
-        status = np.where(np.isfinite(value), "scored", "nonfinite").astype(object)
-        last, held = known[-1] if known else None, set(known)
-        fresh: list = []
-        for i in np.flatnonzero(status == "scored"):
-            if last is None or seq[i] > last:
-                last = seq[i]
-                fresh.append(last)
-            else:
-                status[i] = "repeated" if seq[i] == last or seq[i] in held else "late"
-        scored = status == "scored"
-        idx = pd.array([None] * len(batch), dtype="Int64")
-        idx[scored] = scorer.n + np.arange(int(scored.sum()))
-        score = np.full(len(batch), np.nan)
-        score[scored] = scorer.steps(value[scored])
-        if fresh:
-            self.state.update((*scorer.pack(), last, [*known, *fresh][-self.remember :]))
-        yield pd.DataFrame({"channel": key[0], "seq": seq, "value": value, "idx": idx, "score": score, "status": status})
+            last = known[-1]
+        held, changed = set(known), False
+        for batch in rows:
+            value, seq = batch["value"].to_numpy(dtype=float), batch["seq"].to_numpy()
+            status = np.where(np.isfinite(value), "scored", "nonfinite").astype(object)
+            fresh: list = []
+            for i in np.flatnonzero(status == "scored"):
+                if last is None or seq[i] > last:
+                    last = seq[i]
+                    fresh.append(last)
+                else:
+                    status[i] = "repeated" if seq[i] == last or seq[i] in held else "late"
+            scored = status == "scored"
+            idx = pd.array([None] * len(batch), dtype="Int64")
+            idx[scored] = scorer.n + np.arange(int(scored.sum()))
+            score = np.full(len(batch), np.nan)
+            score[scored] = scorer.steps(value[scored])
+            known, changed = [*known, *fresh][-self.remember :], changed or bool(fresh)
+            yield pd.DataFrame({"channel": key[0], "seq": seq, "value": value, "idx": idx, "score": score, "status": status})
+        if changed:
+            self.state.update((*scorer.pack(), last, known))
 
     def close(self) -> None:
         pass
@@ -68,8 +69,12 @@ class ChannelScorer(StatefulProcessor):
 
 def score_stream(rows: DataFrame, remember: int = REMEMBER, **settings) -> DataFrame:
     """(channel, seq, value) stream to scored and set-aside rows."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return rows.groupBy("channel").transformWithStateInPandas(
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Spark refuses to sort streams, as it would sort a micro-batch only. That is what is wanted here.
+    conf.set("spark.sql.streaming.unsupportedOperationCheck", "false")
+    ordered = rows.repartition("channel").sortWithinPartitions("channel", "seq")
+    return ordered.groupBy("channel").transformWithStateInPandas(
         statefulProcessor=ChannelScorer(settings, remember), outputStructType=OUTPUT, outputMode="append", timeMode="none")
 
 

@@ -1,11 +1,16 @@
 """What shows on larger or evener tables only: results against the SQL, and shares of the work of one task."""
 
+import types
+
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from rcaspark.operators import edges
+from rcaspark.streaming import spot, stream
 from tools.check import compare
 
 SMALL = "/root/testdata/sf0.001"
@@ -57,3 +62,41 @@ def test_every_case_gets_its_counts(spark):
     v = spark.createDataFrame([("a", "x", "y", None), ("b", "x", "y", 1), ("b", "y", "x", 1)], "case string, cause string, effect string, verdict int")
     e = spark.createDataFrame([("b", "x", "y", "->"), ("c", "x", "y", "->")], "case string, cause string, effect string, mark string")
     assert sorted(tuple(r) for r in edges.verdicts_against_edges(v, e).collect()) == [("a", 0, 0, 0, 0), ("b", 1, 1, 0, 1), ("c", 0, 0, 0, 0)]
+
+
+# -- channel scorer --------------------------------------------------------------
+
+
+def test_a_channel_is_read_frame_by_frame():
+    held, taken = {}, []
+    scorer = stream.ChannelScorer()
+    scorer.state = types.SimpleNamespace(exists=lambda: bool(held), get=lambda: held["s"], update=lambda s: held.update(s=s))
+    value = np.sin(np.arange(900) / 7)
+
+    def frames():
+        for at in range(0, 900, 100):
+            taken.append(at)
+            yield pd.DataFrame({"seq": [f"{i:05d}" for i in range(at, at + 100)], "value": value[at : at + 100]})
+
+    out = []
+    for pdf in scorer.handleInputRows(("x",), frames(), None):
+        out.append(pdf)
+        assert len(taken) == len(out)
+    got = pd.concat(out)
+    assert got["idx"].tolist() == list(range(900)) and got["score"].tolist() == spot.Scorer().steps(value).tolist() and held["s"][-2] == "00899"
+
+
+def test_frames_of_a_micro_batch_come_in_order(spark, tmp_path):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("channel"), F.lpad(F.col("id").cast("string"), 6, "0").alias("seq"), F.sin(F.col("id") / 7).alias("value"))
+    rows.orderBy(F.xxhash64("seq")).repartition(4).write.parquet(f"{tmp_path}/in")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "64")
+    try:
+        got = stream.run_available(stream.score_stream(stream.read_stream(spark, f"{tmp_path}/in"))).collect()
+    finally:
+        spark.conf.set(key, usual)
+    want = spot.spot_scores(rows, ["channel"], "seq", "value").collect()
+    assert {r["status"] for r in got} == {"scored"}
+    assert sorted((r["channel"], r["seq"], r["idx"], r["score"]) for r in got) == sorted((r["channel"], r["seq"], r["idx"], r["score"]) for r in want)
