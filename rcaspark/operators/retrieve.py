@@ -109,10 +109,12 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     held = _blocks(vectors, by, vector_id, "embedding", VECTOR_BLOCK, "v")
     cells = lambda rows, name: rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCKS_PER_CELL).alias(name))
     sizes = cells(asked, "packs").join(cells(held, "cells"), keys)
+    # Blocks get the counts of their group by their own number: joined by group, a large group's blocks would be one task's.
+    counted = lambda rows: rows.join(rows.select(*keys, "block").join(sizes, keys).select("block", "packs", "cells"), "block")
     own = lambda n: F.pmod(F.xxhash64("block"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    spread = asked.join(sizes, keys).withColumn("pack", own("packs")).withColumn("cell", every("cells")).drop("block", "packs", "cells")
-    grid = held.join(sizes, keys).withColumn("cell", own("cells")).withColumn("pack", every("packs")).drop("block", "packs", "cells")
+    spread = counted(asked).withColumn("pack", own("packs")).withColumn("cell", every("cells")).drop("block", "packs", "cells")
+    grid = counted(held).withColumn("cell", own("cells")).withColumn("pack", every("packs")).drop("block", "packs", "cells")
     kinds = dict(queries.dtypes)
     schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + f"`{query_id}` {kinds[query_id]}, `{vector_id}` {dict(vectors.dtypes)[vector_id]}, distance double"
     found = grid.join(spread, [*keys, "pack", "cell"]).select(*keys, "q_ids", "q_items", "v_ids", "v_items").mapInArrow(_meet(k, by, query_id, vector_id), schema)

@@ -1,5 +1,6 @@
 """What shows on larger or evener tables only: results against the SQL, and shares of the work of one task."""
 
+import re
 import types
 
 import duckdb
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from rcaspark.operators import edges
+from rcaspark.operators import edges, retrieve
 from rcaspark.streaming import spot, stream
 from tools.check import compare
 
@@ -100,3 +101,19 @@ def test_frames_of_a_micro_batch_come_in_order(spark, tmp_path):
     want = spot.spot_scores(rows, ["channel"], "seq", "value").collect()
     assert {r["status"] for r in got} == {"scored"}
     assert sorted((r["channel"], r["seq"], r["idx"], r["score"]) for r in got) == sorted((r["channel"], r["seq"], r["idx"], r["score"]) for r in want)
+
+
+# -- nearest vectors ---------------------------------------------------------------
+
+
+def test_a_large_group_is_not_dealt_by_its_key(spark):
+    vectors = spark.range(2000).select(F.col("id").alias("vec_id"), F.array(F.col("id") % 7 + 0.5, F.col("id") % 11 + 0.5).alias("embedding"))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = retrieve.nearest(vectors.where("vec_id < 5").withColumnRenamed("vec_id", "query_id"), vectors, 8)
+        plan = spark._jvm.PythonSQLUtils.explainString(near._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    dealt = [by for columns, by in re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: (.*)", plan) if "_items" in columns]
+    assert dealt and all("block" in by or "cell" in by for by in dealt), dealt
