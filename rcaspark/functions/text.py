@@ -61,7 +61,11 @@ def sections_by_position(rows: DataFrame, text: str, keys: Sequence[str], labels
     ``labels`` holds (pos, label) from 0; section 0 is about the data set.
     """
     parts = rows.select(*keys, F.posexplode(F.split(F.col(text), SECTION_MARK)).alias("_at", "part")).where("_at > 0")
-    named = parts.withColumn("pos", F.col("_at") - 1).join(labels, "pos")
+    # There are few positions, so each label is given to as many tasks as a shuffle has.
+    shares = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = labels.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    dealt = parts.withColumn("pos", F.col("_at") - 1).withColumn("_share", F.pmod(F.xxhash64(*keys, "_at"), F.lit(shares)).cast("int"))
+    named = dealt.join(given, ["pos", "_share"])
     return named.select(*keys, "pos", "label", "part", F.contains("part", F.col("label")).alias("mentions"))
 
 

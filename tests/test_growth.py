@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+from rcaspark.functions import text
 from rcaspark.operators import edges, retrieve
 from rcaspark.streaming import spot, stream
 from tools.check import compare
@@ -117,3 +118,19 @@ def test_a_large_group_is_not_dealt_by_its_key(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
     dealt = [by for columns, by in re.findall(r"Exchange\nInput \[\d+\]: \[(.*?)\]\nArguments: (.*)", plan) if "_items" in columns]
     assert dealt and all("block" in by or "cell" in by for by in dealt), dealt
+
+
+def test_sections_with_few_labels_are_many_tasks_work(spark):
+    rows = spark.range(4000).select("id", F.lit("all---first on a---then on b---").alias("answer"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = text.sections_by_position(rows, "answer", ["id"], spark.createDataFrame([(0, "a"), (1, "x")], "pos int, label string"))
+        shares = [(r["task"], r["n"], r["m"]) for r in found.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_if("mentions").alias("m")).collect()]
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    assert sum(n for _, n, _ in shares) == 8000 and sum(m for *_, m in shares) == 4000
+    assert len(shares) >= 6 and max(n for _, n, _ in shares) < 3000
