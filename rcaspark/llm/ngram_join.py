@@ -19,6 +19,9 @@ Four steps, all exact:
 
 Hot groups: equal sets become one representative; equal signatures are reduced inside each task before the
 shuffle, so a group sends a row per task; a hot block is spread over its cells.
+
+Disk: texts and sets pass a Bloom filter of the documents still asked for before a join shuffles them or a signature
+is worked out, and tables of sets go as soon as they have been read for the last time.
 """
 
 from __future__ import annotations
@@ -31,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_cut, shuffles_released
+from .bloom import kept, number_filter
 from .graph import components
 from .words import mix, shingle_set, utf8_rows
 
@@ -135,6 +139,20 @@ def _signature_rows(found_in):
     return run
 
 
+def _sent_filter(numbers: DataFrame):
+    return numbers.sparkSession.sparkContext.broadcast(number_filter(numbers))
+
+
+def _asked(rows: DataFrame, column: str, sent) -> DataFrame:
+    """The rows whose number is in the filter, and a few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield kept(batch, column, sent.value)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _linked(rows: DataFrame, found_in) -> DataFrame:
     """(doc, other): edges by which all documents that share a signature hang together."""
     rows = rows.mapInArrow(_signature_rows(found_in), "sig long, doc long, link long")
@@ -159,7 +177,8 @@ def _frequencies(held: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["counter", "n"])
 
-    sums = held.select("items").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    with shuffles_released(held.sparkSession):
+        sums = held.select("items").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(COUNTERS, np.int64)
     total[sums.column("counter").to_numpy()] = sums.column("n").to_numpy()
     return total
@@ -318,8 +337,11 @@ def jaccard_groups(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
     classes = cut_lineage(sets.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
     members = cut_lineage(sets.join(classes, ["k1", "k2", "n"]).select("doc_id", "n", "rep"))
 
-    # Candidates: documents that share a signature with another set.
+    # Candidates: documents that share a signature with another set. Of equal sets the representative's are enough.
+    reps = _sent_filter(classes.select("rep").distinct())
+
     def signed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        batch = kept(batch, "doc_id", reps.value)
         for doc, raw in zip(batch.column("doc_id").to_pylist(), utf8_rows(batch.column("text"))):
             yield doc, signatures(shingle_set(raw, n), num, den)
 
@@ -329,22 +351,31 @@ def jaccard_groups(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
         pairs.join(rep.withColumnsRenamed({"doc_id": "doc", "rep": "a"}), "doc")
         .join(rep.withColumnsRenamed({"doc_id": "other", "rep": "b"}), "other").where("a <> b"))
     wide_blocks = components(pairs.select("a", "b"))
-    texts = named.withColumnRenamed("doc_id", "node").join(wide_blocks.select("node"), "node")
+    reps.destroy()
+    sent = _sent_filter(wide_blocks.select("node"))
+    # One plan at every size: what passes the filter is shuffled.
+    texts = _asked(named.withColumnRenamed("doc_id", "node"), "node", sent).join(wide_blocks.select("node").hint("merge"), "node")
     sets = cut_lineage(texts.mapInArrow(_shingle_rows(n), "node long, items binary"))
+    sent.destroy()
 
     # Blocks: linked documents hang together by each of three kinds of signatures, so they agree in all three.
+    # A document that is alone in its block has no partner; it is not looked at again.
     def narrow(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        batch = kept(batch, "node", left.value)
         for doc, items in zip(batch.column("node").to_pylist(), _items(batch)):
             yield doc, signatures(items, num, den, NARROW_CLASSES)
 
     sent = documents.sparkSession.sparkContext.broadcast(_frequencies(sets))  # COUNTERS numbers
     blocks = wide_blocks.withColumnRenamed("component", "block")
+    left = None
     for found_in in (_rarest(sent, num, den), narrow):
         finer = components(_linked(sets, found_in).select(F.col("doc").alias("a"), F.col("other").alias("b")))
-        blocks = blocks.join(finer, "node").select("node", F.xxhash64("block", "component").alias("block"))
-    blocks = cut_lineage(blocks)
-    # A document that is alone in its block has no partner.
-    blocks = blocks.join(cut_lineage(blocks.groupBy("block").agg(F.count("*").alias("docs")).where("docs > 1")).drop("docs"), "block")
+        blocks = cut_lineage(blocks.join(finer, "node").select("node", F.xxhash64("block", "component").alias("block")))
+        shared = cut_lineage(blocks.groupBy("block").agg(F.count("*").alias("docs")).where("docs > 1")).drop("docs")
+        blocks = cut_lineage(blocks.join(shared, "block"))
+        if left is not None:
+            left.destroy()
+        left = _sent_filter(blocks.select("node"))
     size = sets.mapInArrow(_sizes(sent), "node long, n long, typical double").groupBy("node").agg(
         F.max("n").alias("n"), F.max("typical").alias("typical"))
     sized = cut_lineage(blocks.join(size, "node"))
@@ -359,8 +390,12 @@ def jaccard_groups(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
         "node", F.lit(True).alias("anchor"))
     place = sized.join(whole, "block").join(cut_lineage(anchor), "node", "left").withColumn(
         "own", F.expr("case when cells = 1 or anchor then 0 else 1 + pmod(xxhash64(node), cells - 1) end"))
-    held = cut_lineage(sets.join(place.drop("n", "typical", "anchor"), "node").select("node", "block", "cells", "wide", "own", "items"))
-    sent.destroy()  # all that is read from here on is written
+    place = cut_lineage(place.select("node", "block", "cells", "wide", "own")).hint("merge")
+    held = cut_lineage(_asked(sets, "node", left).join(place, "node").select("node", "block", "cells", "wide", "own", "items"))
+    # All that is read from here on is written.
+    sent.destroy()
+    left.destroy()
+    drop_cut(sets)
     asking = held.select(
         "block", F.col("own").alias("cell"), "node", (F.col("own") == 0).alias("is_index"), F.lit(True).alias("is_query"),
         F.col("node").alias("component"), "items")
@@ -373,6 +408,7 @@ def jaccard_groups(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
     found = components(links)
     spread = held.where("cells > 1").join(found, "node", "left")
     spread = cut_lineage(spread.withColumn("component", F.coalesce("component", "node")))
+    drop_cut(held)
     largest = spread.groupBy("block", "component").agg(F.count("*").alias("docs")).groupBy("block").agg(
         F.max(F.struct("docs", -F.col("component"))).alias("most"))
     largest = cut_lineage(largest.select("block", (-F.col("most.col2")).alias("main")))
@@ -389,6 +425,7 @@ def jaccard_groups(documents: DataFrame, n: int = 5, num: int = 80, den: int = 1
         F.lit(True).alias("is_query"), "component", "items")
     wide = index.unionByName(query).withColumn("cell", F.xxhash64("chunk", "side"))
     rest = _searched(wide.drop("chunk", "side"), num, den)
+    drop_cut(spread)
 
     # One doc_id with several texts has several representatives, which belong together.
     first = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")

@@ -1,13 +1,18 @@
 """Exact top-k and the n-gram Jaccard join against brute force."""
 
+import glob
 import math
 import random
 import re
+import time
 
 import pytest
 
-from rcaspark.llm import ngram_join, topk
+from rcaspark.llm import bloom, ngram_join, topk
 from rcaspark.llm.graph import components
+from rcaspark.session import cut_lineage
+
+from .conftest import SF
 
 
 def brute_top_k(rows, k):
@@ -147,3 +152,35 @@ def test_components_of_a_path_a_hub_and_loops(spark):
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {**{i: 100 for i in range(100, 161)}, **{i: 499 for i in range(499, 600)}, 8: 8, 9: 8}
     assert components(edges.where("false")).count() == 0
+
+
+def test_a_filter_of_numbers_keeps_all_that_are_asked_for(spark, monkeypatch):
+    rows = spark.range(-20_000, 20_000).selectExpr("if(id % 1000 = 7, null, id) as doc", "cast(id as string) as text")
+    asked = spark.range(-300, 300, 3).select("id")
+    for most in (bloom.MOST_BITS, 1 << 15):
+        monkeypatch.setattr(bloom, "LEAST_BITS", 1 << 15)
+        monkeypatch.setattr(bloom, "MOST_BITS", most)
+        sent = spark.sparkContext.broadcast(bloom.number_filter(asked))
+        kept = {r.doc for r in ngram_join._asked(rows, "doc", sent).collect()}
+        assert set(range(-300, 300, 3)) <= kept
+        assert None not in kept and len(kept) < 300
+    assert not bloom.number_filter(asked.where("false")).any()
+
+
+def test_groups_leave_no_sets_and_no_shuffles_on_disk(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    cut_lineage(spark.range(1))
+    root = spark.sparkContext.getCheckpointDir().removeprefix("file:").rstrip("/").rsplit("/", 1)[0]
+    tables = lambda: set(glob.glob(f"{root}/**/cut-*", recursive=True))
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: sum("shuffle_" in files.getAllFiles().apply(i).getName() for i in range(files.getAllFiles().size()))
+    before, held = tables(), shuffles()
+    found = cut_lineage(ngram_join.jaccard_groups(documents, 5, 80, 100))
+    assert found.count() == documents.count()
+    left = tables() - before
+    assert len(left) > 20 and not [p for p in left if "items" in spark.read.parquet(p).columns]
+    for _ in range(50):  # files go in the background
+        if shuffles() <= held + 30:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= held + 30
