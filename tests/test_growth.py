@@ -41,6 +41,22 @@ def test_digest_of_few_and_of_many_events(spark, matches, name, n):
     assert ok, note
 
 
+@pytest.mark.parametrize("first,last", [(300, 800), (-700_000, 600_000), (5_000_000, 5_000_700)])
+def test_digest_of_events_that_do_not_start_at_zero(spark, matches, first, last):
+    ok, note = matches("ag32_content_digest", events=spark.range(first, last).select(F.col("id").alias("event_id"), F.lit(1.5).alias("value")))
+    assert ok, note
+
+
+def test_digest_sees_every_block_of_events(spark, tmp_path):
+    def digest(changed):
+        events = spark.range(800_000).select(F.col("id").alias("event_id"), F.when(F.col("id") == changed, 2.5).otherwise(1.5).alias("value"))
+        events.write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        return entry_points.queries()["ag32_content_digest"](spark, str(tmp_path)).first().digest
+
+    # Four blocks of 512 x 512 rows: a row of any of them counts.
+    assert len({digest(x) for x in (-1, 0, 262_144, 524_288, 799_999)}) == 5
+
+
 def even_trade(spark, per_pair):
     """Tables in which every pair of three nations trades ``per_pair(supplier, customer)`` lines."""
     pairs = [(s, c) for s in range(3) for c in range(3) for _ in range(per_pair(s, c))]
